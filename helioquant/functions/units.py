@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
-import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -132,7 +132,7 @@ def normalize_unit(text: str) -> str:
         raise UnknownConversionError(text, reason=EMPTY_UNIT)
     if cleaned in DIMENSION_OF:
         return cleaned
-    key = regex.sub(r"\s+", " ", cleaned.lower())
+    key = re.sub(r"\s+", " ", cleaned.lower())
     for word in DEGREE_WORDS:
         key = key.replace(word, "deg")
     if key not in LOOKUP:

@@ -102,9 +102,7 @@ def build_channels(assets: DataFrame, templates: DataFrame) -> DataFrame:
     )
 
 
-def map_devices(
-    df: DataFrame, assets: DataFrame, device: str = "device", plant: str = "plant_id"
-) -> DataFrame:
+def map_devices(df: DataFrame, assets: DataFrame, device: str = "device") -> DataFrame:
     """Attach asset name, plant and parent to readings; unknown devices keep nulls."""
     names = assets.where(F.col("source_key").isNotNull()).select(
         F.col("source_key").alias(device),
