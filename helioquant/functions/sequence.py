@@ -31,25 +31,36 @@ def with_previous(
     tie_breakers: Sequence[str] = (),
     hot_rows: int | None = HOT_ROWS,
     prefix: str = "prev_",
+    basis: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``prev_<value>`` columns holding the values of the key's previous row.
 
     Order is ``ts`` (or the 64-bit ``position``), then ``tie_breakers``. The first row of a key
     gets nulls. So does a row with a null key or no position: it has no place in any order.
+
+    Segment sizes and segment ends are read from ``basis``: a cheaper frame with the same rows
+    (such as the scan that ``df`` was derived from), so that the work behind ``df`` is done once.
     """
     keys = list(keys)
+    basis = df if basis is None else basis
     placed = position if position is not None else epoch_micros(ts)
     for key in keys:
         placed = F.when(F.col(key).isNotNull(), placed)
-    base = df.withColumn("_pos", placed).withColumn(
-        "_unit", F.expr(f"(_pos - pmod(_pos, {unit}L)) div {unit}L")
-    )
+
+    def with_unit(frame: DataFrame) -> DataFrame:
+        return frame.withColumn("_pos", placed).withColumn(
+            "_unit", F.expr(f"(_pos - pmod(_pos, {unit}L)) div {unit}L")
+        )
+
     part = F.lit(0).cast("long")
-    if hot_rows is not None:
+    if hot_rows is None:
+        split = with_unit
+    else:
         # Column-pruned count; at most (all rows / hot_rows) rows survive the filter, which
         # bounds what is broadcast.
         dense = (
-            base.where(F.col("_pos").isNotNull())
+            with_unit(basis)
+            .where(F.col("_pos").isNotNull())
             .groupBy(*keys, "_unit")
             .agg(F.count(F.lit(1)).alias("_n"))
             .where(F.col("_n") > hot_rows)
@@ -59,14 +70,18 @@ def with_previous(
                 F.least(F.ceil(F.col("_n") / F.lit(hot_rows)), F.lit(MAX_PARTS)).alias("_parts"),
             )
         )
-        base = base.join(F.broadcast(dense), [*keys, "_unit"], "left")
         offset = F.pmod(F.col("_pos"), F.lit(unit))
         part = F.coalesce(F.floor(offset * F.col("_parts") / F.lit(unit)), part)
+
+        def split(frame: DataFrame) -> DataFrame:
+            return with_unit(frame).join(F.broadcast(dense), [*keys, "_unit"], "left")
+
     placed_segment = F.col("_unit") * F.lit(MAX_PARTS) + part
     # Rows without a place in the order are spread by hash over segment numbers of their own.
     hashable = [n for n, t in df.dtypes if not t.startswith(("map", "variant"))]
     spread = F.pmod(F.xxhash64(*hashable), F.lit(NO_POSITION_SALTS)) + F.lit(-(1 << 62))
-    everything = base.withColumn("_seg", F.coalesce(placed_segment, spread)).drop("_unit", "_parts")
+    everything = split(df).withColumn("_seg", F.coalesce(placed_segment, spread))
+    everything = everything.drop("_unit", "_parts")
 
     row = F.struct(*[F.col(v) for v in values])
     order = ["_pos", *tie_breakers]
@@ -81,7 +96,7 @@ def with_previous(
         last = [F.max_by(v, "_pos").alias(f"_t_{v}") for v in values]
         tail = F.struct(*[F.col(f"_t_{v}").alias(v) for v in values])
     # One row per key and segment (days times parts), however many readings a key has.
-    in_order = base.where(F.col("_pos").isNotNull()).withColumn("_seg", placed_segment)
+    in_order = split(basis).where(F.col("_pos").isNotNull()).withColumn("_seg", placed_segment)
     tails = in_order.groupBy(*keys, "_seg").agg(*last)
     carried = tails.select(
         *keys,

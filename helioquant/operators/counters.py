@@ -145,6 +145,7 @@ def qc_chronology(
     ts: str = "ts",
     arrival: str = "ingest_seq",
     hot_rows: int | None = HOT_ROWS,
+    basis: DataFrame | None = None,
 ) -> DataFrame:
     """Flag readings whose time does not lie after the device's previous arrival."""
     stepped = with_previous(
@@ -155,6 +156,7 @@ def qc_chronology(
         unit=ARRIVAL_UNIT,
         hot_rows=hot_rows,
         prefix="_prev_",
+        basis=basis,
     )
     return stepped.withColumn(
         "qc_flag", F.when(F.col(ts) <= F.col(f"_prev_{ts}"), F.lit(FLAG_NOT_CHRONOLOGICAL))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from helioquant.functions.numeric import as_col, count_where, mean, ratio, round_half_up, scaled, total
 from helioquant.functions.quantiles import HOT_ROWS, grouped_percentiles
-from helioquant.functions.timestamps import calendar_days, date_text, local_date, slot
+from helioquant.functions.timestamps import calendar_days, local_date, slot
 
 SLOTS_PER_DAY = 96
 
@@ -132,24 +132,27 @@ def missing_days(
             device_days.select(plant, "_day")
             .distinct()
             .groupBy(plant)
-            .agg(F.collect_list("_day").alias("_calendar"))
+            .agg(F.sort_array(F.collect_list("_day")).alias("_calendar"))
         )
     else:
         plant_days = device_days.groupBy(plant).agg(
             F.sequence(F.min("_day"), F.max("_day")).alias("_calendar")
         )
-    missing = F.array_sort(F.array_except("_calendar", "_reported"))
+    # The difference keeps the calendar's order, so it comes out sorted.
+    missing = F.array_except("_calendar", "_reported")
     return (
         reported.join(plant_days, plant)
         .select(plant, device, missing.alias("_missing"))
         .where(F.size("_missing") > 0)
+        .orderBy(F.desc(F.size("_missing")), plant, device)
+        # The list is written after the sort, which would otherwise build it twice.
         .select(
             plant,
             device,
             F.size("_missing").alias("missing_days"),
-            F.array_join(F.transform("_missing", date_text), ", ").alias("missing_date_list"),
+            # A cast of the whole array (ISO dates) stays in generated code.
+            F.array_join(F.col("_missing").cast("array<string>"), ", ").alias("missing_date_list"),
         )
-        .orderBy(F.desc("missing_days"), plant, device)
     )
 
 
@@ -168,6 +171,26 @@ def efficiency(
     )
 
 
+def efficiency_variants(
+    df: DataFrame,
+    dc_min: float,
+    ac_min: float,
+    dc_scales: Mapping[str, float],
+    dc: str = "dc",
+    ac: str = "ac",
+    label: str = "label",
+    name: str = "eff",
+) -> DataFrame:
+    """The same population under several DC factors, told apart by a label, from one scan."""
+    scales = F.array(
+        *[F.struct(F.lit(k).alias("label"), F.lit(float(v)).alias("f")) for k, v in dc_scales.items()]
+    )
+    kept = df.where((F.col(dc) > dc_min) & (F.col(ac) > ac_min))
+    return kept.select(F.col(dc).alias("_dc"), F.col(ac).alias("_ac"), F.explode(scales).alias("_s")).select(
+        F.col("_s.label").alias(label), ratio("_ac", F.col("_dc") * F.col("_s.f")).alias(name)
+    )
+
+
 def labelled(frames: Mapping[str, DataFrame], column: str = "label") -> DataFrame:
     """Stack frames under a label column."""
     parts = [df.withColumn(column, F.lit(label)) for label, df in frames.items()]

@@ -152,7 +152,7 @@ def run_qc(
         checked = checked.withColumn("_order", F.lit(None).cast("string"))
     else:
         checked = qc_chronology(
-            checked, [plant, device, "signal_key"], ts, arrival, hot_rows
+            checked, [plant, device, "signal_key"], ts, arrival, hot_rows, basis=readings
         ).withColumnRenamed("qc_flag", "_order")
     limits = bounds.select(device, "signal_key", "bound_min", "bound_max", "bounds_valid")
     return checked.join(limits, [device, "signal_key"], "left").select(

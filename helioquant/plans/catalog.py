@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from helioquant.plans import quality, registry, telemetry
+from helioquant.plans import calls, quality, registry, telemetry
 
-CATALOG = {**quality.QUERIES, **telemetry.QUERIES, **registry.QUERIES}
+CATALOG = {**quality.QUERIES, **telemetry.QUERIES, **registry.QUERIES, **calls.QUERIES}

@@ -112,14 +112,11 @@ def missing_full(spark, sf):
 
 
 def _efficiencies(spark, sf):
-    readings, second = generation(spark, sf), bulk(spark, sf)
-    return profile.labelled(
-        {
-            "first raw": profile.efficiency(readings, 10, 1).select("eff"),
-            "first dc x 0.1": profile.efficiency(readings, 10, 1, dc_scale=0.1).select("eff"),
-            "second": profile.efficiency(second, 100, 10).select("eff"),
-        }
+    first = profile.efficiency_variants(
+        generation(spark, sf), 10, 1, {"first raw": 1.0, "first dc x 0.1": 0.1}
     )
+    second = profile.efficiency(bulk(spark, sf), 100, 10)
+    return first.unionByName(profile.labelled({"second": second}).select("label", "eff"))
 
 
 EFFICIENCY_SQL = """

@@ -4,17 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.readwriter import DataStreamWriter
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from helioquant.operators.counters import FLAG_MONOTONIC, FLAG_NOT_CHRONOLOGICAL
 from helioquant.operators.quality import qc_range
 from helioquant.sources.tables import ROUTE, with_route
 
 ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-STATE_SCHEMA = "ts timestamp, value double"
+STATE_SCHEMA = "ts_micros long, value double"
 OUTPUT_SCHEMA = (
     "device string, signal_key string, ts timestamp, value double, prev_value double, "
     "step double, qc_flag string"
@@ -40,42 +41,47 @@ def routed_writer(routed: DataFrame, path: str, checkpoint: str) -> DataStreamWr
     )
 
 
-class PreviousReading(StatefulProcessor):
-    """Keeps the last (time, value) of a series and judges each new reading against it.
+def judge_series(
+    key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
+) -> Iterator[pd.DataFrame]:
+    """Judge a series' new readings against its last (time, value), which the state holds.
 
     Readings of a micro-batch are taken in time order. One that does not lie after the stored
     time is a chronology violation: it gets no step and does not move the state back.
     """
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._last = handle.getValueState("last", STATE_SCHEMA)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True)
-        batch = batch.sort_values("ts", kind="stable", ignore_index=True)
-        stored = self._last.get() if self._last.exists() else None
-        late = batch["ts"].isna() | batch["ts"].duplicated()
-        if stored is not None:
-            late = late | (batch["ts"] <= pd.Timestamp(stored[0]))
-        fresh = batch[~late]
-        previous = fresh["value"].shift(1)
-        if stored is not None and len(fresh):
-            previous.iloc[0] = stored[1]
-        step = fresh["value"] - previous
-        out = batch[["ts", "value"]].copy()
-        out["prev_value"] = previous.reindex(batch.index)
-        out["step"] = step.reindex(batch.index)
-        out["qc_flag"] = None
-        out.loc[out["step"] < 0, "qc_flag"] = FLAG_MONOTONIC
-        out.loc[late, "qc_flag"] = FLAG_NOT_CHRONOLOGICAL
-        out.insert(0, "device", key[0])
-        out.insert(1, "signal_key", key[1])
-        if len(fresh):
-            self._last.update((fresh["ts"].iloc[-1].to_pydatetime(), float(fresh["value"].iloc[-1])))
-        yield out
-
-    def close(self) -> None:
-        pass
+    parts = list(batches)
+    batch = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
+    ts = batch["ts"].to_numpy(dtype="datetime64[us]")
+    order = np.argsort(ts, kind="stable")  # times that are missing come last
+    ts, value = ts[order], batch["value"].to_numpy(dtype="float64")[order]
+    late = np.isnat(ts)
+    late[1:] |= ts[1:] == ts[:-1]
+    before = state.get if state.exists else None
+    micros = ts.astype("int64")
+    if before is not None:
+        late |= micros <= before[0]
+    fresh = np.flatnonzero(~late)
+    previous = np.full(len(ts), np.nan)
+    if len(fresh):
+        previous[fresh[1:]] = value[fresh[:-1]]
+        previous[fresh[0]] = np.nan if before is None else before[1]
+        last = fresh[-1]
+        state.update((int(micros[last]), float(value[last])))
+    step = value - previous
+    flags = np.full(len(ts), None, dtype=object)
+    flags[step < 0] = FLAG_MONOTONIC
+    flags[late] = FLAG_NOT_CHRONOLOGICAL
+    yield pd.DataFrame(
+        {
+            "device": key[0],
+            "signal_key": key[1],
+            "ts": ts,
+            "value": value,
+            "prev_value": previous,
+            "step": step,
+            "qc_flag": flags,
+        }
+    )
 
 
 def stream_monotonic(
@@ -83,18 +89,19 @@ def stream_monotonic(
 ) -> DataFrame:
     """Steps and order flags across micro-batches, per (device, signal).
 
-    ``stream`` has device, signal_key, ts (timestamp) and value. State is one record per series.
-    The rows a series brings to one micro-batch are bounded by the source's rate option (such as
-    ``maxFilesPerTrigger`` or ``maxOffsetsPerTrigger``), which the caller sets on the source.
-    Needs the RocksDB state store provider in the session.
+    ``stream`` has device, signal_key, ts (timestamp) and value. State is one record per series,
+    shipped with the rows in Arrow batches of many series. The rows a series brings to one
+    micro-batch are bounded by the source's rate option (such as ``maxFilesPerTrigger`` or
+    ``maxOffsetsPerTrigger``), which the caller sets on the source.
     """
     return (
         stream.select(*keys, "ts", "value")
         .groupBy(*keys)
-        .transformWithStateInPandas(
-            statefulProcessor=PreviousReading(),
+        .applyInPandasWithState(
+            judge_series,
             outputStructType=OUTPUT_SCHEMA,
-            outputMode="Append",
-            timeMode="None",
+            stateStructType=STATE_SCHEMA,
+            outputMode="append",
+            timeoutConf=GroupStateTimeout.NoTimeout,
         )
     )
