@@ -1,0 +1,162 @@
+from __future__ import annotations
+
+import pytest
+from pyspark.sql import functions as F
+
+from helioquant.operators import counters, dictionary, quality
+from helioquant.sources import tables
+
+LONG = "plant string, device string, signal_key string, ts timestamp, local_date date, value double"
+
+
+@pytest.fixture
+def bounds(spark):
+    assets = spark.createDataFrame(
+        [("i1", 50000.0, 40000.0), ("i2", 1250000.0, 1000000.0), ("i3", None, None)],
+        "id string, rated_dc_w double, rated_ac_w double",
+    )
+    pairs = [(i, f"dev{i[1]}", s) for i in ("i1", "i2", "i3") for s in ("power_dc", "power_ac", "energy_ac_daily", "energy_ac_total", "temperature_module")]
+    channels = spark.createDataFrame(pairs, "asset_id string, device string, signal_key string")
+    return quality.resolve_bounds(dictionary.canonical_signals(spark), assets, channels)
+
+
+def test_bound_rules(bounds):
+    out = {(r.device, r.signal_key): (r.bound_min, r.bound_max, r.bounds_valid) for r in bounds.collect()}
+    assert out[("dev1", "power_dc")] == (0.0, 60000.0, True)
+    assert out[("dev2", "power_ac")] == (0.0, pytest.approx(1100000.0), True)
+    assert out[("dev1", "energy_ac_total")] == (0.0, None, True)
+    assert out[("dev1", "temperature_module")] == (-20.0, 90.0, True)
+    assert out[("dev3", "power_ac")] == (0.0, None, False)
+    assert out[("dev3", "energy_ac_total")][2]
+
+
+@pytest.mark.parametrize(
+    ("rule", "value", "valid"),
+    [
+        ("1500.0", 1500.0, True), (" -30.0 ", -30.0, True), ("2e3", 2000.0, True), ("None", None, True), (None, None, True),
+        ("1.20 * device.rated_dc_w", 12.0, True), ("1.20*device.rated_dc_w", 12.0, True),
+        ("1.20 * device.unknown", None, False), ("device.rated_dc_w", None, False), ("1 + 1", None, False),
+        ("__import__('os')", None, False), ("", None, False), ("1.2 * device.rated_dc_w * 2", None, False),
+    ],
+)
+def test_rule_grammar(spark, rule, value, valid):
+    df = spark.createDataFrame([(rule,)], "rule string")
+    attrs = F.create_map(F.lit("rated_dc_w"), F.lit(10.0))
+    bound, ok = quality.bound_value(F.col("rule"), attrs)
+    row = df.select(bound.alias("b"), ok.alias("ok")).first()
+    assert (row.b, row.ok) == (value, valid)
+
+
+def test_range_is_inclusive_and_nothing_is_lost(spark, bounds):
+    rows = [
+        ("dev1", "power_dc", 60000.0), ("dev1", "power_dc", 60000.1), ("dev1", "power_dc", -0.1), ("dev1", "power_dc", 0.0),
+        ("dev2", "power_dc", 60000.1), ("dev3", "power_dc", 1.0), ("who", "power_dc", 1.0), ("dev1", "wind_speed", 1.0), ("dev1", "power_dc", None),
+    ]
+    df = spark.createDataFrame(rows, "device string, signal_key string, value double")
+    flagged = quality.qc_range(df, bounds)
+    out = {(r.device, r.signal_key, r.value): r.qc_flags for r in flagged.collect()}
+    high, low, none = quality.FLAG_HIGH, quality.FLAG_LOW, quality.FLAG_NO_BOUNDS
+    assert out[("dev1", "power_dc", 60000.0)] == [] and out[("dev1", "power_dc", 0.0)] == []
+    assert out[("dev1", "power_dc", 60000.1)] == [high] and out[("dev1", "power_dc", -0.1)] == [low]
+    assert out[("dev2", "power_dc", 60000.1)] == [] and out[("dev1", "power_dc", None)] == []
+    assert out[("dev3", "power_dc", 1.0)] == out[("who", "power_dc", 1.0)] == out[("dev1", "wind_speed", 1.0)] == [none]
+    valid, dead = tables.route_readings(flagged)
+    assert valid.count() + dead.count() == len(rows) and dead.count() == 5
+
+
+@pytest.fixture
+def weather(frame):
+    rows = [
+        ("p", "2020-05-01 00:15:00", 0.0), ("p", "2020-05-01 10:00:00", 500.0), ("p", "2020-05-01 10:20:00", 10.0),
+        ("p", "2020-05-01 10:30:00", 50.0), ("p", "2020-05-02 00:00:00", 0.0), ("p", "2020-05-02 00:15:00", 0.0),
+        ("p", "2020-05-01 12:00:00", None), ("q", "2020-05-01 11:00:00", 900.0),
+    ]
+    return frame(rows, "plant string, ts timestamp, irradiance double")
+
+
+def test_daily_drop_has_three_answers(frame, weather):
+    rows = [
+        ("p", "d", "2020-05-01 10:00:00", 5.0), ("p", "d", "2020-05-01 10:17:00", 4.0),  # falls in the sun
+        ("p", "d", "2020-05-01 10:30:00", 4.0),  # equal passes
+        ("p", "d", "2020-05-01 11:00:00", 3.0),  # falls, no weather row for the plant
+        ("p", "d", "2020-05-01 12:00:00", 2.0),  # falls, irradiance missing
+        ("p", "d", "2020-05-02 00:00:00", 1.0),  # reset at midnight
+        ("p", "d", "2020-05-02 00:15:00", 0.0),  # reset a slot late, in the dark
+        ("p", "e", "2020-05-01 10:00:00", 9.0),
+    ]
+    df = frame(rows, "plant string, device string, ts timestamp, daily double").withColumn("local_date", F.to_date("ts"))
+    out = {(r.device, str(r.ts)[8:16]): (r.daily_drop, r.qc_flag) for r in counters.qc_daily_drop(df, weather).collect()}
+    assert len(out) == len(rows)
+    assert out[("d", "01 10:17")] == (True, counters.FLAG_DAILY_DROP)
+    assert out[("d", "01 11:00")] == out[("d", "01 12:00")] == (None, None)
+    for key in (("d", "01 10:00"), ("d", "01 10:30"), ("d", "02 00:00"), ("d", "02 00:15"), ("e", "01 10:00")):
+        assert out[key] == (False, None)
+
+
+def test_local_date_decides_the_day(frame, weather):
+    """Times in UTC, days of the plant: 18:45 UTC is past midnight in Kolkata."""
+    rows = [("p", "d", "2020-05-01 18:15:00", "2020-05-01", 5.0), ("p", "d", "2020-05-01 18:45:00", "2020-05-02", 0.0)]
+    df = frame(rows, "plant string, device string, ts timestamp, local_date date, daily double")
+    sunny = frame([("p", "2020-05-01 18:45:00", 99.0)], "plant string, ts timestamp, irradiance double")
+    assert [r.daily_drop for r in counters.qc_daily_drop(df, sunny).collect()] == [False, False]
+
+
+def test_chronology(frame):
+    rows = [("d", 1, "2020-05-01 10:00:00"), ("d", 2, "2020-05-01 10:15:00"), ("d", 3, "2020-05-01 10:15:00"),
+            ("d", 4, "2020-05-01 10:00:00"), ("d", 2_000_005, "2020-05-01 10:30:00"), ("d", 2_000_006, None), ("e", 9, "2020-05-01 09:00:00")]
+    df = frame(rows, "device string, ingest_seq long, ts timestamp")
+    for hot in (None, 1):
+        out = {r.ingest_seq: r.qc_flag for r in counters.qc_chronology(df, hot_rows=hot).collect()}
+        bad = counters.FLAG_NOT_CHRONOLOGICAL
+        assert out == {1: None, 2: None, 3: bad, 4: bad, 2_000_005: None, 2_000_006: None, 9: None}
+
+
+def test_availability(frame, weather, spark):
+    rows = [
+        ("p", "d", "2020-05-01 10:00:00", 5.0),  # bright, running
+        ("p", "d", "2020-05-01 10:15:00", 0.0),  # 10 W/m²: not daylight
+        ("p", "d", "2020-05-01 10:30:00", 0.0),  # exactly 50: not daylight
+        ("p", "d", "2020-05-01 11:00:00", 0.0),  # no weather
+        ("p", "e", "2020-05-01 10:00:00", 0.9),  # bright, below 1 % of 100
+        ("p", "f", "2020-05-01 10:00:00", 1.0),  # bright, exactly 1 %
+        ("p", "g", "2020-05-01 10:00:00", 1.0),  # no rating
+        ("p", "e", "2020-05-02 00:00:00", 0.0),  # night
+    ]
+    df = frame(rows, "plant string, device string, ts timestamp, ac_w double")
+    ratings = spark.createDataFrame([(d, 100.0) for d in "def"], "device string, rated_ac_w double")
+    out = {(r.device, r.log_date.day): r for r in quality.availability(df, weather, ratings).collect()}
+    d = out[("d", 1)]
+    assert (d.daylight_slots, d.down_slots, d.unknown_slots, d.availability) == (1, 0, 1, 1.0)
+    assert (out[("e", 1)].down_slots, out[("e", 1)].availability) == (1, 0.0)
+    assert out[("f", 1)].down_slots == 0 and out[("g", 1)].unknown_slots == 1
+    assert out[("e", 2)].availability is None
+
+
+@pytest.mark.parametrize("hot_rows", [None, 2])
+def test_combined_pass(frame, bounds, weather, hot_rows):
+    rows = [
+        ("p", "dev1", "power_ac", "2020-05-01 10:00:00", "2020-05-01", 44001.0),
+        ("p", "dev1", "energy_ac_total", "2020-05-01 10:00:00", "2020-05-01", 9.0),
+        ("p", "dev1", "energy_ac_total", "2020-05-01 10:17:00", "2020-05-01", 8.0),
+        ("p", "dev1", "energy_ac_daily", "2020-05-01 10:00:00", "2020-05-01", 9.0),
+        ("p", "dev1", "energy_ac_daily", "2020-05-01 10:17:00", "2020-05-01", -1.0),
+        ("p", "dev1", "energy_ac_daily", "2020-05-01 11:00:00", "2020-05-01", -2.0),
+        ("p", "dev1", None, "2020-05-01 11:00:00", "2020-05-01", 1.0),
+    ]
+    df = frame(rows, LONG)
+    out = quality.run_qc(df, bounds, weather, hot_rows=hot_rows)
+    got = {(r.signal_key, r.value): (r.qc_flags, r.daily_drop_unknown) for r in out.collect()}
+    assert len(got) == len(rows)
+    assert got[("power_ac", 44001.0)] == ([quality.FLAG_HIGH], False)
+    assert got[("energy_ac_total", 8.0)] == ([counters.FLAG_MONOTONIC], False)
+    assert got[("energy_ac_daily", -1.0)] == ([quality.FLAG_LOW, counters.FLAG_DAILY_DROP], False)
+    assert got[("energy_ac_daily", -2.0)] == ([quality.FLAG_LOW], True)
+    assert got[(None, 1.0)] == ([quality.FLAG_NO_BOUNDS], False)
+    card = {r.qc_flag: r.n_readings for r in quality.qc_summary(out, ("device",)).collect()}
+    assert card[quality.FLAG_LOW] == 2 and card[counters.FLAG_MONOTONIC] == 1
+    with_arrival = df.withColumn("ingest_seq", F.lit(10) - F.minute("ts").cast("long"))
+    late = quality.run_qc(with_arrival, bounds, weather, arrival="ingest_seq", hot_rows=hot_rows)
+    assert late.count() == len(rows)
+    assert {
+        (r.signal_key, r.value) for r in late.where(F.array_contains("qc_flags", counters.FLAG_NOT_CHRONOLOGICAL)).collect()
+    } == {("energy_ac_total", 9.0), ("energy_ac_daily", 9.0)}
