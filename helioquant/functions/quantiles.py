@@ -70,9 +70,13 @@ def grouped_percentiles(
         return _name_quantiles(df.groupBy(*keys).agg(*extra, *exact), by_column, specs)
 
     # At most (all rows / hot_rows) groups can pass this filter, which bounds the broadcasts.
-    hot = df.groupBy(*keys).count().where(F.col("count") > hot_rows).select(*keys)
-    cool = null_safe_join(df, F.broadcast(hot), keys, "left_anti")
-    heavy = null_safe_join(df, F.broadcast(hot), keys, "left_semi")
+    hot = df.groupBy(*keys).count().where(F.col("count") > hot_rows)
+    hot = hot.select(*keys, F.lit(True).alias("_hot"))
+    # Where no group is hot, adaptive execution finds the broadcast empty and drops the branch
+    # of the hot groups before it starts.
+    marked = null_safe_join(df, F.broadcast(hot), keys, "left")
+    cool = marked.where(F.col("_hot").isNull()).drop("_hot")
+    heavy = marked.where(F.col("_hot").isNotNull()).drop("_hot")
     plain = _name_quantiles(cool.groupBy(*keys).agg(*extra, *exact), by_column, specs)
     # Every other aggregate combines map-side, so the hot groups need no split for those. The
     # rows of this frame also keep groups whose values are all null.

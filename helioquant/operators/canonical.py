@@ -25,18 +25,25 @@ def to_long(
     return wide.unpivot(list(ids), list(columns.values()), "source_name", "raw_value")
 
 
-def canonicalize(long: DataFrame, channels: DataFrame, keys: Sequence[str] = ("device",)) -> DataFrame:
+def canonicalize(
+    long: DataFrame,
+    channels: DataFrame,
+    keys: Sequence[str] = ("device",),
+    carry: Sequence[str] = (),
+) -> DataFrame:
     """Signal key, unit and scaled value from the channel table.
 
     ``channels`` has ``keys``, ``source_name``, ``signal_key``, ``target_unit`` and
     ``scale_factor``. No hint is given: Spark broadcasts the channels only if their measured
-    size is small. A reading without a channel keeps a null signal and value.
+    size is small. A reading without a channel keeps a null signal and value. ``carry`` names
+    further channel columns to attach, such as the aggregation method, to save a second join.
     """
     on = [*keys, "source_name"]
     return long.join(
-        channels.select(*on, "signal_key", "scale_factor", "target_unit"), on, "left"
+        channels.select(*on, "signal_key", "scale_factor", "target_unit", *carry), on, "left"
     ).select(
         *long.columns,
+        *carry,
         "signal_key",
         F.col("target_unit").alias("unit"),
         (F.col("raw_value") * F.col("scale_factor")).alias("value"),

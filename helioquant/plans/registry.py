@@ -153,19 +153,27 @@ def long_readings(spark, sf):
     return _long(spark, sf).select("reading_id", "source_name", "raw_value")
 
 
+TENTHS = "inverter_tenths"
+
+
 def _device_channels(spark, sf):
     """Channels of the event devices; devices with an odd number report DC in tenths of kW."""
     users = table(spark, sf, "events").select("user_id").distinct()
     device = F.concat(F.lit("dev_"), F.col("user_id"))
-    odd = F.col("user_id") % 2 == 1
+    kind = F.when(F.col("user_id") % 2 == 1, F.lit(TENTHS)).otherwise(F.lit(registry.INVERTER))
     assets = users.select(
-        registry.natural_id(device).alias("id"), F.lit("site").alias("plant_id"),
-        device.alias("source_key"), F.lit(registry.INVERTER).alias("asset_type"), odd.alias("tenths"),
-    )
-    templates = dictionary.channel_templates(spark)
+        registry.natural_id(device).alias("id"),
+        F.lit("site").alias("plant_id"),
+        device.alias("source_key"),
+        kind.alias("asset_type"),
+    )
     tenths = dictionary.channel_templates(spark, dictionary.DC_TENTHS_OF_KW)
-    return registry.build_channels(assets.where(~F.col("tenths")), templates).unionByName(
-        registry.build_channels(assets.where("tenths"), tenths)
+    tenths = tenths.where(F.col("asset_type") == registry.INVERTER)
+    return registry.build_channels(
+        assets,
+        dictionary.channel_templates(spark).unionByName(
+            tenths.withColumn("asset_type", F.lit(TENTHS))
+        ),
     )
 
 
@@ -186,10 +194,10 @@ FROM long"""
 
 
 def channel_rollup(spark, sf):
-    readings = canonical.canonicalize(_long(spark, sf), _device_channels(spark, sf))
-    out = canonical.rollup_channels(
-        readings, _device_channels(spark, sf), interval_s=6 * 3600, decimals=1
+    readings = canonical.canonicalize(
+        _long(spark, sf), _device_channels(spark, sf), carry=("aggregation_method",)
     )
+    out = canonical.rollup_channels(readings, interval_s=6 * 3600, decimals=1)
     return out.select(
         "device", "signal_key", "aggregation_method", ts_text("slot_start").alias("slot_start"),
         "n_readings", round_half_up("value", 1).alias("value"),
