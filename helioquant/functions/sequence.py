@@ -122,37 +122,6 @@ def chunk_of(seq: str, chunk_rows: int = CHUNK_ROWS) -> Column:
     return F.floor(F.col(seq) / F.lit(chunk_rows))
 
 
-def running_count(
-    df: DataFrame, keys: Sequence[str], seq: str, marker: Column, name: str, chunk: str = "_chunk"
-) -> DataFrame:
-    """Rows with a true marker so far (this row included), in sequence order.
-
-    Counting runs inside chunks of the sequence; the totals of earlier chunks are added from a
-    table of one row per chunk. ``chunk`` must be a column of ``df``.
-    """
-    keys = list(keys)
-    marked = df.withColumn("_mark", F.when(marker, F.lit(1)).otherwise(F.lit(0)))
-    inside = (
-        Window.partitionBy(*keys, chunk)
-        .orderBy(seq)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    earlier = (
-        Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    totals = (
-        marked.groupBy(*keys, chunk)
-        .agg(F.sum("_mark").alias("_total"))
-        .select(*keys, chunk, F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_before"))
-    )
-    counted = marked.withColumn("_inside", F.sum("_mark").over(inside))
-    return (
-        counted.join(totals, [*keys, chunk], "left")
-        .withColumn(name, F.col("_inside") + F.coalesce("_before", F.lit(0)))
-        .drop("_mark", "_inside", "_before")
-    )
-
-
 def ordered_text(piece: str, order: str, separator: str = "") -> Column:
     """Concatenation of a group's non-null pieces in order."""
     quoted = separator.replace("\\", "\\\\").replace("'", "\\'")

@@ -10,12 +10,12 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helioquant.functions.numeric import count_where, mean, ratio, total
 from helioquant.functions.quantiles import HOT_ROWS, grouped_percentiles
-from helioquant.functions.sequence import CHUNK_ROWS, chunk_of, ordered_text, running_count
+from helioquant.functions.sequence import CHUNK_ROWS, chunk_of, ordered_text
 
 # Vendor names as they stand in the ``provider`` column.
 MESSAGES_VENDOR = "anthropic"
@@ -180,244 +180,251 @@ def normalize_responses(log: DataFrame, default_model: str = "") -> DataFrame:
     )
 
 
-def _stream_events(lines: DataFrame, chunk_rows: int) -> DataFrame:
-    """Parsed ``data:`` lines up to the end marker, with the chunk each belongs to."""
-    keys = ["call_id", "provider"]
+def _stream_fields(lines: DataFrame) -> DataFrame:
+    """What each recorded line contributes: text, a tool event, a stop reason, token counts.
+
+    Row-local: lines are parsed once, where they lie. The end marker survives as ``_done``.
+    """
     payload = F.trim(F.substring(F.col("line"), 7, 1 << 30))
-    data = (
-        lines.where(F.col("line").startswith("data: "))
-        .select(*keys, "seq", payload.alias("_payload"))
-        .withColumn("_chunk", chunk_of("seq", chunk_rows))
-        .withColumn("_done", F.when(F.col("_payload") == "[DONE]", F.col("seq")))
-    )
-    # The end marker is looked for in the row's own chunk and, from a one-row-per-chunk table, in
-    # the chunks before it.
-    chunks = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    ended = (
-        data.groupBy(*keys, "_chunk")
-        .agg(F.min("_done").alias("_first"))
-        .select(
-            *keys,
-            "_chunk",
-            F.col("_first").alias("_done_here"),
-            F.min("_first").over(chunks).alias("_done_before"),
-        )
-        .where(F.col("_done_here").isNotNull() | F.col("_done_before").isNotNull())
+    data = lines.where(F.col("line").startswith("data: ")).select(
+        "call_id", "provider", "seq", payload.alias("_payload")
     )
-    open_rows = data.join(ended, [*keys, "_chunk"], "left").where(
-        F.col("_done_before").isNull()
-        & (F.col("_done_here").isNull() | (F.col("seq") < F.col("_done_here")))
+    parsed = data.withColumn("_event", F.try_parse_json("_payload")).withColumn(
+        "_done", F.col("_payload") == "[DONE]"
     )
-    return open_rows.select(
-        *keys, "seq", "_chunk", F.try_parse_json("_payload").alias("_event")
-    ).where(F.col("_event").isNotNull())
-
-
-def _last(value: Column, seq: str = "seq") -> Column:
-    return F.max_by(value, F.when(value.isNotNull(), F.col(seq)))
-
-
-def assemble_streams(lines: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Recorded stream lines put together per call: text, tool calls, stop reason, usage.
-
-    ``lines``: call_id, provider, seq, line. Text is joined in chunks of the line sequence first
-    and the chunks then, so that no task takes in all lines of a long call.
-    """
-    keys = ["call_id", "provider"]
-    events = _stream_events(lines, chunk_rows)
     event = F.col("_event")
-    kind = _get(event, "$.type", "string")
     first = F.col("provider") == MESSAGES_VENDOR
-    finish = _get(event, "$.choices[0].finish_reason", "string")
-    tool_start = first & (kind == "content_block_start") & (
+    kind = _get(event, "$.type", "string")
+    delta_kind = _get(event, "$.delta.type", "string")
+    finish = F.nullif(_get(event, "$.choices[0].finish_reason", "string"), F.lit(""))
+    usage_b = ~first & _is_object(_get(event, "$.usage", "variant"))
+    raw_stop = _get(event, "$.delta.stop_reason", "string")
+    starts = (kind == "content_block_start") & (
         _get(event, "$.content_block.type", "string") == "tool_use"
     )
-    finished = ~first & (F.coalesce(finish, F.lit("")) != "")
-    usage_b = F.coalesce(_is_object(_get(event, "$.usage", "variant")), F.lit(False)) & ~first
-    raw_stop = _get(event, "$.delta.stop_reason", "string")
 
-    fields = events.select(
-        *keys,
+    def tool_event(name: str, index=None, call_id=None, label=None, piece=None) -> Column:
+        text = F.lit(None).cast("string")
+        return F.struct(
+            F.lit(name).alias("kind"),
+            (F.lit(0).cast("bigint") if index is None else index).alias("index"),
+            F.nullif(text if call_id is None else call_id, F.lit("")).alias("id"),
+            F.nullif(text if label is None else label, F.lit("")).alias("name"),
+            (text if piece is None else piece).alias("piece"),
+        )
+
+    nothing = F.array().cast(
+        "array<struct<kind:string,index:bigint,id:string,name:string,piece:string>>"
+    )
+    events_a = (
+        F.when(
+            starts,
+            F.array(
+                tool_event(
+                    "start",
+                    call_id=_get(event, "$.content_block.id", "string"),
+                    label=_get(event, "$.content_block.name", "string"),
+                )
+            ),
+        )
+        .when(kind == "content_block_stop", F.array(tool_event("stop")))
+        .when(
+            (kind == "content_block_delta") & (delta_kind == "input_json_delta"),
+            F.array(tool_event("piece", piece=_get(event, "$.delta.partial_json", "string"))),
+        )
+        .otherwise(nothing)
+    )
+    calls = F.coalesce(_get(event, "$.choices[0].delta.tool_calls", "array<variant>"), F.array())
+    pieces_b = F.transform(
+        calls,
+        lambda c: tool_event(
+            "piece",
+            F.coalesce(_get(c, "$.index", "bigint"), F.lit(0)),
+            _get(c, "$.id", "string"),
+            _get(c, "$.function.name", "string"),
+            _get(c, "$.function.arguments", "string"),
+        ),
+    )
+    events_b = F.concat(
+        pieces_b, F.when(finish.isNotNull(), F.array(tool_event("stop"))).otherwise(nothing)
+    )
+    return parsed.where(F.col("_done") | event.isNotNull()).select(
+        "call_id",
+        "provider",
         "seq",
-        "_chunk",
+        "_done",
         F.when(
             first,
             F.when(
-                (kind == "content_block_delta")
-                & (_get(event, "$.delta.type", "string") == "text_delta"),
+                (kind == "content_block_delta") & (delta_kind == "text_delta"),
                 _get(event, "$.delta.text", "string"),
             ),
         )
         .otherwise(_get(event, "$.choices[0].delta.content", "string"))
-        .alias("_text"),
-        tool_start.alias("_starts"),
-        finished.alias("_finishes"),
-        (first & (kind == "content_block_stop")).alias("_stops"),
-        F.when(tool_start, _get(event, "$.content_block.id", "string")).alias("_block_id"),
-        F.when(tool_start, _get(event, "$.content_block.name", "string")).alias("_block_name"),
-        F.when(
-            first & (_get(event, "$.delta.type", "string") == "input_json_delta"),
-            _get(event, "$.delta.partial_json", "string"),
-        ).alias("_json_piece"),
-        F.when(~first, _get(event, "$.choices[0].delta.tool_calls", "array<variant>")).alias(
-            "_calls"
-        ),
-        F.when(
-            first,
-            F.when((kind == "message_delta") & raw_stop.isin(*STOP_REASONS), raw_stop),
-        )
-        .otherwise(F.when(finished, completions_stop_reason(finish)))
-        .alias("_stop"),
+        .alias("text"),
+        F.when(first, events_a).otherwise(events_b).alias("tools"),
+        F.when(first, F.when((kind == "message_delta") & raw_stop.isin(*STOP_REASONS), raw_stop))
+        .otherwise(F.when(finish.isNotNull(), completions_stop_reason(finish)))
+        .alias("stop"),
         F.when(
             first & (kind == "message_start"),
             F.coalesce(_get(event, "$.message.usage.input_tokens", "bigint"), F.lit(0)),
         )
         .when(usage_b, F.coalesce(_get(event, "$.usage.prompt_tokens", "bigint"), F.lit(0)))
-        .alias("_in"),
+        .alias("tokens_in"),
         F.when(
             first & (kind == "message_delta"),
             F.coalesce(_get(event, "$.usage.output_tokens", "bigint"), F.lit(0)),
         )
         .when(usage_b, F.coalesce(_get(event, "$.usage.completion_tokens", "bigint"), F.lit(0)))
-        .alias("_out"),
+        .alias("tokens_out"),
     )
 
-    per_chunk = fields.groupBy(*keys, "_chunk").agg(
-        ordered_text("_text", "seq").alias("_part"),
-        _last(F.col("_stop")).alias("_stop"),
-        _last(F.col("_in")).alias("_in"),
-        _last(F.col("_out")).alias("_out"),
-    )
-    per_call = per_chunk.groupBy(*keys).agg(
-        F.coalesce(ordered_text("_part", "_chunk"), F.lit("")).alias("text"),
-        _last(F.col("_stop"), "_chunk").alias("stop_reason"),
-        _last(F.col("_in"), "_chunk").alias("input_tokens"),
-        _last(F.col("_out"), "_chunk").alias("output_tokens"),
-    )
 
-    numbered = running_count(
-        fields, keys, "seq", F.col("_starts") | F.col("_finishes"), "_mark_no"
+def _last_known(items: Column, name: str) -> Column:
+    """The last non-null field of an ordered array of records."""
+    return F.get(F.reverse(F.filter(items, lambda e: e[name].isNotNull())), F.lit(0))[name]
+
+
+def _gather(items: Column) -> list[Column]:
+    """Fields of the ordered records of a chunk or a call, up to the end marker."""
+    done = F.array_position(F.transform(items, lambda e: e["_done"]), True)
+    kept = F.when(done > 0, F.slice(items, F.lit(1), done.cast("int"))).otherwise(items)
+    return [
+        F.exists(items, lambda e: e["_done"]).alias("_done"),
+        F.array_join(F.transform(kept, lambda e: e["text"]), "").alias("text"),
+        F.flatten(F.transform(kept, lambda e: e["tools"])).alias("tools"),
+        _last_known(kept, "stop").alias("stop"),
+        _last_known(kept, "tokens_in").alias("tokens_in"),
+        _last_known(kept, "tokens_out").alias("tokens_out"),
+    ]
+
+
+PARTS = ("_done", "text", "tools", "stop", "tokens_in", "tokens_out")
+
+
+def _positions(events: Column, kind: str) -> Column:
+    """1-based positions of the events of a kind."""
+    marked = F.transform(
+        events, lambda e, i: F.when(e["kind"] == kind, i + F.lit(1)).cast("int")
     )
-    tools = _messages_tools(numbered, keys).unionByName(_completions_tools(numbered, keys))
-    # A call has as many of these rows as it has tool calls.
-    tool_lists = tools.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.struct("_first", "_index", "id", "name", "_args"))).alias("_t")
+    return F.filter(marked, lambda i: i.isNotNull())
+
+
+def _between(events: Column, start: Column, end: Column) -> Column:
+    """Events at positions ``start`` up to, not including, ``end``."""
+    return F.slice(events, start, F.greatest(end - start, F.lit(0)))
+
+
+def _joined(events: Column) -> Column:
+    return F.array_join(F.transform(events, lambda e: e["piece"]), "")
+
+
+def _messages_tools(events: Column) -> Column:
+    """Tool calls of the first vendor: each runs from its start to the next block stop."""
+    starts = _positions(events, "start")
+    after_last = F.size(events) + F.lit(1)
+    nexts = F.concat(
+        F.slice(starts, F.lit(2), F.greatest(F.size(starts) - 1, F.lit(0))), F.array(after_last)
     )
-    out = per_call.join(tool_lists, keys, "left")
 
-    def as_tool(raw_key: str):
-        return lambda t: F.struct(
-            t["id"].alias("id"),
-            t["name"].alias("name"),
-            _parsed_arguments(t["_args"], raw_key).alias("arguments"),
+    def tool(start: Column, following: Column) -> Column:
+        run = _between(events, start, following)
+        stop = F.array_position(F.transform(run, lambda e: e["kind"]), "stop").cast("int")
+        head = F.get(run, F.lit(0))
+        return F.struct(
+            head["id"].alias("id"),
+            head["name"].alias("name"),
+            (stop > 0).alias("closed"),
+            _joined(_between(run, F.lit(2), stop)).alias("args"),
         )
 
-    listed = F.coalesce(
-        F.col("_t"),
-        F.array().cast(
-            "array<struct<_first:bigint,_index:bigint,id:string,name:string,_args:string>>"
-        ),
+    # One start has one following position; without starts there is nothing to pair.
+    pairs = F.when(F.size(starts) > 0, F.zip_with(starts, nexts, tool))
+    return F.filter(
+        F.coalesce(pairs, F.array().cast("array<struct<id:string,name:string,closed:boolean,args:string>>")),
+        lambda t: t["closed"] & t["id"].isNotNull() & t["name"].isNotNull(),
     )
-    return out.select(
-        *keys,
-        "text",
-        F.when(first, F.transform(listed, as_tool("raw_json")))
-        .otherwise(F.transform(listed, as_tool("raw_arguments")))
-        .alias("tool_use"),
-        "stop_reason",
-        # Usage counts once the vendor has reported the output side.
-        F.when(
-            F.col("output_tokens").isNotNull(), F.coalesce("input_tokens", F.lit(0).cast("long"))
-        ).alias("input_tokens"),
-        "output_tokens",
-        (F.coalesce("input_tokens", F.lit(0)) + F.col("output_tokens")).alias("total_tokens"),
+
+
+def _completions_tools(events: Column) -> Column:
+    """Tool calls of the second vendor: the pieces of an index, once a finish reason arrived."""
+    stops = _positions(events, "stop")
+    begins = F.concat(
+        F.array(F.lit(1)),
+        F.transform(
+            F.slice(stops, F.lit(1), F.greatest(F.size(stops) - 1, F.lit(0))),
+            lambda p: p + F.lit(1),
+        ),
     )
 
+    def tools_of(begin: Column, end: Column) -> Column:
+        run = _between(events, begin, end)
 
-def _messages_tools(numbered: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Tool calls of the first vendor: from a tool block's start to the next block stop."""
-    rows = numbered.where((F.col("provider") == MESSAGES_VENDOR) & (F.col("_mark_no") > 0))
-    piece_chunk = Window.partitionBy(*keys, "_mark_no", "_chunk")
-    stop_here = F.min(F.when(F.col("_stops"), F.col("seq"))).over(piece_chunk)
-    chunks = (
-        rows.withColumn("_stop_seq", stop_here)
-        .withColumn(
-            "_piece",
-            F.when(
-                F.col("_stop_seq").isNull() | (F.col("seq") < F.col("_stop_seq")),
-                F.col("_json_piece"),
-            ),
-        )
-        .groupBy(*keys, "_mark_no", "_chunk")
-        .agg(
-            ordered_text("_piece", "seq").alias("_part"),
-            F.min("_stop_seq").alias("_stop_seq"),
-            F.min(F.when(F.col("_starts"), F.col("seq"))).alias("_first"),
-            F.max("_block_id").alias("_id"),
-            F.max("_block_name").alias("_name"),
+        def tool(index: Column) -> Column:
+            own = F.filter(run, lambda e: e["index"] == index)
+            return F.struct(
+                F.coalesce(_last_known(own, "id"), F.lit("")).alias("id"),
+                F.coalesce(_last_known(own, "name"), F.lit("")).alias("name"),
+                F.lit(True).alias("closed"),
+                _joined(own).alias("args"),
+            )
+
+        # Distinct indexes keep the order of their first piece.
+        return F.transform(F.array_distinct(F.transform(run, lambda e: e["index"])), tool)
+
+    rounds = F.when(F.size(stops) > 0, F.zip_with(begins, stops, tools_of))
+    return F.flatten(
+        F.coalesce(
+            rounds,
+            F.array().cast("array<array<struct<id:string,name:string,closed:boolean,args:string>>>"),
         )
     )
-    earlier = (
-        Window.partitionBy(*keys, "_mark_no")
-        .orderBy("_chunk")
-        .rowsBetween(Window.unboundedPreceding, -1)
+
+
+def assemble_streams(lines: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Recorded stream lines put together per call: text, tool calls, stop reason, usage.
+
+    ``lines``: call_id, provider, seq, line. Lines are parsed once and gathered in two steps: by
+    runs of ``chunk_rows`` line numbers, which bounds what a task collects, and then by call,
+    where only the joined text and the tool events are left, that is, what the result row of the
+    call holds in any case.
+    """
+    keys = ["call_id", "provider"]
+    fields = _stream_fields(lines).withColumn("_chunk", chunk_of("seq", chunk_rows))
+    chunks = (
+        fields.groupBy(*keys, "_chunk")
+        .agg(F.sort_array(F.collect_list(F.struct("seq", *PARTS))).alias("_rows"))
+        .select(*keys, "_chunk", *_gather(F.col("_rows")))
     )
-    kept = chunks.withColumn("_ended", F.min("_stop_seq").over(earlier)).where(
-        F.col("_ended").isNull()
-    )
-    return (
-        kept.groupBy(*keys, "_mark_no")
-        .agg(
-            ordered_text("_part", "_chunk").alias("_args"),
-            F.min("_stop_seq").alias("_stop_seq"),
-            F.min("_first").alias("_first"),
-            F.max("_id").alias("id"),
-            F.max("_name").alias("name"),
-        )
-        .where(
-            F.col("_stop_seq").isNotNull()
-            & (F.coalesce("id", F.lit("")) != "")
-            & (F.coalesce("name", F.lit("")) != "")
-        )
-        .select(*keys, "_first", F.lit(0).cast("long").alias("_index"), "id", "name", "_args")
+    calls = (
+        chunks.groupBy(*keys)
+        .agg(F.sort_array(F.collect_list(F.struct("_chunk", *PARTS))).alias("_rows"))
+        .select(*keys, *_gather(F.col("_rows")))
     )
 
+    def as_tool(raw_key: str):
+        return lambda t: F.struct(
+            t["id"].alias("id"),
+            t["name"].alias("name"),
+            _parsed_arguments(t["args"], raw_key).alias("arguments"),
+        )
 
-def _completions_tools(numbered: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Tool calls of the second vendor, complete once a finish reason has arrived."""
-    rows = numbered.where(F.col("provider") == COMPLETIONS_VENDOR)
-    before = F.col("_mark_no") - F.when(F.col("_finishes"), F.lit(1)).otherwise(F.lit(0))
-    rounds = rows.withColumn("_round", before)
-    pieces = rounds.select(
-        *keys, "_round", "seq", "_chunk", F.posexplode("_calls").alias("_at", "_call")
-    )
-    call = F.col("_call")
-    pieces = pieces.select(
+    first = F.col("provider") == MESSAGES_VENDOR
+    events = F.col("tools")
+    known = F.col("tokens_out").isNotNull()
+    # Usage counts once the vendor has reported the output side.
+    tokens_in = F.when(known, F.coalesce("tokens_in", F.lit(0).cast("bigint")))
+    return calls.select(
         *keys,
-        "_round",
-        "seq",
-        "_chunk",
-        F.coalesce(_get(call, "$.index", "bigint"), F.lit(0)).alias("_index"),
-        F.nullif(_get(call, "$.id", "string"), F.lit("")).alias("_id"),
-        F.nullif(_get(call, "$.function.name", "string"), F.lit("")).alias("_name"),
-        F.nullif(_get(call, "$.function.arguments", "string"), F.lit("")).alias("_piece"),
-    )
-    group = [*keys, "_round", "_index"]
-    per_chunk = pieces.groupBy(*group, "_chunk").agg(
-        ordered_text("_piece", "seq").alias("_part"),
-        F.min("seq").alias("_first"),
-        _last(F.col("_id")).alias("_id"),
-        _last(F.col("_name")).alias("_name"),
-    )
-    assembled = per_chunk.groupBy(*group).agg(
-        ordered_text("_part", "_chunk").alias("_args"),
-        F.min("_first").alias("_first"),
-        F.coalesce(_last(F.col("_id"), "_chunk"), F.lit("")).alias("id"),
-        F.coalesce(_last(F.col("_name"), "_chunk"), F.lit("")).alias("name"),
-    )
-    closed = rounds.where("_finishes").select(*keys, "_round").distinct()
-    return assembled.join(closed, [*keys, "_round"], "left_semi").select(
-        *keys, "_first", "_index", "id", "name", "_args"
+        "text",
+        F.when(first, F.transform(_messages_tools(events), as_tool("raw_json")))
+        .otherwise(F.transform(_completions_tools(events), as_tool("raw_arguments")))
+        .alias("tool_use"),
+        F.col("stop").alias("stop_reason"),
+        tokens_in.alias("input_tokens"),
+        F.col("tokens_out").alias("output_tokens"),
+        (tokens_in + F.col("tokens_out")).alias("total_tokens"),
     )
 
 

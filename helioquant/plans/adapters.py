@@ -123,6 +123,10 @@ bulk AS (
 
 
 def long_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_long_readings(table(spark, sf_dir, "events"))
+
+
+def as_long_readings(events: DataFrame) -> DataFrame:
     """Events as canonical readings of four signals: power and the two counters."""
     signal = (
         F.when(F.col("event_type") == "click", F.lit("power_dc"))
@@ -131,7 +135,7 @@ def long_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("event_type") == "signup", F.lit("energy_ac_total"))
         .otherwise(F.lit("gearbox_temperature"))
     )
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.col("event_id").alias("reading_id"),
         F.lit("site").alias("plant"),
         F.concat(F.lit("dev_"), F.col("user_id")).alias("device"),

@@ -3,31 +3,28 @@
 from __future__ import annotations
 
 import uuid
-from functools import reduce
 
 from pyspark.sql import functions as F
 
 from helioquant.functions.numeric import count_where, round_half_up, total
-from helioquant.functions.timestamps import SECONDS_PER_DAY
+from helioquant.functions.timestamps import DAY_FIRST, ISO_SECONDS, SECONDS_PER_DAY
 from helioquant.operators import dictionary, quality
 from helioquant.plans import sqltext as q
 from helioquant.plans.adapters import (
     BOUNDS_SQL,
-    GENERATION_SQL,
     LONG_SQL,
-    PLANTS,
     SITE_WEATHER_SQL,
+    as_long_readings,
     day_text,
     device_assets,
     device_channels,
-    generation,
     long_readings,
     site_weather,
     table,
     ts_text,
 )
 from helioquant.session import checkpoint_dir
-from helioquant.sources import tables
+from helioquant.sources import feeds, tables
 from helioquant.streaming import energy as stream_energy
 from helioquant.streaming import quality as stream_quality
 
@@ -190,10 +187,8 @@ def _drain(spark, writer_of):
 
 
 def streamed_routing(spark, sf):
-    signals = long_readings(spark, sf).columns
-
     def writer(path, state):
-        stream = _as_long(_event_stream(spark, sf)).select(*signals)
+        stream = as_long_readings(_event_stream(spark, sf))
         routed = stream_quality.stream_qc(stream, _bounds(spark, sf))
         return stream_quality.routed_writer(routed, path, state)
 
@@ -201,33 +196,7 @@ def streamed_routing(spark, sf):
     return out.select("reading_id", "route", F.array_join("qc_flags", ",").alias("qc_flags"))
 
 
-def _as_long(events):
-    signal = (
-        F.when(F.col("event_type") == "click", F.lit("power_dc"))
-        .when(F.col("event_type") == "view", F.lit("power_ac"))
-        .when(F.col("event_type") == "purchase", F.lit("energy_ac_daily"))
-        .when(F.col("event_type") == "signup", F.lit("energy_ac_total"))
-        .otherwise(F.lit("gearbox_temperature"))
-    )
-    return events.select(
-        F.col("event_id").alias("reading_id"),
-        F.lit("site").alias("plant"),
-        F.concat(F.lit("dev_"), F.col("user_id")).alias("device"),
-        signal.alias("signal_key"),
-        "ts",
-        F.to_date("ts").alias("local_date"),
-        "value",
-        (
-            F.get_json_object("props", "$.k").cast("long") * F.lit(1_000_000_000) + F.col("event_id")
-        ).alias("ingest_seq"),
-    )
-
-
 def streamed_steps(spark, sf):
-    spark.conf.set(
-        "spark.sql.streaming.stateStore.providerClass", stream_quality.ROCKSDB_PROVIDER
-    )
-
     def writer(path, state):
         stream = _event_stream(spark, sf).select(
             F.concat(F.lit("dev_"), F.col("user_id")).alias("device"),
@@ -272,7 +241,74 @@ def streamed_energy(spark, sf):
     return out.withColumn("log_date", day_text("log_date"))
 
 
+# Files: written from the tables into a fresh shared folder and read back. -------------------------
+
+
+def csv_feeds(spark, sf):
+    """Two CSV feeds with different clocks, written out, then read through their specifications."""
+    rows = table(spark, sf, "events")
+    base = f"{checkpoint_dir(spark)}/feeds-{uuid.uuid4().hex}"
+    day_first, iso = "dd-MM-yyyy HH:mm", "yyyy-MM-dd HH:mm:ss"
+    value = F.col("value")
+    rows.select(
+        F.date_format("ts", day_first).alias("DATE_TIME"), F.lit(1).alias("PLANT_ID"),
+        F.col("event_type").alias("SOURCE_KEY"), value.alias("DC_POWER"), value.alias("AC_POWER"),
+        value.alias("DAILY_YIELD"), value.alias("TOTAL_YIELD"),
+    ).write.option("header", True).csv(f"{base}/generation")
+    rows.select(
+        F.date_format("ts", iso).alias("DATE_TIME"), F.lit(1).alias("PLANT_ID"),
+        F.col("event_type").alias("SOURCE_KEY"), value.alias("AMBIENT_TEMPERATURE"),
+        value.alias("MODULE_TEMPERATURE"), value.alias("IRRADIATION"),
+    ).write.option("header", True).csv(f"{base}/weather")
+    specs = [
+        feeds.FeedSpec("generation", f"{base}/generation", DAY_FIRST, "generation"),
+        feeds.FeedSpec("weather", f"{base}/weather", ISO_SECONDS, "weather"),
+    ]
+    return (
+        feeds.read_feeds(spark, specs, typed=True)
+        .groupBy("feed", "device", "local_date")
+        .agg(
+            F.count("ts").alias("n_readings"),
+            F.count("corrupt_record").alias("n_corrupt"),
+            ts_text(F.max("ts")).alias("last_ts"),
+            total(F.coalesce("ac", "irradiation"), DECIMALS).alias("value_sum"),
+        )
+        .withColumn("local_date", day_text("local_date"))
+    )
+
+
+def stored_facts(spark, sf):
+    """Checked readings written by route and as facts by plant and day, then read back."""
+    base = f"{checkpoint_dir(spark)}/facts-{uuid.uuid4().hex}"
+    tables.write_routed(_ranged(spark, sf), f"{base}/routed")
+    routed = spark.read.parquet(f"{base}/routed")
+    tables.write_facts(routed, f"{base}/facts")
+    return (
+        tables.read_dim(spark, f"{base}/facts")
+        .groupBy("route", "local_date")
+        .agg(F.count(F.lit(1)).alias("n_readings"), F.sum(F.size("qc_flags")).alias("n_flags"))
+        .withColumn("local_date", day_text("local_date"))
+    )
+
+
 QUERIES = {
+    "csv_feeds": (
+        csv_feeds,
+        f"""SELECT 'generation' AS feed, event_type AS device, {q.day_text('CAST(ts AS DATE)')} AS local_date,
+               count(*) AS n_readings, 0 AS n_corrupt, {q.ts_text("date_trunc('minute', max(ts))")} AS last_ts,
+               {q.total('value')} AS value_sum FROM events GROUP BY event_type, CAST(ts AS DATE)
+        UNION ALL
+        SELECT 'weather', event_type, {q.day_text('CAST(ts AS DATE)')}, count(*), 0,
+               {q.ts_text("date_trunc('second', max(ts))")}, {q.total('value')}
+        FROM events GROUP BY event_type, CAST(ts AS DATE)""",
+    ),
+    "stored_facts": (
+        stored_facts,
+        f"""WITH {LONG_SQL}, {BOUNDS_SQL}, {RANGE_SQL}
+        SELECT CASE WHEN range_flag IS NULL THEN 'valid' ELSE 'dead_letter' END AS route,
+               {q.day_text('local_date')} AS local_date, count(*) AS n_readings, count(range_flag) AS n_flags
+        FROM ranged GROUP BY ALL""",
+    ),
     "device_day_report": (
         device_day_report,
         f"""WITH {CHECKED_SQL}

@@ -14,7 +14,6 @@ from helioquant.operators.counters import FLAG_MONOTONIC, FLAG_NOT_CHRONOLOGICAL
 from helioquant.operators.quality import qc_range
 from helioquant.sources.tables import ROUTE, with_route
 
-ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STATE_SCHEMA = "ts_micros long, value double"
 OUTPUT_SCHEMA = (
     "device string, signal_key string, ts timestamp, value double, prev_value double, "

@@ -12,7 +12,8 @@ from oracle import connection, difference
 
 SF_DIR = "/root/testdata/sf0.001"
 QUERIES = entry.queries()
-STREAMS = {name for name in QUERIES if name.startswith("stream_")}
+# These write files first, so that their plan is not the whole of their work.
+STREAMS = {n for n in QUERIES if n.startswith("stream_")} | {"csv_feeds", "stored_facts"}
 
 
 @pytest.fixture(scope="module")

@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from helioquant.functions.quantiles import grouped_percentiles
-from helioquant.functions.sequence import ordered_text, running_count, with_previous
+from helioquant.functions.sequence import ordered_text, with_previous
 
 
 def skewed(spark, n=6000, seed=5):
@@ -59,18 +59,6 @@ def test_times_before_1970(frame):
         assert out == {1.0: None, 2.0: 1.0, 3.0: 2.0}
 
 
-def test_running_count_across_chunks(spark):
-    df = spark.range(1000).select(
-        (F.col("id") % 2).alias("k"), "id", F.floor(F.col("id") / 7).alias("_chunk")
-    )
-    out = running_count(df, ["k"], "id", F.col("id") % 5 == 0, "n")
-    want = F.sum(F.when(F.col("id") % 5 == 0, 1).otherwise(0)).over(
-        Window.partitionBy("k").orderBy("id")
-    )
-    assert out.withColumn("want", want).where("n <> want").count() == 0
-    assert out.count() == 1000
-
-
 def test_ordered_text_quotes_its_separator(spark):
     df = spark.createDataFrame([(2, "b"), (1, "a"), (3, None)], "o int, p string")
     assert df.agg(ordered_text("p", "o", "'").alias("t")).first().t == "a'b"
