@@ -6,17 +6,13 @@ from pyspark.sql import functions as F
 
 from helioquant.functions import units
 from helioquant.functions.numeric import round_half_up
-from helioquant.functions.timestamps import date_text
 from helioquant.operators import canonical, dictionary, registry
 from helioquant.plans import sqltext as q
 from helioquant.plans.adapters import (
     ASSETS_SQL,
-    BULK_SQL,
     GENERATION_SQL,
     UNIT_PAIRS,
     UNIT_TEXTS,
-    bulk,
-    day_text,
     dealt,
     flag,
     generation,

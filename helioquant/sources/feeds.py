@@ -66,6 +66,8 @@ def typed_schema(spec: FeedSpec) -> T.StructType:
 def _csv_reader(reader, spec: FeedSpec):
     reader = reader.option("header", True).option("mode", "PERMISSIVE")
     reader = reader.option("columnNameOfCorruptRecord", CORRUPT)
+    # A file whose header has other columns, or another order, is an error and not a mix-up.
+    reader = reader.option("enforceSchema", False)
     return reader.options(**spec.options)
 
 

@@ -63,6 +63,14 @@ def test_stacked_feeds(spark, specs):
     assert df.where("feed = 'wtr'").agg(F.max("irradiation")).first()[0] == 1.2
 
 
+def test_foreign_header_is_an_error(spark, tmp_path):
+    path = tmp_path / "swapped.csv"
+    path.write_text(HEAD.replace("DC_POWER,AC_POWER", "AC_POWER,DC_POWER") + "15-05-2020 00:00,1,x,1,2,3,4\n")
+    spec = FeedSpec("gen", str(path), timestamps.DAY_FIRST)
+    with pytest.raises(Exception, match="CSV header does not conform"):
+        feeds.read_feed(spark, spec, typed=True).collect()
+
+
 def test_verification_counts_nulls_as_failures(spark, specs):
     rows = {r.feed: r for r in feeds.verify_feeds(spark, specs).collect()}
     gen = rows["gen"]
