@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from helioquant.functions.joins import null_safe_join
 
-HOT_ROWS = 5_000_000
+HOT_ROWS = 2_000_000
 ACCURACY = 100_000
 
 

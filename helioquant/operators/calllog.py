@@ -197,7 +197,8 @@ def _stream_fields(lines: DataFrame) -> DataFrame:
     kind = _get(event, "$.type", "string")
     delta_kind = _get(event, "$.delta.type", "string")
     finish = F.nullif(_get(event, "$.choices[0].finish_reason", "string"), F.lit(""))
-    usage_b = ~first & _is_object(_get(event, "$.usage", "variant"))
+    reported = _get(event, "$.usage", "variant")
+    usage_b = ~first & _is_object(reported) & (F.schema_of_variant(reported) != "OBJECT<>")
     raw_stop = _get(event, "$.delta.stop_reason", "string")
     starts = (kind == "content_block_start") & (
         _get(event, "$.content_block.type", "string") == "tool_use"
@@ -385,7 +386,8 @@ def _completions_tools(events: Column) -> Column:
 def assemble_streams(lines: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Recorded stream lines put together per call: text, tool calls, stop reason, usage.
 
-    ``lines``: call_id, provider, seq, line. Lines are parsed once and gathered in two steps: by
+    ``lines``: call_id, provider, seq, line. A copy of a line (same call, same number) counts once;
+    copies collapse before they are shuffled. Lines are parsed once and gathered in two steps: by
     runs of ``chunk_rows`` line numbers, which bounds what a task collects, and then by call,
     where only the joined text and the tool events are left, that is, what the result row of the
     call holds in any case.
@@ -394,7 +396,7 @@ def assemble_streams(lines: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFram
     fields = _stream_fields(lines).withColumn("_chunk", chunk_of("seq", chunk_rows))
     chunks = (
         fields.groupBy(*keys, "_chunk")
-        .agg(F.sort_array(F.collect_list(F.struct("seq", *PARTS))).alias("_rows"))
+        .agg(F.sort_array(F.collect_set(F.struct("seq", *PARTS))).alias("_rows"))
         .select(*keys, "_chunk", *_gather(F.col("_rows")))
     )
     calls = (

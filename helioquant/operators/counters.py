@@ -15,8 +15,8 @@ FLAG_MONOTONIC = "QC_MONOTONIC_INCREASING"
 FLAG_DAILY_DROP = "QC_FLAG_DAILY_ENERGY_DROP"
 FLAG_NOT_CHRONOLOGICAL = "QC_FLAG_NOT_CHRONOLOGICAL"
 
-# Rows of arrival order that make up one segment of the look-back.
-ARRIVAL_UNIT = 1_000_000
+# Consecutive arrival numbers (of all devices) that make up one segment of the look-back.
+ARRIVAL_UNIT = 100_000_000
 
 
 def counter_step(

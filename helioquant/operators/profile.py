@@ -300,6 +300,7 @@ def specific_yield(
     ac: str = "ac",
     ts: str = "ts",
     decimals: int | None = None,
+    digits: int = 3,
 ) -> DataFrame:
     """Least, mean and greatest daily energy of a plant, and the same per kWp, per scenario.
 
@@ -320,7 +321,7 @@ def specific_yield(
         plant,
         *[round_half_up(f"_{k}", 0).alias(f"{k}_daily_kwh") for k in kinds],
         *[
-            round_half_up(ratio(f"_{k}", "capacity_kwp"), 3).alias(f"{k}_specific_yield")
+            round_half_up(ratio(f"_{k}", "capacity_kwp"), digits).alias(f"{k}_specific_yield")
             for k in kinds
         ],
     )

@@ -138,12 +138,12 @@ def test_streams(spark, chunk_rows):
         {"type": "message_stop"}, "data: [DONE]", text_a("too late"),
     ])
     plain_b = stream("b", B, [
-        delta_b(content="Checking "), delta_b(content="plant..."), delta_b(content=None),
+        delta_b(content="Checking "), delta_b(content="plant..."), delta_b(content=None, usage=None), {"choices": [], "usage": {}},
         calls_b(0, '{"table": ', "c1", "query"), calls_b(1, "{bad", "c2", "other"), calls_b(0, '"plants"}'),
         delta_b("tool_calls", {"prompt_tokens": 10, "completion_tokens": 20}), "data: [DONE]", delta_b(content="late"),
     ])
     cut_b = stream("cut", B, [delta_b(content="x"), calls_b(0, "{}", "c1", "query")])
-    rows = plain_a + plain_b + cut_b
+    rows = plain_a + plain_b + cut_b + plain_a[:6] * 3 + plain_b[3:5]  # some lines were logged again
     lines = spark.createDataFrame(rows, "call_id string, provider string, seq long, line string")
     out = {r.call_id: r for r in calllog.assemble_streams(lines.repartition(3), chunk_rows).collect()}
     a, b, cut = out["a"], out["b"], out["cut"]
