@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from helioquant.functions.fixed import fixed_rows
+
 # Canonical units by dimension.
 DIMENSIONS = {
     "power": ("W", "kW", "MW", "GW"),
@@ -159,7 +161,7 @@ def normalize_unit_expr(unit: Column | str) -> Column:
 def unit_table(spark: SparkSession) -> DataFrame:
     """(unit_key, unit, dimension): fixed, under a hundred rows."""
     rows = [(key, unit, DIMENSION_OF[unit]) for key, unit in LOOKUP.items()]
-    return spark.createDataFrame(rows, "unit_key string, unit string, dimension string")
+    return fixed_rows(spark, rows, "unit_key string, unit string, dimension string")
 
 
 def register_conversion(from_unit: str, to_unit: str, conversion: Conversion) -> None:
@@ -216,7 +218,7 @@ def conversion_table(spark: SparkSession) -> DataFrame:
         for (source, target), c in _PAIRS.items()
         if isinstance(c, Affine) and source != target
     ]
-    return spark.createDataFrame(rows, schema)
+    return fixed_rows(spark, rows, schema)
 
 
 def convert_readings(
@@ -229,7 +231,8 @@ def convert_readings(
 ) -> DataFrame:
     """Convert a long table whose units are columns; failures get a reason, never an exception.
 
-    The lookup tables are fixed and small, so the readings are neither shuffled nor sorted.
+    The lookup tables are local relations of known size, which Spark broadcasts: the readings are
+    neither shuffled nor sorted.
     """
     spark = df.sparkSession
     types = {f.name: f.dataType for f in df.schema.fields}
@@ -244,7 +247,7 @@ def convert_readings(
     affine = conversion_table(spark).withColumn("_known", F.lit(True))
 
     def side(prefix: str) -> DataFrame:
-        return F.broadcast(units.select(*[F.col(c).alias(f"{prefix}{c}") for c in units.columns]))
+        return units.select(*[F.col(c).alias(f"{prefix}{c}") for c in units.columns])
 
     joined = (
         df.withColumn("_v", F.expr(f"try_cast(`{value}` as double)"))
@@ -253,9 +256,7 @@ def convert_readings(
         .join(side("_f_"), "_f_unit_key", "left")
         .join(side("_t_"), "_t_unit_key", "left")
         .join(
-            F.broadcast(
-                affine.withColumnsRenamed({"from_unit": "_f_unit", "to_unit": "_t_unit"})
-            ),
+            affine.withColumnsRenamed({"from_unit": "_f_unit", "to_unit": "_t_unit"}),
             ["_f_unit", "_t_unit"],
             "left",
         )

@@ -102,7 +102,7 @@ def tag_irradiance(
 
 def classify_columns(columns: DataFrame, mapping: DataFrame, name: str = "source_name") -> DataFrame:
     """Each raw column as a mapped signal, a dimension, or unmapped."""
-    return columns.join(F.broadcast(mapping), name, "left").select(
+    return columns.join(mapping, name, "left").select(
         *columns.columns,
         F.coalesce("role", F.lit("unmapped")).alias("role"),
         "target",

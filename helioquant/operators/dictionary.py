@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from helioquant.functions.fixed import fixed_rows
+
 SIGNAL_SCHEMA = (
     "signal_key string, display_name string, category string, unit string, data_type string, "
     "monotonicity string, bound_min_rule string, bound_max_rule string, is_active boolean, "
@@ -78,7 +80,7 @@ def canonical_signals(spark: SparkSession, with_wind: bool = False) -> DataFrame
         rows += [
             (key, key, "wind", "", "float", "none", None, None, False, key) for key in WIND_KEYS
         ]
-    return spark.createDataFrame(rows, SIGNAL_SCHEMA)
+    return fixed_rows(spark, rows, SIGNAL_SCHEMA)
 
 
 def raw_mapping(spark: SparkSession, dc_factor: float = 1000.0) -> DataFrame:
@@ -86,8 +88,10 @@ def raw_mapping(spark: SparkSession, dc_factor: float = 1000.0) -> DataFrame:
         (raw, role, key, unit, dc_factor if raw == "DC_POWER" else factor)
         for raw, role, key, unit, factor in RAW_MAPPING
     ]
-    return spark.createDataFrame(
-        rows, "source_name string, role string, target string, unit string, scale_factor double"
+    return fixed_rows(
+        spark,
+        rows,
+        "source_name string, role string, target string, unit string, scale_factor double",
     )
 
 
@@ -103,7 +107,8 @@ def channel_templates(spark: SparkSession, dc_factor: float = 1000.0) -> DataFra
         )
         for kind, signal, raw, unit, seconds, method in CHANNEL_TEMPLATES
     ]
-    return spark.createDataFrame(
+    return fixed_rows(
+        spark,
         rows,
         "asset_type string, signal_key string, source_name string, source_unit string, "
         "interval_s int, aggregation_method string, scale_factor double, target_unit string, "

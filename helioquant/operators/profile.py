@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from helioquant.functions.fixed import fixed_rows
 from helioquant.functions.numeric import as_col, count_where, mean, ratio, round_half_up, scaled, total
 from helioquant.functions.quantiles import HOT_ROWS, grouped_percentiles
 from helioquant.functions.timestamps import calendar_days, local_date, slot
@@ -287,8 +288,8 @@ def scenario_table(
     spark: SparkSession, scenarios: Iterable[tuple[str, str, float]]
 ) -> DataFrame:
     """(plant, scenario, capacity in kWp) rows as a frame."""
-    return spark.createDataFrame(
-        list(scenarios), "plant string, scenario string, capacity_kwp double"
+    return fixed_rows(
+        spark, list(scenarios), "plant string, scenario string, capacity_kwp double"
     )
 
 

@@ -89,9 +89,9 @@ def build_assets(
 
 
 def build_channels(assets: DataFrame, templates: DataFrame) -> DataFrame:
-    """Each asset times the channel templates of its type. The template table is fixed."""
+    """Each asset times the channel templates of its type."""
     joined = assets.select("id", "plant_id", "source_key", "asset_type").join(
-        F.broadcast(templates), "asset_type"
+        templates, "asset_type"
     )
     return joined.select(
         natural_id("id", "signal_key").alias("id"),
