@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
@@ -120,36 +119,40 @@ def _unrecognized(text: str) -> str:
     return f"Unrecognized unit '{text}'"
 
 
-EMPTY_UNIT = "Unit string cannot be empty"
+def _not_text(kind: str) -> str:
+    return f"A unit must be a string, not {kind}"
+
+
+EMPTY_UNIT = "The unit is empty"
 
 
 def normalize_unit(text: str) -> str:
     """Canonical unit of a spelling, on the driver; raises where there is none."""
     if not isinstance(text, str):
-        raise UnknownConversionError(
-            str(text), reason=f"Unit must be a string, got {type(text).__name__}"
-        )
-    cleaned = text.strip()
-    if not cleaned:
-        raise UnknownConversionError(text, reason=EMPTY_UNIT)
-    if cleaned in DIMENSION_OF:
-        return cleaned
-    key = re.sub(r"\s+", " ", cleaned.lower())
+        raise UnknownConversionError(str(text), reason=_not_text(type(text).__name__))
+    exact = text.strip()
+    folded = " ".join(exact.lower().split())
     for word in DEGREE_WORDS:
-        key = key.replace(word, "deg")
-    if key not in LOOKUP:
-        raise UnknownConversionError(text, reason=_unrecognized(text))
-    return LOOKUP[key]
+        folded = folded.replace(word, "deg")
+    unit = exact if exact in DIMENSION_OF else LOOKUP.get(folded)
+    if unit is None:
+        raise UnknownConversionError(text, reason=_unrecognized(text) if exact else EMPTY_UNIT)
+    return unit
 
 
 def unit_key(unit: Column | str) -> Column:
     """The text a unit column is looked up by (canonical names keep their case)."""
     unit = F.col(unit) if isinstance(unit, str) else unit
-    cleaned = F.regexp_replace(unit, r"(?U)^\s+|\s+$", "")
-    key = F.regexp_replace(F.lower(cleaned), r"(?U)\s+", " ")
+    trimmed = F.regexp_replace(unit, r"(?U)^\s+|\s+$", "")
+    key = F.regexp_replace(F.lower(trimmed), r"(?U)\s+", " ")
     for word in DEGREE_WORDS:
         key = F.replace(key, F.lit(word), F.lit("deg"))
-    return F.when(cleaned.isin(*DIMENSION_OF), cleaned).otherwise(key)
+    # A text that is a lookup key already, as most are, skips the pattern work.
+    return (
+        F.when(unit.isin(*LOOKUP), unit)
+        .when(trimmed.isin(*DIMENSION_OF), trimmed)
+        .otherwise(key)
+    )
 
 
 def normalize_unit_expr(unit: Column | str) -> Column:
@@ -238,9 +241,7 @@ def convert_readings(
     types = {f.name: f.dataType for f in df.schema.fields}
     for name in (from_unit, to_unit):
         if not isinstance(types[name], T.StringType):
-            raise UnknownConversionError(
-                name, reason=f"Unit must be a string, got {types[name].simpleString()}"
-            )
+            raise UnknownConversionError(name, reason=_not_text(types[name].simpleString()))
     units = unit_table(spark)
     # Custom functions of a pair are applied as expressions; the rest comes from the table.
     custom = {pair: c for pair, c in _PAIRS.items() if not isinstance(c, Affine)}
