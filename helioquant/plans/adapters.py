@@ -47,6 +47,11 @@ def k_number() -> Column:
     return F.get_json_object("props", "$.k").cast("int")
 
 
+def arrival_number(row: Column) -> Column:
+    """A distinct arrival number per row that leaves the order of time in places."""
+    return row + row % 7 * 1001
+
+
 def dealt(options: tuple[str, ...], number: Column) -> Column:
     """An option per row, by a number of the row."""
     chosen = F.when(F.pmod(number, F.lit(len(options))) == 0, F.lit(options[0]))
@@ -143,7 +148,7 @@ def as_long_readings(events: DataFrame) -> DataFrame:
         "ts",
         F.to_date("ts").alias("local_date"),
         F.col("value"),
-        (k_number().cast("long") * F.lit(1_000_000_000) + F.col("event_id")).alias("ingest_seq"),
+        arrival_number(F.col("event_id")).alias("ingest_seq"),
     )
 
 
@@ -154,7 +159,7 @@ readings AS (
               WHEN 'purchase' THEN 'energy_ac_daily' WHEN 'signup' THEN 'energy_ac_total'
               ELSE 'gearbox_temperature' END AS signal_key,
          ts, CAST(ts AS DATE) AS local_date, value,
-         CAST(regexp_extract(props, '(\d+)', 1) AS BIGINT) * 1000000000 + event_id AS ingest_seq
+         event_id + event_id % 7 * 1001 AS ingest_seq
   FROM events)"""
 
 

@@ -12,6 +12,7 @@ from helioquant.plans.adapters import (
     GENERATION_SQL,
     PLANTS,
     WEATHER_SQL,
+    arrival_number,
     bulk,
     day_text,
     flag,
@@ -308,7 +309,7 @@ SELECT reading_id, {q.flag('drop_flag')} AS daily_drop,
 
 def arrival_order_flags(spark, sf):
     readings = generation(spark, sf).withColumn(
-        "ingest_seq", F.col("k").cast("long") * F.lit(1_000_000_000) + F.col("reading_id")
+        "ingest_seq", arrival_number(F.col("reading_id"))
     )
     df = counters.qc_chronology(readings, keys=("plant", "device"))
     return df.select("reading_id", F.coalesce("qc_flag", F.lit("")).alias("qc_flag"))
@@ -527,7 +528,7 @@ QUERIES = {
     "qc_chronology": (
         arrival_order_flags,
         f"""WITH {GENERATION_SQL}
-        SELECT reading_id, CASE WHEN ts <= lag(ts) OVER (PARTITION BY plant, device ORDER BY k, reading_id)
+        SELECT reading_id, CASE WHEN ts <= lag(ts) OVER (PARTITION BY plant, device ORDER BY reading_id + reading_id % 7 * 1001)
                THEN 'QC_FLAG_NOT_CHRONOLOGICAL' ELSE '' END AS qc_flag FROM generation""",
     ),
 }
