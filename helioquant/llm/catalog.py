@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from helioquant.llm import language, packing
+from helioquant.llm import language, neardup, packing, repeats
 
 CATALOG: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op3_language_id": (language.op3_language_id, None),
     "op4_best_fit_packing": (packing.op4_best_fit_packing, None),
+    "op6_suffix_array_dedup": (repeats.op6_suffix_array_dedup, None),
+    "op10_minhash_near_dedup": (neardup.op10_minhash_near_dedup, None),
 }
