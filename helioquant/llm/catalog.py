@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from helioquant.llm import language, neardup, packing, repeats
+from helioquant.llm import language, neardup, packing, repeats, toxicity
 
 CATALOG: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op3_language_id": (language.op3_language_id, None),
     "op4_best_fit_packing": (packing.op4_best_fit_packing, None),
     "op6_suffix_array_dedup": (repeats.op6_suffix_array_dedup, None),
+    "op8_toxicity": (toxicity.op8_toxicity, None),
     "op10_minhash_near_dedup": (neardup.op10_minhash_near_dedup, None),
 }
