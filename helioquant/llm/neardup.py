@@ -11,7 +11,9 @@ Pairs inside a band's bucket are never all formed. Equal sets are one class with
 A first round compares each class of a bucket with the bucket's smallest class only. After linking
 these, a second round looks at buckets that still hold more than one component and compares the
 members outside the bucket's commonest component with the members of other components: those are
-all the pairs that could still join components, so that nothing is lost and no cap is needed.
+all the pairs that could still join components, so that nothing is lost and no cap is needed. Pairs
+whose sets cannot reach the threshold are left out first: no shingle that only one document of these
+buckets has can be in an intersection, which bounds a pair's similarity from the sizes of the rest.
 
 Defined cases: texts without a word have an empty set and stay alone; rows that share a doc_id are
 one node with all their links, and each row is returned; a row without an id is returned with a null
@@ -139,6 +141,19 @@ def confirmed(pairs: DataFrame, sketches: DataFrame, sets: DataFrame) -> DataFra
     return map_arrow(near, run, "a long, b long").distinct()
 
 
+def own_shingles(sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """id and alone, how many of its shingles no other document of ids has (at least 1 of them)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, value in zip(batch.column(0), batch.column(1)):
+                tokens = np.frombuffer(value.as_buffer(), "<i8")
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(tokens), i.as_py())), pa.array(tokens)], ["id", "shingle"])
+
+    tokens = map_arrow(sets.join(ids, "id", "left_semi").select("id", "members"), run, "id long, shingle long")
+    by_one = tokens.groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("last")).where("id = last")
+    return by_one.groupBy("id").agg(F.count("*").alias("alone"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """id and component, the smallest id that can be reached, of every id in links (a, b).
 
@@ -183,6 +198,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     owners = full.join(classes, alike).where(F.col("doc_id") == F.col("first"))
     entries = owners.select(F.col("doc_id").alias("id"), F.explode("bands").alias("bucket")).distinct()
     sketches = owners.select(F.col("doc_id").alias("id"), "sketch").distinct()
+    whole_sizes = owners.groupBy(F.col("doc_id").alias("id")).agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("n"))
     leaders = entries.groupBy("bucket").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader < last")
     shared = cut_lineage(entries.join(leaders.select("bucket", "leader"), "bucket"))
 
@@ -193,15 +209,31 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     found = components(links)
 
     placed = shared.join(found, "id", "left").select("bucket", "leader", "id", F.coalesce("component", "id").alias("component"))
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
-    placed = cut_lineage(placed.join(mixed.select("bucket"), "bucket"))
+    def unsettled(placed: DataFrame) -> DataFrame:
+        mixed = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
+        return placed.join(mixed.select("bucket"), "bucket")
+
+    kept, whole = THRESHOLD
+    placed = cut_lineage(unsettled(placed))
+    ids = placed.select("id").distinct()
+    # Of an id with several texts the smallest size and the most common shingles bound all of them.
+    bounds = ids.join(whole_sizes, "id").join(own_shingles(sets, ids), "id", "left").select(
+        "id", "least", F.when(F.col("least") == F.col("n"), F.col("n") - F.coalesce("alone", F.lit(0))).otherwise(F.col("n")).alias("shared")
+    )
+    placed = placed.join(bounds.where(F.col("shared") * whole >= F.col("least") * kept), "id")
+    placed = cut_lineage(unsettled(placed))
     sizes = placed.groupBy("bucket", "component").count()
     commonest = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("count", "component")).alias("commonest"))
     outside = placed.join(commonest, "bucket").where("component != commonest")
+    both = F.least("sa", "sb", "na", "nb")
     second = (
-        outside.select("bucket", F.col("id").alias("a"), F.col("component").alias("ca"))
-        .join(placed.select("bucket", F.col("id").alias("b"), F.col("component").alias("cb"), "leader"), "bucket")
+        outside.select("bucket", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("least").alias("na"), F.col("shared").alias("sa"))
+        .join(
+            placed.select("bucket", F.col("id").alias("b"), F.col("component").alias("cb"), "leader", F.col("least").alias("nb"), F.col("shared").alias("sb")),
+            "bucket",
+        )
         .where((F.col("ca") != F.col("cb")) & (F.col("a") != F.col("leader")) & (F.col("b") != F.col("leader")))
+        .where(both * whole >= (F.col("na") + F.col("nb") - both) * kept)
         .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         .distinct()
     )
