@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from helioquant.llm import fingerprints, language, neardup, neighbours, packing, repeats, toxicity
+from helioquant.llm import fingerprints, language, mixing, neardup, neighbours, packing, repeats, toxicity, urlfilter
 
 CATALOG: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op2_fingerprints": (fingerprints.op2_fingerprints, None),
     "op3_language_id": (language.op3_language_id, None),
     "op4_best_fit_packing": (packing.op4_best_fit_packing, None),
+    "op5_temperature_mixing": (mixing.op5_temperature_mixing, None),
     "op6_suffix_array_dedup": (repeats.op6_suffix_array_dedup, None),
     "op7_nearest_neighbours": (neighbours.op7_nearest_neighbours, None),
     "op8_toxicity": (toxicity.op8_toxicity, None),
+    "op9_url_filters": (urlfilter.op9_url_filters, urlfilter.ORACLE_SQL),
     "op10_minhash_near_dedup": (neardup.op10_minhash_near_dedup, None),
 }
