@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from helioquant.llm import fingerprints, language, mixing, neardup, neighbours, packing, repeats, toxicity, urlfilter
+from helioquant.llm import fingerprints, language, licenses, mixing, neardup, neighbours, packing, repeats, toxicity, urlfilter
 
 CATALOG: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
+    "op1_license_scans": (licenses.op1_license_scans, None),
     "op2_fingerprints": (fingerprints.op2_fingerprints, None),
     "op3_language_id": (language.op3_language_id, None),
     "op4_best_fit_packing": (packing.op4_best_fit_packing, None),
