@@ -41,12 +41,16 @@ WINDOW_BYTES = 60
 #: Bytes of a stem that the dictionaries are made of, at least and at most.
 STEM = (4, 12)
 #: A stem is taken from so many surroundings on, if its share is so many times that on the other side.
-LEAST_PLACES, LEAST_RATIO = 8, 8
+LEAST_PLACES, LEAST_RATIO = 8, 5
 #: Both dictionaries begin with it, and every window: else zstandard stores a short window as it is
 #: rather than save a few bytes.
 PREAMBLE = bytes(np.random.default_rng(3).integers(128, 192, 64, dtype=np.uint8))
 #: Shortest match of the compressor, and the share of the other side's texts that a match may be in.
 MIN_MATCH, MOST_OTHERS = 6, 0.002
+#: A match that more of them have is allowed from this ratio of the shares of both sides on.
+GRAM_RATIO = 4
+#: How many missed toxic texts, in shares of their label, a falsely rejected one weighs.
+FALSE_ALARM = 4
 #: Bytes that a window must gain to count.
 LEAST_GAIN = 3
 FEATURES = 7
@@ -116,17 +120,24 @@ def _words(text: bytes) -> list[bytes]:
     return [w.strip(PUNCTUATION) for w in text.split()]
 
 
-def _telling_parts(words: list[bytes], texts: list[bytes]) -> dict[bytes, bytes]:
+def _telling_parts(words: list[bytes], mine: list[bytes], others: list[bytes]) -> dict[bytes, bytes]:
     """Of each word with the blanks around it the longest beginning that holds no common string.
 
-    A string of MIN_MATCH bytes is common if more than MOST_OTHERS of the texts have it. Words whose
-    first such string is common are left out.
+    A string of MIN_MATCH bytes is common if more than MOST_OTHERS of the other side's texts have it
+    and its share on this side is not GRAM_RATIO times as large. Words whose first such string is
+    common are left out.
     """
     grams = {w: [(b" " + w + b" ")[i : i + MIN_MATCH] for i in range(len(w) + 3 - MIN_MATCH)] for w in words}
-    wanted, seen = {g for own in grams.values() for g in own}, Counter()
-    for text in texts:
-        seen.update(wanted.intersection({text[i : i + MIN_MATCH] for i in range(len(text) + 1 - MIN_MATCH)}))
-    common = {g for g, n in seen.items() if n > MOST_OTHERS * len(texts)}
+    wanted = {g for own in grams.values() for g in own}
+
+    def shares(texts: list[bytes]) -> dict[bytes, float]:
+        seen = Counter()
+        for text in texts:
+            seen.update(wanted.intersection({text[i : i + MIN_MATCH] for i in range(len(text) + 1 - MIN_MATCH)}))
+        return {g: n / len(texts) for g, n in seen.items()}
+
+    here, there = shares(mine), shares(others)
+    common = {g for g, x in there.items() if x > MOST_OTHERS and here.get(g, 0) < GRAM_RATIO * x}
     out = {}
     for word, own in grams.items():
         good = next((i for i, g in enumerate(own) if g in common), len(own))
@@ -161,7 +172,7 @@ def _favoured(mine: list[bytes], others: list[bytes]) -> list[bytes]:
             stems.append(stem)
     out, size = [], 0
     words = [[w for w, _ in spelled[s].most_common(WORDS_OF_STEM)] for s in stems]
-    parts = _telling_parts([w for own in words for w in own], others)
+    parts = _telling_parts([w for own in words for w in own], mine, others)
     for part in dict.fromkeys(parts[w] for own in words for w in own if w in parts):
         if size < DICTIONARY_BYTES // 2:
             out.append(part)
@@ -205,7 +216,7 @@ def _calibrate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         w = w + np.linalg.solve(curve, slope)
     z = x @ w
     order = np.argsort(z)
-    right = np.cumsum(y[order] == 0) / (y == 0).sum() + 1 - np.cumsum(y[order]) / y.sum()
+    right = FALSE_ALARM * np.cumsum(y[order] == 0) / (y == 0).sum() - np.cumsum(y[order]) / y.sum()
     best = np.flatnonzero(right >= right.max() - 1e-12)
     i = int(best[len(best) // 2])
     cut = (z[order[i]] + z[order[min(i + 1, len(z) - 1)]]) / 2
