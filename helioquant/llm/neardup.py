@@ -9,7 +9,8 @@ leave a similarity within ``SLACK`` of the threshold are confirmed on their full
 
 Pairs inside a band's bucket are never all formed. Equal sets are one class with its smallest id.
 A first round compares each class of a bucket with the bucket's smallest class only. After linking
-these, a second round looks at buckets that still hold more than one component and compares the
+these, a second round compares the members of a bucket with the one that has the fewest shingles of
+its own, and a third looks at buckets that still hold more than one component and compares the
 members outside the bucket's commonest component with the members of other components: those are
 all the pairs that could still join components, so that nothing is lost and no cap is needed. Pairs
 whose sets cannot reach the threshold are left out first: no shingle that only one document of these
@@ -222,6 +223,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     )
     placed = placed.join(bounds.where(F.col("shared") * whole >= F.col("least") * kept), "id")
     placed = cut_lineage(unsettled(placed))
+
+    # The member of a bucket with the fewest shingles of its own is the likeliest to be near the others.
+    rank = F.struct(F.col("shared") / F.col("least"), -F.col("id"))
+    hubs = placed.groupBy("bucket").agg(F.max_by(F.struct(F.col("id").alias("hub"), F.col("component").alias("its")), rank).alias("h"))
+    star = placed.join(hubs.select("bucket", "h.*"), "bucket").where("component != its and id != leader and hub != leader")
+    star = star.select(F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b")).distinct()
+    so_far = found.select(F.col("id").alias("a"), F.col("component").alias("b"))
+    found = components(cut_lineage(confirmed(star.join(first, ["a", "b"], "left_anti"), sketches, sets).union(so_far)))
+    placed = placed.drop("component").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    placed = cut_lineage(unsettled(placed))
     sizes = placed.groupBy("bucket", "component").count()
     commonest = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("count", "component")).alias("commonest"))
     outside = placed.join(commonest, "bucket").where("component != commonest")
