@@ -30,15 +30,15 @@ def round_half_up(value: Column | str, digits: int) -> Column:
 def total(value: Column | str, decimals: int | None = None) -> Column:
     """Sum of a measure.
 
-    With ``decimals`` the values are summed as whole multiples of ``10^-decimals`` in a 64-bit
-    integer, so the total does not depend on the order in which partitions are merged. Use it for
+    With ``decimals`` the values are summed as whole multiples of ``10^-decimals`` in a 38-digit
+    decimal, so the total does not depend on the order in which partitions are merged. Use it for
     feeds that report a fixed number of decimals; without it the sum is a plain double sum.
     """
     value = as_col(value)
     if decimals is None:
         return F.sum(value)
     factor = F.lit(float(10**decimals))
-    return F.sum(F.floor(value * factor + F.lit(0.5)).cast("long")) / factor
+    return F.sum(F.floor(value * factor + F.lit(0.5)).cast("decimal(28,0)")).cast("double") / factor
 
 
 def mean(value: Column | str, decimals: int | None = None) -> Column:

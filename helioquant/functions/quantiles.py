@@ -1,14 +1,15 @@
 """Exact interpolated quantiles per group that hold when one group owns most of the rows.
 
-Spark's ``percentile`` keeps every distinct value of a group in one task. That is right for
-ordinary groups. Groups above ``hot_rows`` take another exact way:
+Spark's ``percentile`` keeps every distinct value of a group in one task. Here all groups, small or
+large, take the same way:
 
-1. a mergeable quantile sketch brackets each wanted rank (the bracket is about
-   ``4 / accuracy`` of the group),
-2. one pass counts the rows between the brackets and the distinct values inside them,
-3. running counts over that small table pick the values at the two ranks around the target.
+1. a mergeable sketch of each group gives cut points close below and above each wanted rank,
+2. one pass counts the rows between cut points; running totals tell in which bucket a rank lies,
+3. only the buckets that hold a wanted rank are counted value by value, and running counts over
+   that small table pick the values at the two ranks around the target.
 
-A bracket that missed its rank would raise an error rather than give an approximate answer.
+A bucket around a rank holds about ``4 / accuracy`` of its group. A sketch that misses a rank makes
+another bucket be counted, so the result is exact whatever the sketch says.
 """
 
 from __future__ import annotations
@@ -20,7 +21,6 @@ from pyspark.sql import functions as F
 
 from helioquant.functions.joins import null_safe_join
 
-HOT_ROWS = 2_000_000
 ACCURACY = 100_000
 
 
@@ -41,14 +41,12 @@ def grouped_percentiles(
     specs: Mapping[str, tuple[str, float]],
     extra: Sequence[Column] = (),
     approx: bool = False,
-    hot_rows: int | None = HOT_ROWS,
     accuracy: int = ACCURACY,
 ) -> DataFrame:
     """Quantiles (and the aliased aggregates in ``extra``) per group.
 
     ``specs`` maps an output name to (value column, probability). ``approx=True`` uses the
-    sketch alone. ``hot_rows=None`` skips the size check, for callers who know that every
-    group is small.
+    sketch alone.
     """
     keys = list(keys)
     if not keys:
@@ -62,27 +60,67 @@ def grouped_percentiles(
         ]
         return _name_quantiles(df.groupBy(*keys).agg(*extra, *parts), by_column, specs)
 
-    exact = [
-        F.percentile(c, F.array(*[F.lit(p) for p in probs])).alias(f"_q_{i}")
-        for i, (c, probs) in enumerate(by_column.items())
+    margin = 2.0 / accuracy
+    probs = sorted({p for ps in by_column.values() for p in ps})
+    around = sorted({min(max(p + d, 0.0), 1.0) for p in probs for d in (-margin, margin)})
+    columns = list(by_column)
+    # One scan: the caller's aggregates, row counts and cut points of every value column.
+    first = df.groupBy(*keys).agg(
+        *extra,
+        *[F.count(c).alias(f"_n_{i}") for i, c in enumerate(columns)],
+        *[F.percentile_approx(F.col(c).cast("double"), around, accuracy).alias(f"_c_{i}") for i, c in enumerate(columns)],
+    )
+    cuts = _long(first, keys, [(F.col(f"_n_{i}").alias("_n"), F.col(f"_c_{i}").alias("_cuts")) for i in range(len(columns))])
+    values = _long(df, keys, [(F.col(c).cast("double").alias("_v"),) for c in columns]).where(F.col("_v").isNotNull())
+    groups = [*keys, "_series"]
+    placed = null_safe_join(values, cuts.where(F.col("_n") > 0), groups, "inner").withColumn(
+        "_bucket", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))
+    )
+    ranks = _ranks(placed, groups, probs)
+    names = [c for c in first.columns if not c.startswith(("_n_", "_c_"))]
+    outputs = [
+        F.max(F.when(F.col("_series") == F.lit(columns.index(c)), F.col(f"_p{probs.index(p)}"))).alias(name)
+        for name, (c, p) in specs.items()
+    ]
+    return null_safe_join(first.select(*names), ranks.groupBy(*keys).agg(*outputs), keys, "left")
+
+
+def _long(df: DataFrame, keys: Sequence[str], columns: Sequence[tuple[Column, ...]]) -> DataFrame:
+    """A row for each row of df and value column, numbered by _series."""
+    series = [F.struct(F.lit(i).alias("_series"), *parts) for i, parts in enumerate(columns)]
+    return df.select(*keys, F.explode(F.array(*series)).alias("_e")).select(*keys, "_e.*")
+
+
+def _ranks(placed: DataFrame, groups: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """The quantiles _p0, _p1, ... of each group; placed: groups, _n, _v and the _bucket of a value."""
+    before = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = placed.groupBy(*groups, "_n", "_bucket").agg(F.count(F.lit(1)).alias("_c"))
+    buckets = buckets.withColumn("_start", F.coalesce(F.sum("_c").over(before), F.lit(0)))  # few rows a group
+
+    def position(p: float) -> Column:
+        return F.lit(p) * (F.col("_n") - F.lit(1))
+
+    wanted = [r(position(p)) for p in probs for r in (F.floor, F.ceil)]
+    hit = F.lit(False)
+    for rank in wanted:
+        hit = hit | ((F.col("_start") <= rank) & (rank < F.col("_start") + F.col("_c")))
+    hits = buckets.where(hit).select(*groups, "_bucket", "_start")
+    inside = null_safe_join(placed, hits, [*groups, "_bucket"], "inner")
+    counted = inside.groupBy(*groups, "_n", "_bucket", "_start", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    order = Window.partitionBy(*groups, "_bucket").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    running = counted.withColumn("_end", F.col("_start") + F.sum("_c").over(order))
+    picks = [
+        F.max(F.when((F.col("_end") - F.col("_c") <= rank) & (rank < F.col("_end")), F.col("_v"))).alias(f"_{i}")
+        for i, rank in enumerate(wanted)
     ]
-    if hot_rows is None:
-        return _name_quantiles(df.groupBy(*keys).agg(*extra, *exact), by_column, specs)
-
-    # At most (all rows / hot_rows) groups can pass this filter, which bounds the broadcasts.
-    hot = df.groupBy(*keys).count().where(F.col("count") > hot_rows)
-    hot = hot.select(*keys, F.lit(True).alias("_hot"))
-    # Where no group is hot, adaptive execution finds the broadcast empty and drops the branch
-    # of the hot groups before it starts.
-    marked = null_safe_join(df, F.broadcast(hot), keys, "left")
-    cool = marked.where(F.col("_hot").isNull()).drop("_hot")
-    heavy = marked.where(F.col("_hot").isNotNull()).drop("_hot")
-    plain = _name_quantiles(cool.groupBy(*keys).agg(*extra, *exact), by_column, specs)
-    # Every other aggregate combines map-side, so the hot groups need no split for those. The
-    # rows of this frame also keep groups whose values are all null.
-    others = heavy.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), *extra).drop("_rows")
-    ranked = _ranked_quantiles(heavy, keys, by_column, specs, accuracy)
-    return plain.unionByName(null_safe_join(others, ranked, keys, "left"))
+    picked = running.groupBy(*groups, "_n").agg(*picks)
+
+    def quantile(i: int, p: float) -> Column:
+        low, high = F.floor(position(p)), F.ceil(position(p))
+        lo, hi = F.col(f"_{2 * i}"), F.col(f"_{2 * i + 1}")
+        return F.when(low == high, lo).otherwise((high - position(p)) * lo + (position(p) - low) * hi)
+
+    return picked.select(*groups, *[quantile(i, p).alias(f"_p{i}") for i, p in enumerate(probs)])
 
 
 def _name_quantiles(df: DataFrame, by_column, specs) -> DataFrame:
@@ -92,85 +130,3 @@ def _name_quantiles(df: DataFrame, by_column, specs) -> DataFrame:
         position = by_column[column].index(prob)
         out = out.withColumn(name, F.get(F.col(f"_q_{index[column]}"), F.lit(position)))
     return out.drop(*[f"_q_{i}" for i in index.values()])
-
-
-def _ranked_quantiles(df: DataFrame, keys, by_column, specs, accuracy: int) -> DataFrame:
-    columns = list(by_column)
-    margin = 2.0 / accuracy
-    # One row per (row, value column), so that all columns share the passes below.
-    long = df.select(
-        *keys,
-        F.explode(
-            F.array(
-                *[
-                    F.struct(F.lit(i).alias("_series"), F.col(c).cast("double").alias("_v"))
-                    for i, c in enumerate(columns)
-                ]
-            )
-        ).alias("_e"),
-    ).select(*keys, "_e._series", "_e._v").where(F.col("_v").isNotNull())
-
-    probs = sorted({p for ps in by_column.values() for p in ps})
-    lows = [max(p - margin, 0.0) for p in probs]
-    highs = [min(p + margin, 1.0) for p in probs]
-    groups = [*keys, "_series"]
-    sketch = long.groupBy(*groups).agg(
-        F.count("_v").alias("_n"),
-        F.percentile_approx("_v", lows + highs, accuracy).alias("_cuts"),
-        F.min("_v").alias("_min"),
-        F.max("_v").alias("_max"),
-    )
-    k = len(probs)
-    low_cuts = [F.col("_min") if lows[i] == 0.0 else F.col("_cuts")[i] for i in range(k)]
-    high_cuts = [F.col("_max") if highs[i] == 1.0 else F.col("_cuts")[k + i] for i in range(k)]
-    brackets = sketch.select(
-        *groups, "_n", F.array(*low_cuts).alias("_lo"), F.array(*high_cuts).alias("_hi")
-    )
-
-    # One row per hot group: bounded by (all rows / hot_rows), hence the hint.
-    tagged = null_safe_join(long, F.broadcast(brackets), groups, "inner")
-    inside = F.lit(False)
-    gap = F.lit(0)
-    for i in range(k):
-        inside = inside | ((F.col("_v") >= F.col("_lo")[i]) & (F.col("_v") <= F.col("_hi")[i]))
-        gap = gap + F.when(F.col("_v") > F.col("_hi")[i], F.lit(1)).otherwise(F.lit(0))
-    counted = (
-        tagged.select(
-            *groups, "_n", "_v", gap.alias("_gap"), F.when(inside, F.col("_v")).alias("_in")
-        )
-        .groupBy(*groups, "_n", "_gap", "_in")
-        .agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_at"))
-    )
-    order = Window.partitionBy(*groups).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
-    running = counted.withColumn("_end", F.sum("_c").over(order)).withColumn(
-        "_start", F.col("_end") - F.col("_c")
-    )
-
-    picks = []
-    for i, p in enumerate(probs):
-        position = F.lit(p) * (F.col("_n") - F.lit(1))
-        for tag, rank in (("l", F.floor(position)), ("h", F.ceil(position))):
-            hit = (F.col("_start") <= rank) & (rank < F.col("_end"))
-            picks.append(F.max(F.when(hit, F.col("_in"))).alias(f"_{tag}{i}"))
-    picked = running.groupBy(*groups, "_n").agg(*picks)
-
-    def quantile(i: int, p: float) -> Column:
-        position = F.lit(p) * (F.col("_n") - F.lit(1))
-        low, high = F.floor(position), F.ceil(position)
-        lo, hi = F.col(f"_l{i}"), F.col(f"_h{i}")
-        mixed = F.when(low == high, lo).otherwise(
-            (high - position) * lo + (position - low) * hi
-        )
-        missed = lo.isNull() | hi.isNull()
-        return F.when(
-            missed, F.raise_error(F.lit("quantile bracket missed its rank")).cast("double")
-        ).otherwise(mixed)
-
-    values = picked.select(*groups, *[quantile(i, p).alias(f"_p{i}") for i, p in enumerate(probs)])
-    outputs = []
-    for name, (column, prob) in specs.items():
-        series, i = columns.index(column), probs.index(prob)
-        outputs.append(
-            F.max(F.when(F.col("_series") == F.lit(series), F.col(f"_p{i}"))).alias(name)
-        )
-    return values.groupBy(*keys).agg(*outputs)

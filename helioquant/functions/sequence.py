@@ -3,7 +3,8 @@
 A plain window over a key puts the key's whole history in one task, and one key may hold a large
 share of all rows. Here a key's rows are cut along the order into segments (a day by default).
 Rows look back inside their own segment; the last row of every segment is carried to the first
-row of the key's next one. Days with more than ``hot_rows`` rows are cut further in proportion.
+row of the key's next one. ``unit`` is the length of a segment on the axis: choose it so that the
+rows of one key in one unit are a fair share of a task. The result is the same for any unit.
 """
 
 from __future__ import annotations
@@ -16,9 +17,6 @@ from pyspark.sql import functions as F
 from helioquant.functions.timestamps import SECONDS_PER_DAY, epoch_micros
 
 DAY_MICROS = SECONDS_PER_DAY * 1_000_000
-HOT_ROWS = 5_000_000
-MAX_PARTS = 1 << 20
-NO_POSITION_SALTS = 512
 
 
 def with_previous(
@@ -29,7 +27,6 @@ def with_previous(
     position: Column | None = None,
     unit: int = DAY_MICROS,
     tie_breakers: Sequence[str] = (),
-    hot_rows: int | None = HOT_ROWS,
     prefix: str = "prev_",
     basis: DataFrame | None = None,
 ) -> DataFrame:
@@ -38,7 +35,7 @@ def with_previous(
     Order is ``ts`` (or the 64-bit ``position``), then ``tie_breakers``. The first row of a key
     gets nulls. So does a row with a null key or no position: it has no place in any order.
 
-    Segment sizes and segment ends are read from ``basis``: a cheaper frame with the same rows
+    Segment ends are read from ``basis``: a cheaper frame with the same rows
     (such as the scan that ``df`` was derived from), so that the work behind ``df`` is done once.
     """
     keys = list(keys)
@@ -52,36 +49,10 @@ def with_previous(
             "_unit", F.expr(f"(_pos - pmod(_pos, {unit}L)) div {unit}L")
         )
 
-    part = F.lit(0).cast("long")
-    if hot_rows is None:
-        split = with_unit
-    else:
-        # Column-pruned count; at most (all rows / hot_rows) rows survive the filter, which
-        # bounds what is broadcast.
-        dense = (
-            with_unit(basis)
-            .where(F.col("_pos").isNotNull())
-            .groupBy(*keys, "_unit")
-            .agg(F.count(F.lit(1)).alias("_n"))
-            .where(F.col("_n") > hot_rows)
-            .select(
-                *keys,
-                "_unit",
-                F.least(F.ceil(F.col("_n") / F.lit(hot_rows)), F.lit(MAX_PARTS)).alias("_parts"),
-            )
-        )
-        offset = F.pmod(F.col("_pos"), F.lit(unit))
-        part = F.coalesce(F.floor(offset * F.col("_parts") / F.lit(unit)), part)
-
-        def split(frame: DataFrame) -> DataFrame:
-            return with_unit(frame).join(F.broadcast(dense), [*keys, "_unit"], "left")
-
-    placed_segment = F.col("_unit") * F.lit(MAX_PARTS) + part
-    # Rows without a place in the order are spread by hash over segment numbers of their own.
+    # Rows without a place in the order are spread by hash over segment numbers far below all others.
     hashable = [n for n, t in df.dtypes if not t.startswith(("map", "variant"))]
-    spread = F.pmod(F.xxhash64(*hashable), F.lit(NO_POSITION_SALTS)) + F.lit(-(1 << 62))
-    everything = split(df).withColumn("_seg", F.coalesce(placed_segment, spread))
-    everything = everything.drop("_unit", "_parts")
+    spread = F.pmod(F.xxhash64(*hashable), F.lit(1 << 60)) + F.lit(-(1 << 62))
+    everything = with_unit(df).withColumn("_seg", F.coalesce("_unit", spread)).drop("_unit")
 
     row = F.struct(*[F.col(v) for v in values])
     order = ["_pos", *tie_breakers]
@@ -95,8 +66,8 @@ def with_previous(
         # Primitive buffers keep this a hash aggregate.
         last = [F.max_by(v, "_pos").alias(f"_t_{v}") for v in values]
         tail = F.struct(*[F.col(f"_t_{v}").alias(v) for v in values])
-    # One row per key and segment (days times parts), however many readings a key has.
-    in_order = split(basis).where(F.col("_pos").isNotNull()).withColumn("_seg", placed_segment)
+    # One row per key and segment, however many readings a key has.
+    in_order = with_unit(basis).where(F.col("_pos").isNotNull()).withColumnRenamed("_unit", "_seg")
     tails = in_order.groupBy(*keys, "_seg").agg(*last)
     carried = tails.select(
         *keys,

@@ -72,8 +72,10 @@ def date_text(day: Column | str) -> Column:
 
 
 def slot(ts: Column | str, interval_s: int = 900) -> Column:
-    """Start of the reporting interval that holds the reading."""
-    return F.window(as_col(ts), f"{int(interval_s)} seconds").getField("start")
+    """Start of the reporting interval that holds the reading; a missing time stays missing."""
+    over = F.pmod(epoch_micros(ts), F.lit(int(interval_s) * 1_000_000)).cast("decimal(18,0)")
+    zero = F.lit(0)
+    return as_col(ts) - F.make_dt_interval(zero, zero, zero, (over / F.lit(1_000_000)).cast("decimal(18,6)"))
 
 
 def hours_per_slot(interval_s: int = 900) -> float:

@@ -116,14 +116,14 @@ _PAIRS: dict[tuple[str, str], Conversion] = {
 
 
 def _unrecognized(text: str) -> str:
-    return f"Unrecognized unit '{text}'"
+    return f"'{text}' is not a unit spelling on file"
 
 
 def _not_text(kind: str) -> str:
-    return f"A unit must be a string, not {kind}"
+    return f"units are given as text, got {kind}"
 
 
-EMPTY_UNIT = "The unit is empty"
+EMPTY_UNIT = "no unit given (empty)"
 
 
 def normalize_unit(text: str) -> str:
@@ -186,12 +186,11 @@ def get_conversion(from_unit: str, to_unit: str) -> Conversion:
         raise UnknownConversionError(
             from_unit,
             to_unit,
-            "Incompatible physical dimensions "
-            f"('{DIMENSION_OF[source]}' vs '{DIMENSION_OF[target]}')",
+            f"dimensions differ: {DIMENSION_OF[source]} is not {DIMENSION_OF[target]}",
         )
     if (source, target) not in _PAIRS:
         raise UnknownConversionError(
-            from_unit, to_unit, f"No converter registered between '{source}' and '{target}'"
+            from_unit, to_unit, f"no conversion on file from {source} to {target}"
         )
     return _PAIRS[(source, target)]
 
@@ -203,7 +202,7 @@ def convert(value: Column | float | int, from_unit: str, to_unit: str):
         return conversion(value)
     if isinstance(value, (int, float)):
         return float(conversion(value))
-    raise TypeError(f"Unsupported value type '{type(value).__name__}': need a Column or a number")
+    raise TypeError(f"cannot convert a {type(value).__name__}; give a Column or a number")
 
 
 def convert_columns(df: DataFrame, units: Mapping[str, tuple[str, str]]) -> DataFrame:
@@ -276,18 +275,18 @@ def convert_readings(
         return F.regexp_replace(F.coalesce(F.col(name), F.lit("")), r"(?U)\s+", "") == ""
 
     def unrecognized(name: str) -> Column:
-        return F.concat(F.lit("Unrecognized unit '"), F.col(name), F.lit("'"))
+        return F.concat(F.lit("'"), F.col(name), F.lit("' is not a unit spelling on file"))
 
     reason = (
-        F.when(F.col(value).isNotNull() & v.isNull(), F.lit("Value is not a number"))
+        F.when(F.col(value).isNotNull() & v.isNull(), F.lit("not a number"))
         .when(blank(from_unit) | blank(to_unit), F.lit(EMPTY_UNIT))
         .when(F.col("_f_unit").isNull(), unrecognized(from_unit))
         .when(F.col("_t_unit").isNull(), unrecognized(to_unit))
         .when(
             F.col("_f_dimension") != F.col("_t_dimension"),
-            F.lit("Incompatible physical dimensions"),
+            F.lit("dimensions differ"),
         )
-        .when(~known, F.lit("No converter registered"))
+        .when(~known, F.lit("no conversion on file"))
     )
     return joined.select(
         *[F.col(c) for c in df.columns],

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helioquant.functions.numeric import count_where, mean, ratio, total
-from helioquant.functions.quantiles import HOT_ROWS, grouped_percentiles
+from helioquant.functions.quantiles import grouped_percentiles
 from helioquant.functions.sequence import CHUNK_ROWS, chunk_of, ordered_text
 
 # Vendor names as they stand in the ``provider`` column.
@@ -153,7 +153,7 @@ def normalize_responses(log: DataFrame, default_model: str = "") -> DataFrame:
     first = F.col("provider") == MESSAGES_VENDOR
     choices = F.coalesce(F.size(_get(body, "$.choices", "array<variant>")), F.lit(0))
     error = (
-        F.when(F.coalesce(F.col("http_status"), F.lit(0)) != 200, F.lit("No successful response"))
+        F.when(~F.coalesce(F.col("http_status").between(200, 299), F.lit(False)), F.lit("No successful response"))
         .when(body.isNull(), F.lit("Malformed JSON response"))
         .when(~first & (choices <= 0), F.lit("No completion choices returned"))
     )
@@ -185,7 +185,7 @@ def _stream_fields(lines: DataFrame) -> DataFrame:
 
     Row-local: lines are parsed once, where they lie. The end marker survives as ``_done``.
     """
-    payload = F.trim(F.substring(F.col("line"), 7, 1 << 30))
+    payload = F.trim(F.expr("substring(line, 7)"))
     data = lines.where(F.col("line").startswith("data: ")).select(
         "call_id", "provider", "seq", payload.alias("_payload")
     )
@@ -469,7 +469,6 @@ def usage_rollup(
     by: str = "model",
     all_label: str | None = None,
     decimals: int | None = None,
-    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Calls, tokens and latency per model over the usable responses.
 
@@ -489,7 +488,6 @@ def usage_rollup(
             mean("latency_ms", decimals).alias("avg_latency_ms"),
             F.max("latency_ms").alias("max_latency_ms"),
         ],
-        hot_rows=hot_rows,
     )
     columns = [
         by, "calls", "input_tokens", "output_tokens", "total_tokens",

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helioquant.functions.numeric import count_where
-from helioquant.functions.sequence import HOT_ROWS, with_previous
+from helioquant.functions.sequence import with_previous
 from helioquant.functions.timestamps import slot
 
 FLAG_MONOTONIC = "QC_MONOTONIC_INCREASING"
@@ -25,12 +25,11 @@ def counter_step(
     keys: Sequence[str] = ("device",),
     ts: str = "ts",
     tie_breakers: Sequence[str] = (),
-    hot_rows: int | None = HOT_ROWS,
     name: str = "step",
 ) -> DataFrame:
     """Counter minus the device's previous value in time order; null on the first reading."""
     stepped = with_previous(
-        df, keys, [counter], ts=ts, tie_breakers=tie_breakers, hot_rows=hot_rows, prefix="_prev_"
+        df, keys, [counter], ts=ts, tie_breakers=tie_breakers, prefix="_prev_"
     )
     return stepped.withColumn(name, F.col(counter) - F.col(f"_prev_{counter}")).drop(
         f"_prev_{counter}"
@@ -73,10 +72,9 @@ def qc_monotonic_total(
     keys: Sequence[str] = ("device",),
     ts: str = "ts",
     tie_breakers: Sequence[str] = (),
-    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Flag lifetime-counter readings below the one before; equal readings pass."""
-    stepped = counter_step(df, counter, keys, ts, tie_breakers, hot_rows, name="_step")
+    stepped = counter_step(df, counter, keys, ts, tie_breakers, name="_step")
     return stepped.withColumn(
         "qc_flag", F.when(F.col("_step") < 0, F.lit(FLAG_MONOTONIC))
     ).drop("_step")
@@ -109,7 +107,6 @@ def qc_daily_drop(
     irradiance: str = "irradiance",
     interval_s: int = 900,
     tie_breakers: Sequence[str] = (),
-    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Whether the daily counter fell within a local day while the sun was up.
 
@@ -122,7 +119,6 @@ def qc_daily_drop(
         [counter, day],
         ts=ts,
         tie_breakers=tie_breakers,
-        hot_rows=hot_rows,
         prefix="_prev_",
     )
     fell = F.coalesce(
@@ -144,7 +140,6 @@ def qc_chronology(
     keys: Sequence[str] = ("device",),
     ts: str = "ts",
     arrival: str = "ingest_seq",
-    hot_rows: int | None = HOT_ROWS,
     basis: DataFrame | None = None,
 ) -> DataFrame:
     """Flag readings whose time does not lie after the device's previous arrival."""
@@ -154,7 +149,6 @@ def qc_chronology(
         [ts],
         position=F.col(arrival).cast("long"),
         unit=ARRIVAL_UNIT,
-        hot_rows=hot_rows,
         prefix="_prev_",
         basis=basis,
     )

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helioquant.functions.numeric import count_where, ratio
-from helioquant.functions.sequence import HOT_ROWS
 from helioquant.functions.timestamps import local_date, slot
 from helioquant.operators.counters import (
     irradiance_by_slot,
@@ -119,7 +118,6 @@ def run_qc(
     irradiance: str = "irradiance",
     interval_s: int = 900,
     tie_breakers: Sequence[str] = (),
-    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Every rule on the long table: range, counter order, arrival order.
 
@@ -128,7 +126,7 @@ def run_qc(
     for a look-back and the weather. The three selections are pushed down to the scan.
     """
     series = [plant, device]
-    common = dict(ts=ts, tie_breakers=tie_breakers, hot_rows=hot_rows)
+    common = dict(ts=ts, tie_breakers=tie_breakers)
     signal = F.col("signal_key")
     special = (daily_signal, lifetime_signal)
 
@@ -152,7 +150,7 @@ def run_qc(
         checked = checked.withColumn("_order", F.lit(None).cast("string"))
     else:
         checked = qc_chronology(
-            checked, [plant, device, "signal_key"], ts, arrival, hot_rows, basis=readings
+            checked, [plant, device, "signal_key"], ts, arrival, basis=readings
         ).withColumnRenamed("qc_flag", "_order")
     limits = bounds.select(device, "signal_key", "bound_min", "bound_max", "bounds_valid")
     return checked.join(limits, [device, "signal_key"], "left").select(

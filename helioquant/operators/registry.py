@@ -121,14 +121,19 @@ def upsert(
     created: str | None = None,
     updated: str | None = None,
     now: Column | None = None,
+    latest: str | None = None,
 ) -> DataFrame:
     """Target rows replaced by updates of the same key, and updates of new keys added.
 
+    Of several updates of one key the one with the largest ``latest`` (a column of updates) counts;
+    without ``latest`` keys of updates must be unique, and every one of them is written.
+
     With ``created``/``updated`` column names, a replaced row keeps its creation time and takes
     ``now`` as its update time.
     """
     keys = list(keys)
     now = F.current_timestamp() if now is None else now
+    updates = _newest(updates, keys, latest)
     fresh = updates
     if created:
         kept = target.select(*keys, F.col(created).alias("_created"))
@@ -140,10 +145,24 @@ def upsert(
     return untouched.unionByName(fresh.select(*target.columns))
 
 
-def insert_if_absent(target: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Target plus the rows whose key it lacks; rows already there are left as they are."""
+def _newest(rows: DataFrame, keys: Sequence[str], latest: str | None) -> DataFrame:
+    """Of rows with one key the one with the largest ``latest``, ties by all other columns."""
+    if latest is None:
+        return rows
+    row = F.struct(F.col(latest), *[F.col(c) for c in rows.columns if c != latest])
+    return rows.groupBy(*keys).agg(F.max(row).alias("_row")).select("_row.*").select(*rows.columns)
+
+
+def insert_if_absent(
+    target: DataFrame, rows: DataFrame, keys: Sequence[str], latest: str | None = None
+) -> DataFrame:
+    """Target plus the rows whose key it lacks; rows already there are left as they are.
+
+    Of several rows with one key the one with the largest ``latest`` is added, or the largest by
+    all columns in their order.
+    """
     keys = list(keys)
-    fresh = rows.dropDuplicates(keys).join(target.select(*keys), keys, "left_anti")
+    fresh = _newest(rows, keys, latest or rows.columns[0]).join(target.select(*keys), keys, "left_anti")
     return target.unionByName(fresh.select(*target.columns))
 
 
@@ -162,7 +181,7 @@ def restore(
 ) -> DataFrame:
     """Roll the listed keys back to a snapshot; keys the snapshot lacks are removed."""
     keys = list(signal_keys)
-    others = dictionary.where(~F.col(key).isin(*keys))
+    others = dictionary.where(~F.coalesce(F.col(key).isin(*keys), F.lit(False)))
     return others.unionByName(
         snapshot.where(F.col(key).isin(*keys)).select(*dictionary.columns)
     )
@@ -175,8 +194,8 @@ def delete_cascade(
     ids = list(plant_ids)
     gone = assets.where(F.col("plant_id").isin(*ids)).select(F.col("id").alias("asset_id"))
     return (
-        plants.where(~F.col("id").isin(*ids)),
-        assets.where(~F.col("plant_id").isin(*ids)),
+        plants.where(~F.coalesce(F.col("id").isin(*ids), F.lit(False))),
+        assets.where(~F.coalesce(F.col("plant_id").isin(*ids), F.lit(False))),
         channels.join(gone, "asset_id", "left_anti"),
     )
 

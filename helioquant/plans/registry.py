@@ -88,10 +88,10 @@ def _conversion_sql() -> str:
         except units.UnknownConversionError as exc:
             if not source.strip() or not target.strip():
                 reason = units.EMPTY_UNIT
-            elif exc.reason.startswith("Incompatible"):
-                reason = "Incompatible physical dimensions"
-            elif exc.reason.startswith("No converter"):
-                reason = "No converter registered"
+            elif exc.reason.startswith("dimensions"):
+                reason = "dimensions differ"
+            elif exc.reason.startswith("no conversion"):
+                reason = "no conversion on file"
             else:
                 reason = exc.reason
             reasons.append(f"WHEN {i} THEN {_sql_text(reason)}")

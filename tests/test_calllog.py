@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -92,8 +93,6 @@ def test_usage(normalized):
     out = {r.model: r for r in calllog.usage_rollup(normalized, all_label="all").collect()}
     assert (out["m-a"].calls, out["m-a"].input_tokens, out["m-a"].output_tokens, out["m-a"].total_tokens) == (2, 162, 63, 225)
     assert (out["all"].calls, out["all"].total_tokens, out["all"].avg_latency_ms) == (9, 372, 12.5)
-    hot = {r.model: r for r in calllog.usage_rollup(normalized, hot_rows=1).collect()}
-    assert hot["m-a"] == {r.model: r for r in calllog.usage_rollup(normalized, hot_rows=None).collect()}["m-a"]
 
 
 def stream(call_id, vendor, events, start=0):
@@ -127,31 +126,52 @@ STOP_A = {"type": "content_block_stop"}
 
 @pytest.mark.parametrize("chunk_rows", [1, 2, 3, 1000])
 def test_streams(spark, chunk_rows):
-    plain_a = stream("a", A, [
-        {"type": "message_start", "message": {"usage": {"input_tokens": 25}}},
-        {"type": "content_block_start", "content_block": {"type": "text", "text": ""}},
-        text_a("Hello "), ": keep-alive", "data: {broken", text_a("Sun!"), STOP_A,
-        tool_a("t1", "get_time"), json_a('{"tz": '), json_a('"Asia/Kolkata"}'), STOP_A,
-        tool_a("t2", "no_args"), STOP_A, tool_a("t3", "bad"), json_a('{"x":'), STOP_A, json_a("stray"),
-        tool_a("", "nameless"), STOP_A, tool_a("t4", "unfinished"), json_a("{}"),
-        {"type": "message_delta", "delta": {"stop_reason": "tool_use"}, "usage": {"output_tokens": 15}},
-        {"type": "message_stop"}, "data: [DONE]", text_a("too late"),
-    ])
-    plain_b = stream("b", B, [
-        delta_b(content="Checking "), delta_b(content="plant..."), delta_b(content=None, usage=None), {"choices": [], "usage": {}},
-        calls_b(0, '{"table": ', "c1", "query"), calls_b(1, "{bad", "c2", "other"), calls_b(0, '"plants"}'),
-        delta_b("tool_calls", {"prompt_tokens": 10, "completion_tokens": 20}), "data: [DONE]", delta_b(content="late"),
-    ])
-    cut_b = stream("cut", B, [delta_b(content="x"), calls_b(0, "{}", "c1", "query")])
-    rows = plain_a + plain_b + cut_b + plain_a[:6] * 3 + plain_b[3:5]  # some lines were logged again
+    def started(n):
+        return {"type": "message_start", "message": {"usage": {"input_tokens": n}}}
+
+    def ended(reason, n):
+        return {"type": "message_delta", "delta": {"stop_reason": reason}, "usage": {"output_tokens": n}}
+
+    rng = random.Random(chunk_rows)
+    rows, want = [], {}
+    for i in range(12):
+        # Text in random pieces, tools with arguments in random pieces, noise between.
+        words = [f"w{rng.randrange(99)} " for _ in range(rng.randrange(1, 6))]
+        made = [(f"id{i}-{k}", f"tool{k}", {"v": rng.randrange(999), "q": "é" * k}) for k in range(rng.randrange(3))]
+        a, b = [started(100 + i)], []
+        for w in words:
+            a += [text_a(w), ": ping"] if rng.random() < 0.3 else [text_a(w)]
+            b.append(delta_b(content=w))
+        for k, (call_id, name, arguments) in enumerate(made):
+            text = json.dumps(arguments)
+            cut = rng.randrange(len(text))
+            a += [tool_a(call_id, name), json_a(text[:cut]), json_a(text[cut:]), STOP_A]
+            b += [calls_b(k, text[:cut], call_id, name), "data: {not json", calls_b(k, text[cut:])]
+        a += [ended("tool_use" if made else "end_turn", 7 * i), "data: [DONE]", text_a("behind the end")]
+        b += [delta_b("tool_calls" if made else "stop", {"prompt_tokens": 100 + i, "completion_tokens": 7 * i}), "data: [DONE]", delta_b(content="no")]
+        for name, vendor, events in ((f"a{i}", A, a), (f"b{i}", B, b)):
+            lines = stream(name, vendor, events)
+            rows += lines + rng.sample(lines, 2)  # some lines were logged again
+            want[name] = ("".join(words), "tool_use" if made else "end_turn", 100 + i, 7 * i, made)
     lines = spark.createDataFrame(rows, "call_id string, provider string, seq long, line string")
     out = {r.call_id: r for r in calllog.assemble_streams(lines.repartition(3), chunk_rows).collect()}
-    a, b, cut = out["a"], out["b"], out["cut"]
-    assert (a.text, a.stop_reason, a.input_tokens, a.output_tokens) == ("Hello Sun!", "tool_use", 25, 15)
-    assert tools(a) == [("t1", "get_time", {"tz": "Asia/Kolkata"}), ("t2", "no_args", {}), ("t3", "bad", {"raw_json": '{"x":'})]
-    assert (b.text, b.stop_reason, b.total_tokens) == ("Checking plant...", "tool_use", 30)
-    assert tools(b) == [("c1", "query", {"table": "plants"}), ("c2", "other", {"raw_arguments": "{bad"})]
-    assert (cut.text, cut.tool_use, cut.stop_reason, cut.total_tokens) == ("x", [], None, None)
+    assert {k: (r.text, r.stop_reason, r.input_tokens, r.output_tokens, tools(r)) for k, r in out.items()} == want
+
+
+def test_broken_streams(spark):
+    rows = stream("a", A, [text_a("kept"), tool_a("x1", "plain"), STOP_A, tool_a("x2", "spoilt"), json_a('{"n": 4'), STOP_A, tool_a("x3", "open"), json_a("{}")])
+    rows += stream("b", B, [delta_b(content="part"), calls_b(0, "[oops", "y1", "spoilt")])
+    lines = spark.createDataFrame(rows, "call_id string, provider string, seq long, line string")
+    out = {r.call_id: r for r in calllog.assemble_streams(lines).collect()}
+    assert out["a"].text == "kept" and tools(out["a"]) == [("x1", "plain", {}), ("x2", "spoilt", {"raw_json": '{"n": 4'})]
+    assert (out["b"].text, out["b"].tool_use, out["b"].stop_reason, out["b"].total_tokens) == ("part", [], None, None)
+
+
+def test_any_success_status_is_read(spark):
+    body = {"content": [{"type": "text", "text": "made"}], "stop_reason": "end_turn"}
+    rows = [log_row(str(code), A, body, status=code) for code in (200, 201, 299, 300, 199, None)]
+    out = {r.call_id: r.error for r in calllog.normalize_responses(spark.createDataFrame(rows, LOG)).collect()}
+    assert {k for k, e in out.items() if e is None} == {"200", "201", "299"}
 
 
 def test_failure_classes(spark):

@@ -105,10 +105,19 @@ def test_chronology(frame):
     rows = [("d", 1, "2020-05-01 10:00:00"), ("d", 2, "2020-05-01 10:15:00"), ("d", 3, "2020-05-01 10:15:00"),
             ("d", 4, "2020-05-01 10:00:00"), ("d", 2_000_005, "2020-05-01 10:30:00"), ("d", 2_000_006, None), ("e", 9, "2020-05-01 09:00:00")]
     df = frame(rows, "device string, ingest_seq long, ts timestamp")
-    for hot in (None, 1):
-        out = {r.ingest_seq: r.qc_flag for r in counters.qc_chronology(df, hot_rows=hot).collect()}
-        bad = counters.FLAG_NOT_CHRONOLOGICAL
-        assert out == {1: None, 2: None, 3: bad, 4: bad, 2_000_005: None, 2_000_006: None, 9: None}
+    out = {r.ingest_seq: r.qc_flag for r in counters.qc_chronology(df).collect()}
+    bad = counters.FLAG_NOT_CHRONOLOGICAL
+    assert out == {1: None, 2: None, 3: bad, 4: bad, 2_000_005: None, 2_000_006: None, 9: None}
+
+
+def test_readings_without_time_device_or_signal_stay(frame, bounds, weather):
+    rows = [("p", "d", "yield_today", None, 1.0, 1), ("p", "d", "yield_today", "2020-05-01 10:00:00", 2.0, 2),
+            ("p", None, "yield_today", "2020-05-01 10:00:00", 3.0, 3), ("p", "d", None, None, 4.0, 4), ("p", "d", "power_ac", None, 5.0, 5)]
+    df = frame(rows, "plant string, device string, signal_key string, ts timestamp, value double, ingest_seq long")
+    df = df.withColumn("local_date", F.to_date("ts"))
+    assert quality.run_qc(df, bounds, weather).count() == len(rows)
+    assert counters.qc_chronology(df).count() == len(rows)
+    assert counters.qc_daily_drop(df.withColumnRenamed("value", "daily"), weather).count() == len(rows)
 
 
 def test_availability(frame, weather, spark):
@@ -132,8 +141,7 @@ def test_availability(frame, weather, spark):
     assert out[("e", 2)].availability is None
 
 
-@pytest.mark.parametrize("hot_rows", [None, 2])
-def test_combined_pass(frame, bounds, weather, hot_rows):
+def test_combined_pass(frame, bounds, weather):
     rows = [
         ("p", "dev1", "power_ac", "2020-05-01 10:00:00", "2020-05-01", 44001.0),
         ("p", "dev1", "energy_ac_total", "2020-05-01 10:00:00", "2020-05-01", 9.0),
@@ -144,7 +152,7 @@ def test_combined_pass(frame, bounds, weather, hot_rows):
         ("p", "dev1", None, "2020-05-01 11:00:00", "2020-05-01", 1.0),
     ]
     df = frame(rows, LONG)
-    out = quality.run_qc(df, bounds, weather, hot_rows=hot_rows)
+    out = quality.run_qc(df, bounds, weather)
     got = {(r.signal_key, r.value): (r.qc_flags, r.daily_drop_unknown) for r in out.collect()}
     assert len(got) == len(rows)
     assert got[("power_ac", 44001.0)] == ([quality.FLAG_HIGH], False)
@@ -155,7 +163,7 @@ def test_combined_pass(frame, bounds, weather, hot_rows):
     card = {r.qc_flag: r.n_readings for r in quality.qc_summary(out, ("device",)).collect()}
     assert card[quality.FLAG_LOW] == 2 and card[counters.FLAG_MONOTONIC] == 1
     with_arrival = df.withColumn("ingest_seq", F.lit(10) - F.minute("ts").cast("long"))
-    late = quality.run_qc(with_arrival, bounds, weather, arrival="ingest_seq", hot_rows=hot_rows)
+    late = quality.run_qc(with_arrival, bounds, weather, arrival="ingest_seq")
     assert late.count() == len(rows)
     assert {
         (r.signal_key, r.value) for r in late.where(F.array_contains("qc_flags", counters.FLAG_NOT_CHRONOLOGICAL)).collect()
