@@ -56,12 +56,13 @@ def build_assets(
 
     ``devices`` has the plant, ``source_key``, ``asset_type``, ``rated_dc_kwp`` and
     ``rated_ac_kw`` (null for stations). Ratings are stored in watts as well, which is the name
-    bound rules use.
+    bound rules use. Ids follow from plant, type and source key, so a device that is added later
+    changes no other id, though it may change names, which count devices in the order of their keys.
     """
     block_name = F.lit(NAME_FORMATS[BLOCK] % 1)
-    block_id = natural_id(plant, block_name)
+    block_id = natural_id(plant, F.lit(BLOCK), block_name)
     leaves = device_names(devices, plant).select(
-        natural_id(plant, "name").alias("id"),
+        natural_id(plant, "asset_type", "source_key").alias("id"),
         F.col(plant).alias("plant_id"),
         block_id.alias("parent_id"),
         "name",
@@ -102,8 +103,13 @@ def build_channels(assets: DataFrame, templates: DataFrame) -> DataFrame:
     )
 
 
-def map_devices(df: DataFrame, assets: DataFrame, device: str = "device") -> DataFrame:
-    """Attach asset name, plant and parent to readings; unknown devices keep nulls."""
+def map_devices(
+    df: DataFrame, assets: DataFrame, device: str = "device", plant: str | None = None
+) -> DataFrame:
+    """Attach asset name, plant and parent to readings; unknown devices keep nulls.
+
+    ``plant`` names the readings' plant column; without it source keys must be unique over plants.
+    """
     names = assets.where(F.col("source_key").isNotNull()).select(
         F.col("source_key").alias(device),
         F.col("id").alias("asset_id"),
@@ -111,7 +117,10 @@ def map_devices(df: DataFrame, assets: DataFrame, device: str = "device") -> Dat
         F.col("plant_id").alias("asset_plant_id"),
         F.col("parent_id").alias("asset_parent_id"),
     )
-    return df.join(names, device, "left")
+    if plant is None:
+        return df.join(names, device, "left")
+    own = df.join(names.withColumn(plant, F.col("asset_plant_id")), [plant, device], "left")
+    return own.select(*df.columns, *[c for c in names.columns if c != device])
 
 
 def upsert(

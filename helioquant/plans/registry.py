@@ -447,7 +447,7 @@ QUERIES = {
     ),
     "asset_tree": (
         asset_tree,
-        f"""WITH {ASSETS_SQL} SELECT sha256(plant_id || '|' || name) AS id, plant_id, name, asset_type,
+        f"""WITH {ASSETS_SQL} SELECT sha256(plant_id || '|' || asset_type || '|' || coalesce(source_key, name)) AS id, plant_id, name, asset_type,
         coalesce(source_key, '') AS source_key, CASE asset_type WHEN 'block' THEN '' ELSE 'Block-01' END AS parent_name,
         {q.rounded('rated_dc_w', 2)} AS rated_dc_w, {q.rounded('rated_ac_w', 2)} AS rated_ac_w FROM assets""",
     ),

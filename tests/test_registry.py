@@ -141,3 +141,35 @@ def test_tags_and_classes(spark, channels):
     columns = spark.createDataFrame([("DC_POWER",), ("PLANT_ID",), ("STRING_CURRENT",)], "source_name string")
     roles = {r.source_name: (r.role, r.target) for r in canonical.classify_columns(columns, dictionary.raw_mapping(spark)).collect()}
     assert roles == {"DC_POWER": ("signal", "power_dc"), "PLANT_ID": ("dimension", "plant_id"), "STRING_CURRENT": ("unmapped", None)}
+
+
+def test_a_device_added_later_changes_no_id(spark):
+    schema = "plant_id string, source_key string, asset_type string, rated_dc_kwp double, rated_ac_kw double"
+    rows = [("p", k, "inverter", 10.0, 8.0) for k in ("b", "c")] + [("q", "b", "inverter", 10.0, 8.0)]
+    before = {(r.plant_id, r.source_key): r.id for r in registry.build_assets(spark.createDataFrame(rows, schema)).collect()}
+    more = registry.build_assets(spark.createDataFrame([*rows, ("p", "a", "inverter", 10.0, 8.0)], schema))
+    after = {(r.plant_id, r.source_key): r.id for r in more.collect()}
+    assert before.items() <= after.items() and len(set(after.values())) == len(after)
+    readings = spark.createDataFrame([("p", "b", 1.0), ("q", "b", 2.0), (None, "b", 3.0)], "plant string, device string, value double")
+    named = registry.map_devices(readings, more, plant="plant").collect()
+    assert sorted((r.value, r.asset_plant_id) for r in named) == [(1.0, "p"), (2.0, "q"), (3.0, None)]
+
+
+def test_rows_with_null_keys_stay(spark):
+    table = spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "signal_key string, v int")
+    old = spark.createDataFrame([("a", 9)], "signal_key string, v int")
+    assert sorted(registry.restore(table, old, ["a"]).select("v").toPandas().v) == [2, 3, 9]
+    plants = spark.createDataFrame([("p",), (None,)], "id string")
+    assets = spark.createDataFrame([("x", "p"), ("y", None)], "id string, plant_id string")
+    channels = spark.createDataFrame([("1", "x"), ("2", "y")], "id string, asset_id string")
+    left = registry.delete_cascade(plants, assets, channels, ["p"])
+    assert [df.select("id").first()[0] for df in left] == [None, "y", "2"] and [df.count() for df in left] == [1, 1, 1]
+
+
+def test_the_latest_of_several_updates_counts(spark):
+    target = spark.createDataFrame([("a", 1, 0), ("b", 2, 0)], "k string, v int, at int")
+    updates = spark.createDataFrame([("a", 5, 1), ("a", 7, 2), ("c", 8, 1), ("c", 6, 3)], "k string, v int, at int")
+    out = registry.upsert(target, updates, ["k"], latest="at")
+    assert sorted(map(tuple, out.select("k", "v").collect())) == [("a", 7), ("b", 2), ("c", 6)]
+    added = registry.insert_if_absent(target, updates, ["k"], latest="at")
+    assert sorted(map(tuple, added.select("k", "v").collect())) == [("a", 1), ("b", 2), ("c", 6)]
