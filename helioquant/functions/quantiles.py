@@ -73,8 +73,11 @@ def grouped_percentiles(
     cuts = _long(first, keys, [(F.col(f"_n_{i}").alias("_n"), F.col(f"_c_{i}").alias("_cuts")) for i in range(len(columns))])
     values = _long(df, keys, [(F.col(c).cast("double").alias("_v"),) for c in columns]).where(F.col("_v").isNotNull())
     groups = [*keys, "_series"]
-    placed = null_safe_join(values, cuts.where(F.col("_n") > 0), groups, "inner").withColumn(
-        "_bucket", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))
+    bucket = F.lit(0)
+    for i in range(len(around)):
+        bucket = bucket + F.when(F.get("_cuts", F.lit(i)) < F.col("_v"), 1).otherwise(0)
+    placed = null_safe_join(values, cuts.where(F.col("_n") > 0), groups, "inner").select(
+        *groups, "_n", "_v", bucket.alias("_bucket")
     )
     ranks = _ranks(placed, groups, probs)
     names = [c for c in first.columns if not c.startswith(("_n_", "_c_"))]
