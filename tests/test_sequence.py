@@ -91,18 +91,18 @@ def test_hot_groups_get_exact_quantiles(spark, accuracy):
 
 def test_many_small_groups_take_the_same_plan(spark, capsys):
     small = spark.range(3000).select((F.col("id") % 1000).alias("k"), F.rand(3).alias("v"))
-    hot = spark.range(3000).select(F.lit(1).cast("long").alias("k"), F.rand(3).alias("v"))
+    hot = spark.range(3000).select(F.floor(F.col("id") / 1_000_000).alias("k"), F.rand(3).alias("v"))
     shapes = []
     for df in (small, hot):
         got = grouped_percentiles(df, ["k"], {"m": ("v", 0.5), "t": ("v", 0.9)}, accuracy=100)
-        plain = df.groupBy("k").agg(F.percentile("v", F.lit(0.5)).alias("m"), F.percentile("v", F.lit(0.9)).alias("t"))
-        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect()))
         got.explain()
         text = capsys.readouterr().out
         shapes.append([line.split("(")[0].strip(" +-:*") for line in text.splitlines() if "Exchange" in line or "Join" in line])
-        # The sketch, and one scan for each use of the placed values; adaptive execution runs the
-        # exchange of the sketch's table once.
-        assert text.split("== Initial Plan ==")[0].count("Range (") <= 3
+        # The sketch, and the placed values twice, each time with the sketch's table: adaptive
+        # execution runs equal exchanges once.
+        assert text.count("Range (") <= 5
+        plain = df.groupBy("k").agg(F.percentile("v", F.lit(0.5)).alias("m"), F.percentile("v", F.lit(0.9)).alias("t"))
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect()))
     assert shapes[0] == shapes[1]
 
 
