@@ -38,9 +38,58 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def map_arrow(df: DataFrame, function: Callable, schema: T.StructType | str) -> DataFrame:
-    """df.mapInArrow, once the workers of this context have been given the package."""
+    """df.mapInArrow, once the workers of this context have been given the package.
+
+    Workers serve one operator after another; each task gives back the memory that it has freed.
+    """
     ship_package(df.sparkSession)
-    return df.mapInArrow(function, schema)
+
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from function(batches)
+        finally:
+            give_back_memory()
+
+    return df.mapInArrow(run, schema)
+
+
+def apply_arrow(groups, function: Callable, schema: str) -> DataFrame:
+    """groups.applyInArrow for a function of a key and a table, with memory given back as in map_arrow."""
+    def run(key, table):  # Spark reads annotations here, so there are none
+        try:
+            return function(key, table)
+        finally:
+            give_back_memory()
+
+    return groups.applyInArrow(run, schema)
+
+
+def give_back_memory() -> None:
+    """Returns freed memory of this worker to the system, which allocators would keep."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+_KEPT: dict = {}
+
+
+def kept_between_tasks(key: tuple, make: Callable):
+    """An object that a worker keeps for later tasks, until another one is asked for."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def drop_kept() -> None:
+    _KEPT.clear()
 
 
 def ship_package(spark: SparkSession) -> None:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helioquant.llm.common import bytes_of, cut_lineage, map_arrow, mix64, read_table, shingle_set
+from helioquant.llm.common import bytes_of, cut_lineage, drop_kept, map_arrow, mix64, read_table, shingle_set
 
 BANDS, ROWS = 24, 5
 SKETCH_WORDS = 16
@@ -72,6 +72,7 @@ def band_keys(samples: np.ndarray) -> np.ndarray:
 def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, digest (two words of the whole set), bands, sketch."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_kept()
         for batch in batches:
             n, first, second, bands, sketches = [], [], [], [], []
             for value in batch.column(1):

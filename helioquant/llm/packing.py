@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helioquant.llm.common import map_arrow, read_table
+from helioquant.llm.common import kept_between_tasks, map_arrow, read_table
 
 SEQUENCE_TOKENS = 2048
 BLOCK = 8192
@@ -87,15 +87,6 @@ class ChunkTokenizer:
             yield b"".join(parts)
 
 
-_TOKENIZERS: dict[str, ChunkTokenizer] = {}
-
-
-def _tokenizer(path: str) -> ChunkTokenizer:
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = ChunkTokenizer(path)
-    return _TOKENIZERS[path]
-
-
 def token_pieces(
     docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text",
     limit: int = SEQUENCE_TOKENS, separator: int = 0, with_ids: bool = False,
@@ -106,7 +97,7 @@ def token_pieces(
     A document's ids end with the separator; only a document of more than limit ids is cut.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _tokenizer(tokenizer)
+        encoder = kept_between_tasks(("tokenizer", tokenizer), lambda: ChunkTokenizer(tokenizer))
         end = np.array([separator], "<u4").tobytes()
         for batch in batches:
             owner, piece, start, length, crc, ids = [], [], [], [], [], []

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helioquant.llm.common import bytes_of, held_out, map_arrow, read_table
+from helioquant.llm.common import bytes_of, drop_kept, held_out, map_arrow, read_table
 
 TRAIN_DOCUMENTS = 3000
 #: Bytes of a document that may be learned from, at most; longer ones are not, but are scored.
@@ -241,6 +241,7 @@ def learn_toxicity(
 def score_toxicity(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
     """keep's columns, score (0 to 1) and predicted (1 from SCORE_CUT on)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_kept()
         gains = Gains(model.toxic, model.ordinary) if model.toxic else None
         for batch in batches:
             score = np.zeros(batch.num_rows)
