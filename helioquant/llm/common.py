@@ -93,7 +93,10 @@ def drop_kept() -> None:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Sends the package to the workers of the context, once, as a zip file."""
+    """Sends the package to the workers of the context, once, as a zip file.
+
+    The driver's own file server sends it; no other machine reads the folder it lies in.
+    """
     context = spark.sparkContext
     if getattr(context, "helioquant_shipped", False):
         return
@@ -104,18 +107,6 @@ def ship_package(spark: SparkSession) -> None:
     context.helioquant_shipped = True
 
 
-def fresh(df: DataFrame, *names: str) -> dict[str, str]:
-    """For each name one that no column of df has, whatever its case."""
-    taken = {c.lower() for c in df.columns}
-    out = {}
-    for name in names:
-        new = f"__{name}"
-        while new.lower() in taken:
-            new += "_"
-        out[name] = new
-    return out
-
-
 def bytes_of(text: Column | str) -> Column:
     """UTF-8 bytes; null counts as empty."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")).cast("binary")
