@@ -187,6 +187,18 @@ def test_repeats_equal_plain_search(hard, hard_rows, nothing, monkeypatch, block
     assert repeats.without_repeats(nothing, ["doc_id"]).count() == 0
 
 
+@pytest.mark.parametrize("segment", [1 << 20, 256])
+def test_a_line_in_many_surroundings_goes_from_every_place(spark, prose, monkeypatch, segment):
+    # One document owns the line in several blocks of its key; a smaller one has it in one block only.
+    monkeypatch.setattr(repeats, "BLOCK", 2)
+    monkeypatch.setattr(repeats, "SEGMENT_BYTES", segment)
+    line = prose(30, 12)[:60]
+    rows = [(1, f"{prose(31, 8)} {line} {prose(32, 8)}"), (2, " ".join(f"{prose(40 + i, 9)} {line} {prose(80 + i, 9)}" for i in range(24)))]
+    rows += [(3, " ".join(f"{prose(140 + i, 9)} {line} {prose(180 + i, 9)}" for i in range(12)))]
+    got = repeats.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"]).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == plain_repeats(rows)
+
+
 def test_long_texts_are_cut_into_stretches_that_overlap(spark, prose, monkeypatch):
     monkeypatch.setattr(repeats, "SEGMENT_BYTES", 256)
     shared = prose(9, 100)
