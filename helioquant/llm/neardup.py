@@ -1,11 +1,12 @@
 """Near-duplicate documents by banded MinHash, odd sketches and a check of the full shingle sets.
 
-A document's set holds the hashes of its five-word shingles. ``BANDS`` bands of ``ROWS`` MinHash
-values propose pairs: two sets of similarity 0.85 meet in some band with probability
-1 - (1 - 0.85**ROWS)**BANDS, 1 - 8e-7. The samples are also folded into an odd sketch, a bitmap
-in which sample i with value v flips one bit: the XOR of two sketches counts the samples that
-differ, so that high similarities are read precisely from a population count. Pairs whose sketches
-leave a similarity within ``SLACK`` of the threshold are confirmed on their full sets.
+A document's set holds the hashes of its five-word shingles. Bands of ``ROWS`` MinHash values
+propose pairs: two sets of similarity t meet in some of n bands with probability
+1 - (1 - t**ROWS)**n, and a threshold t gets as many bands as leave a miss of ``MISS`` at most, 24
+for 0.85 (the query) and 36 for 0.8 (the pipeline). The samples are also folded into an odd sketch,
+a bitmap in which sample i with value v flips one bit: the XOR of two sketches counts the samples
+that differ, so that high similarities are read precisely from a population count. Pairs whose
+sketches leave a similarity within a slack of the threshold are confirmed on their full sets.
 
 Pairs inside a band's bucket are never all formed. Equal sets are one class with its smallest id.
 A first round compares each class of a bucket with the bucket's smallest class only. After linking
@@ -23,6 +24,7 @@ component and is kept; no rows give no rows; other columns play no part.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,29 +34,60 @@ from pyspark.sql import functions as F
 
 from helioquant.llm.common import bytes_of, cut_lineage, drop_kept, map_arrow, mix64, read_table, shingle_set
 
-BANDS, ROWS = 24, 5
+ROWS = 5
 SKETCH_WORDS = 16
-#: A pair goes to the full check unless its estimate is lower than the threshold by more than this,
-#: six standard errors of an estimate from 120 samples.
-SLACK = 0.2
+#: Chance that a pair at the threshold meets in no band, at most.
+MISS = 8e-7
+#: Contract of the query: similarity of 0.85 at least.
 THRESHOLD = (85, 100)
+#: The pipeline's stage has no contract of its own: 0.8 at least.
+STAGE_THRESHOLD = (80, 100)
 
-_SEEDS = np.random.default_rng(11).integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
-_SALTS = mix64(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64))
 
+def bands_for(threshold: tuple[int, int]) -> int:
+    """Bands that miss a pair at the threshold with a chance of MISS at most."""
+    kept, whole = threshold
+    return 1 if kept >= whole else math.ceil(math.log(MISS) / math.log(1 - (kept / whole) ** ROWS))
 
-def minhash(shingles: np.ndarray) -> np.ndarray:
+
+def slack_for(threshold: tuple[int, int]) -> float:
+    """A pair goes to the full check unless its estimate is lower than the threshold by more than this.
+
+    Six standard errors: of the share of samples that differ, and of differing samples whose bits
+    meet in a sketch.
+    """
+    similarity = threshold[0] / threshold[1]
+    error = similarity * (1 - similarity) / (bands_for(threshold) * ROWS) + 2 * (1 - similarity) ** 2 / (SKETCH_WORDS * 64)
+    return math.ceil(600 * math.sqrt(error)) / 100
+
+
+BANDS = bands_for(THRESHOLD)
+
+
+def _seeds(samples: int) -> np.ndarray:
+    """Factors of the permutations; fewer are the first of more."""
+    return np.random.default_rng(11).integers(0, 1 << 64, samples, dtype=np.uint64) | np.uint64(1)
+
+
+def _salts(samples: int) -> np.ndarray:
+    return mix64(np.arange(1, samples + 1, dtype=np.uint64))
+
+
+_SEEDS, _SALTS = _seeds(BANDS * ROWS), _salts(BANDS * ROWS)
+
+
+def minhash(shingles: np.ndarray, seeds: np.ndarray = _SEEDS) -> np.ndarray:
     """The smallest of each permutation; the set must not be empty."""
-    out = np.full(len(_SEEDS), np.iinfo(np.uint64).max, np.uint64)
+    out = np.full(len(seeds), np.iinfo(np.uint64).max, np.uint64)
     with np.errstate(over="ignore"):
         for at in range(0, len(shingles), 2048):
-            np.minimum(out, (shingles[at : at + 2048, None] * _SEEDS).min(axis=0), out=out)
+            np.minimum(out, (shingles[at : at + 2048, None] * seeds).min(axis=0), out=out)
     return out
 
 
-def odd_sketch(samples: np.ndarray) -> np.ndarray:
+def odd_sketch(samples: np.ndarray, salts: np.ndarray = _SALTS) -> np.ndarray:
     """Parity bitmap of the samples, as SKETCH_WORDS words."""
-    bits = mix64(samples ^ _SALTS) % np.uint64(SKETCH_WORDS * 64)
+    bits = mix64(samples ^ salts) % np.uint64(SKETCH_WORDS * 64)
     odd = np.flatnonzero(np.bincount(bits.astype(np.int64), minlength=SKETCH_WORDS * 64) & 1)
     words = np.zeros(SKETCH_WORDS, np.uint64)
     np.bitwise_or.at(words, odd >> 6, np.uint64(1) << (odd & 63).astype(np.uint64))
@@ -62,31 +95,34 @@ def odd_sketch(samples: np.ndarray) -> np.ndarray:
 
 
 def band_keys(samples: np.ndarray) -> np.ndarray:
-    keys = np.arange(1, BANDS + 1, dtype=np.uint64)
+    rows = samples.reshape(-1, ROWS)
+    keys = np.arange(1, len(rows) + 1, dtype=np.uint64)
     with np.errstate(over="ignore"):
-        for column in samples.reshape(BANDS, ROWS).T:
+        for column in rows.T:
             keys = mix64(keys * np.uint64(0x9E3779B97F4A7C15) + column)
     return keys
 
 
-def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text", bands: int = BANDS) -> DataFrame:
     """doc_id, n_shingles, digest (two words of the whole set), bands, sketch."""
+    seeds, salts = _seeds(bands * ROWS), _salts(bands * ROWS)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drop_kept()
         for batch in batches:
-            n, first, second, bands, sketches = [], [], [], [], []
+            n, first, second, keys, sketches = [], [], [], [], []
             for value in batch.column(1):
                 s = shingle_set(value.as_py())
                 n.append(len(s))
                 with np.errstate(over="ignore"):
                     first.append(int(s.sum(dtype=np.uint64).view(np.int64)))
                     second.append(int(mix64(s ^ _SALTS[0]).sum(dtype=np.uint64).view(np.int64)))
-                samples = minhash(s) if len(s) else None
-                bands.append(band_keys(samples).view(np.int64) if len(s) else np.zeros(0, np.int64))
-                sketches.append(odd_sketch(samples).view(np.int64) if len(s) else np.zeros(0, np.int64))
+                samples = minhash(s, seeds) if len(s) else None
+                keys.append(band_keys(samples).view(np.int64) if len(s) else np.zeros(0, np.int64))
+                sketches.append(odd_sketch(samples, salts).view(np.int64) if len(s) else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()),
-                 pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))],
+                 pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))],
                 ["doc_id", "n_shingles", "digest1", "digest2", "bands", "sketch"],
             )
 
@@ -105,17 +141,18 @@ def full_sets(docs: DataFrame, ids: DataFrame, key: str = "doc_id", text: str =
     return map_arrow(own.join(ids, "id", "left_semi"), run, "id long, members binary").distinct()
 
 
-def sketch_similarity(a: str, b: str):
+def sketch_similarity(a: str, b: str, samples: int = BANDS * ROWS):
     """Similarity read from the XOR of two sketches; 0 where the XOR is saturated."""
     size = float(SKETCH_WORDS * 64)
     ones = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
     odd = F.when(ones < size / 2, F.log(1 - 2 * ones / size)).otherwise(F.lit(-1e9))
-    return F.greatest(F.lit(0.0), 1 + odd * size / 4 / len(_SEEDS))
+    return F.greatest(F.lit(0.0), 1 + odd * size / 4 / samples)
 
 
-def confirmed(pairs: DataFrame, sketches: DataFrame, sets: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """The pairs (a, b) whose sets reach the threshold; sketches and sets by id."""
-    kept, whole = THRESHOLD
+    kept, whole = threshold
+    samples, least = bands_for(threshold) * ROWS, kept / whole - slack_for(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,7 +169,7 @@ def confirmed(pairs: DataFrame, sketches: DataFrame, sets: DataFrame) -> DataFra
     near = (
         pairs.join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a")
         .join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b")
-        .where(sketch_similarity("sa", "sb") >= kept / whole - SLACK)
+        .where(sketch_similarity("sa", "sb", samples) >= least)
         .select("a", "b")
     )
     near = (
@@ -190,9 +227,12 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("v").alias("id"), F.col("u").alias("component"))
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row of docs."""
-    rows = cut_lineage(signatures(docs, key, text))
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for every row of docs.
+
+    threshold: the similarity that links two documents, as a fraction of two whole numbers.
+    """
+    rows = cut_lineage(signatures(docs, key, text, bands_for(threshold)))
     alike = ["n_shingles", "digest1", "digest2"]
     full = rows.where(F.col("n_shingles").cast("boolean") & F.col("doc_id").isNotNull())
     classes = full.groupBy(*alike).agg(F.min("doc_id").alias("first"))
@@ -207,7 +247,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     first = shared.where("id > leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
     sets = cut_lineage(full_sets(docs, shared.select("id").distinct(), key, text))
     same = full.join(classes, alike).where("doc_id > first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
-    links = cut_lineage(confirmed(first, sketches, sets).union(same))
+    links = cut_lineage(confirmed(first, sketches, sets, threshold).union(same))
     found = components(links)
 
     placed = shared.join(found, "id", "left").select("bucket", "leader", "id", F.coalesce("component", "id").alias("component"))
@@ -215,7 +255,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         mixed = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
         return placed.join(mixed.select("bucket"), "bucket")
 
-    kept, whole = THRESHOLD
+    kept, whole = threshold
     placed = cut_lineage(unsettled(placed))
     ids = placed.select("id").distinct()
     # Of an id with several texts the smallest size and the most common shingles bound all of them.
@@ -231,7 +271,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     star = placed.join(hubs.select("bucket", "h.*"), "bucket").where("component != its and id != leader and hub != leader")
     star = star.select(F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b")).distinct()
     so_far = found.select(F.col("id").alias("a"), F.col("component").alias("b"))
-    found = components(cut_lineage(confirmed(star.join(first, ["a", "b"], "left_anti"), sketches, sets).union(so_far)))
+    found = components(cut_lineage(confirmed(star.join(first, ["a", "b"], "left_anti"), sketches, sets, threshold).union(so_far)))
     placed = placed.drop("component").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     placed = cut_lineage(unsettled(placed))
     sizes = placed.groupBy("bucket", "component").count()
@@ -249,7 +289,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         .distinct()
     )
-    more = confirmed(second.join(first, ["a", "b"], "left_anti"), sketches, sets)
+    more = confirmed(second.join(first, ["a", "b"], "left_anti"), sketches, sets, threshold)
     joined = cut_lineage(
         more.union(found.select(F.col("id").alias("a"), F.col("component").alias("b")))
     )
@@ -264,10 +304,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its near-duplicate component."""
-    return near_duplicates(read_table(spark, sf_dir, "documents"))
+    return near_duplicates(read_table(spark, sf_dir, "documents"), threshold=THRESHOLD)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each component stays, the one with the smallest id."""
-    gone = near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
+    gone = near_duplicates(docs, threshold=STAGE_THRESHOLD).where(~F.col("kept")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)

@@ -280,3 +280,29 @@ def test_components_of_a_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     got = {r.id: r.component for r in neardup.components(links).collect()}
     assert got == {**{i: 0 for i in range(1, 41)}, 101: 100}
+
+
+def test_the_stage_drops_from_four_fifths_and_the_query_from_its_contract(spark, prose):
+    # Copies with a few scattered words changed, at similarities from 0.7 to 0.95.
+    rows, near = [], 0
+    for i in range(24):
+        base = prose(600 + i, 500).split()
+        copy = list(base)
+        for k in range(3 + i // 2):
+            copy[10 + 31 * k] = f"changed{i}x{k}"
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(copy))]
+        near += 0.8 <= similarity(shingles(rows[-1][1]), shingles(rows[-2][1])) < 0.85
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in neardup.drop_near_duplicates(spark, docs, "").collect()}
+    sets = {i: shingles(t) for i, t in rows}
+    assert near >= 3
+    assert kept == {i for i in sets if i % 2 == 0 or similarity(sets[i], sets[i - 1]) < 0.8}
+    asked = {r.doc_id for r in neardup.near_duplicates(docs).where("kept").collect()}
+    assert asked == {i for i in sets if i % 2 == 0 or similarity(sets[i], sets[i - 1]) < 0.85}
+
+
+def test_bands_and_slack_follow_the_threshold():
+    assert [neardup.bands_for(t) for t in (neardup.THRESHOLD, neardup.STAGE_THRESHOLD)] == [24, 36]
+    for kept, whole in ((85, 100), (80, 100), (1, 2)):
+        assert (1 - (kept / whole) ** neardup.ROWS) ** neardup.bands_for((kept, whole)) <= neardup.MISS
+    assert neardup.slack_for(neardup.THRESHOLD) == 0.2
