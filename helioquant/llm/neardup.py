@@ -240,7 +240,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     owners = full.join(classes, alike).where(F.col("doc_id") == F.col("first"))
     entries = owners.select(F.col("doc_id").alias("id"), F.explode("bands").alias("bucket")).distinct()
     sketches = owners.select(F.col("doc_id").alias("id"), "sketch").distinct()
-    whole_sizes = owners.groupBy(F.col("doc_id").alias("id")).agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("n"))
+    # Of all texts of an id, those in the class of another id included: sets has them too.
+    each = F.struct(*alike)
+    whole_sizes = full.groupBy(F.col("doc_id").alias("id")).agg(
+        F.min("n_shingles").alias("least"), F.max("n_shingles").alias("n"), (F.min(each) != F.max(each)).alias("several")
+    )
     leaders = entries.groupBy("bucket").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader < last")
     shared = cut_lineage(entries.join(leaders.select("bucket", "leader"), "bucket"))
 
@@ -258,9 +262,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     kept, whole = threshold
     placed = cut_lineage(unsettled(placed))
     ids = placed.select("id").distinct()
-    # Of an id with several texts the smallest size and the most common shingles bound all of them.
+    # An id with several different texts has no bound: no count tells which text has which shingles.
     bounds = ids.join(whole_sizes, "id").join(own_shingles(sets, ids), "id", "left").select(
-        "id", "least", F.when(F.col("least") == F.col("n"), F.col("n") - F.coalesce("alone", F.lit(0))).otherwise(F.col("n")).alias("shared")
+        "id", "least", "several", F.when(F.col("several"), F.col("n")).otherwise(F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared")
     )
     placed = placed.join(bounds.where(F.col("shared") * whole >= F.col("least") * kept), "id")
     placed = cut_lineage(unsettled(placed))
@@ -279,13 +283,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     outside = placed.join(commonest, "bucket").where("component != commonest")
     both = F.least("sa", "sb", "na", "nb")
     second = (
-        outside.select("bucket", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("least").alias("na"), F.col("shared").alias("sa"))
+        outside.select("bucket", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("least").alias("na"), F.col("shared").alias("sa"), F.col("several").alias("ma"))
         .join(
-            placed.select("bucket", F.col("id").alias("b"), F.col("component").alias("cb"), "leader", F.col("least").alias("nb"), F.col("shared").alias("sb")),
+            placed.select(
+                "bucket", F.col("id").alias("b"), F.col("component").alias("cb"), "leader", F.col("least").alias("nb"), F.col("shared").alias("sb"), F.col("several").alias("mb")
+            ),
             "bucket",
         )
         .where((F.col("ca") != F.col("cb")) & (F.col("a") != F.col("leader")) & (F.col("b") != F.col("leader")))
-        .where(both * whole >= (F.col("na") + F.col("nb") - both) * kept)
+        .where(F.col("ma") | F.col("mb") | (both * whole >= (F.col("na") + F.col("nb") - both) * kept))
         .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         .distinct()
     )

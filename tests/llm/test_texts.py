@@ -306,3 +306,19 @@ def test_bands_and_slack_follow_the_threshold():
     for kept, whole in ((85, 100), (80, 100), (1, 2)):
         assert (1 - (kept / whole) ** neardup.ROWS) ** neardup.bands_for((kept, whole)) <= neardup.MISS
     assert neardup.slack_for(neardup.THRESHOLD) == 0.2
+
+
+@pytest.mark.parametrize("other", [14, 104])
+def test_an_id_with_several_texts_is_compared_by_each(spark, prose, other):
+    # Every bucket of 100 and 101 has a smaller document that is near neither and is its hub as well,
+    # so that only the last round can link the two.
+    base = prose(700, 104).split()
+    rows = [(101, " ".join(base)), (100, " ".join([*base[:-1], "changed"])), (100, prose(701, other))]
+    for i in range(40):
+        copy = list(base)
+        copy[5 + i], copy[55 + i] = f"one{i}", f"two{i}"
+        rows += [(i, " ".join(copy)), (i, prose(710 + i, 9))]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    rows_of = Counter(map(tuple, got.collect()))
+    assert rows_of == plain_components(rows)
+    assert (101, 100, 100, False) in rows_of
