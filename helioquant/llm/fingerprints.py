@@ -18,6 +18,7 @@ no rows; other columns play no part.
 
 from __future__ import annotations
 
+import math
 import random
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -27,7 +28,7 @@ from helioquant.llm.common import read_table
 
 BINS, BITS, WORDS = 256, 4, 5
 _PRIME = BINS + 1
-#: Documents that are put in order together, about; a stretch of ids is cut so that it holds so many.
+#: Documents that are put in order together, about; ids are cut at quantiles so that a stretch holds so many.
 STRETCH = 2000
 EMPTY = "." * BINS
 #: Places of an empty bin's order that are looked up one by one before all filled bins are compared.
@@ -92,16 +93,42 @@ def likeness(a: Column, b: Column) -> Column:
     )
 
 
+def cut_points(docs: DataFrame) -> list[int]:
+    """Ids, rising, between which there are about STRETCH rows, however the ids are spread."""
+    parts = docs.agg(F.count("doc_id")).first()[0] // STRETCH
+    if parts < 2:
+        return []
+    shares = [k / parts for k in range(1, parts)]
+    # Ranks are right to a quarter of a stretch.
+    return sorted(set(docs.agg(F.percentile_approx("doc_id", shares, max(10_000, 4 * parts))).first()[0]))
+
+
+def stretch_of(doc_id: Column, cuts: list[int]) -> Column:
+    """How many of the cuts are at or below an id; null for null. Looks at a row of the cuts, then in it."""
+    if not cuts:
+        return F.when(doc_id.isNotNull(), F.lit(0).cast("long"))
+    width = math.isqrt(len(cuts) - 1) + 1
+    rows = [cuts[at : at + width] for at in range(0, len(cuts), width)]
+
+    def below(array: Column) -> Column:
+        return F.size(F.filter(array, lambda c: c <= doc_id))
+
+    def longs(values: list[int]) -> Column:
+        return F.array(*[F.lit(v).cast("long") for v in values])
+
+    row = below(longs([x[0] for x in rows])) - 1
+    within = below(F.get(F.array(*map(longs, rows)), F.greatest(row, F.lit(0))))
+    return F.when(doc_id.isNotNull(), (F.greatest(row, F.lit(0)) * width + within).cast("long"))
+
+
 def with_next(docs: DataFrame) -> tuple[DataFrame, Window]:
     """doc_id, text, stretch, guest and next_text, with rows in order of their ids inside a stretch.
 
-    Ids are cut into stretches of equal width. The first row of a stretch is also the last, a guest,
+    Ids are cut into stretches of about as many rows each. The first row of a stretch is also the last, a guest,
     of the stretch before, so that each window is all that a stretch needs; the last stretch has
     the first row of all as its guest.
     """
-    ids = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("doc_id")).first()
-    width = max(1, (ids[1] - ids[0] + 1) * STRETCH // ids[2]) if ids[2] else 1
-    docs = docs.withColumn("stretch", F.expr(f"doc_id div {width}L"))
+    docs = docs.withColumn("stretch", stretch_of(F.col("doc_id"), cut_points(docs)))
     firsts = docs.groupBy("stretch").agg(F.min("doc_id").alias("first")).where("stretch is not null")
     every = Window.orderBy("stretch")
     firsts = firsts.select(

@@ -81,6 +81,18 @@ def test_fingerprints_over_many_stretches(hard, monkeypatch, marks):
     assert order(again) == order(marks)
 
 
+def test_stretches_hold_as_many_rows_for_any_ids(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "STRETCH", 50)
+    ids = [*range(1000), 50_000_000_000, *range(-(10**15), -(10**15) + 300), *range(7 * 10**12, 7 * 10**12 + 90_000, 300)]
+    rows = [(i, f"text {i}") for i in random.Random(8).sample(ids, len(ids))] + [(None, "nameless")]
+    got = fingerprints.with_next(spark.createDataFrame(rows, "doc_id long, text string"))[0].toPandas()
+    own = got[(got.guest == 0) & got.doc_id.notna()]
+    assert len(own) == len(ids) and own.groupby("stretch").size().max() <= 100
+    ids.sort()
+    following = dict(zip(ids, [*ids[1:], ids[0]]))
+    assert all(x == f"text {following[int(i)]}" for i, x in zip(own.doc_id, own.next_text))
+
+
 # language
 
 
