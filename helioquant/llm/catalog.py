@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from helioquant.llm import fingerprints, language, licenses, mixing, neardup, neighbours, packing, repeats, toxicity, urlfilter
+from helioquant.llm import decontamination, fingerprints, language, licenses, mixing, neardup, neighbours, packing, repeats, toxicity, urlfilter
 
 CATALOG: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_license_scans": (licenses.op1_license_scans, None),
@@ -19,4 +19,5 @@ CATALOG: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op8_toxicity": (toxicity.op8_toxicity, None),
     "op9_url_filters": (urlfilter.op9_url_filters, urlfilter.ORACLE_SQL),
     "op10_minhash_near_dedup": (neardup.op10_minhash_near_dedup, None),
+    "op13_benchmark_decontamination": (decontamination.op13_benchmark_decontamination, decontamination.ORACLE_SQL),
 }
