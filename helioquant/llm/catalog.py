@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from helioquant.llm import decontamination, fingerprints, language, licenses, mixing, neardup, neighbours, packing, repeats, toxicity, urlfilter, whitening
+from helioquant.llm import decontamination, fingerprints, language, licenses, mixing, neardup, neighbours, packing, repeats, spelling, toxicity, urlfilter, whitening
 
 CATALOG: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_license_scans": (licenses.op1_license_scans, None),
@@ -19,6 +19,7 @@ CATALOG: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op8_toxicity": (toxicity.op8_toxicity, None),
     "op9_url_filters": (urlfilter.op9_url_filters, urlfilter.ORACLE_SQL),
     "op10_minhash_near_dedup": (neardup.op10_minhash_near_dedup, None),
+    "op11_spelling_variants": (spelling.op11_spelling_variants, None),
     "op12_embedding_whitening": (whitening.op12_embedding_whitening, None),
     "op13_benchmark_decontamination": (decontamination.op13_benchmark_decontamination, decontamination.ORACLE_SQL),
 }

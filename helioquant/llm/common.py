@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from helioquant.session import checkpoint_dir
+
 #: Bytes hashed at a time inside a task; eight-byte arrays of this length are the largest it makes.
 SEGMENT_BYTES = 1 << 20
 
@@ -28,12 +30,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The context's checkpoint folder, which all executors see; set from the session where it is unset."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(checkpoint_dir(spark))
+    return context.getCheckpointDir()
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """The same rows, written to the shared checkpoint folder; that survives lost executors."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="helioquant-checkpoint-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
