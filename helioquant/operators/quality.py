@@ -3,18 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helioquant.functions.numeric import count_where, ratio
 from helioquant.functions.timestamps import local_date, slot
+from helioquant.functions.sequence import with_previous
 from helioquant.operators.counters import (
+    FLAG_DAILY_DROP,
+    FLAG_MONOTONIC,
     irradiance_by_slot,
     qc_chronology,
-    qc_daily_drop,
-    qc_monotonic_total,
 )
 from helioquant.operators.dictionary import DAILY_COUNTER, LIFETIME_COUNTER
 
@@ -22,6 +22,9 @@ FLAG_HIGH = "QC_FLAG_OUT_OF_BOUNDS_HIGH"
 FLAG_LOW = "QC_FLAG_OUT_OF_BOUNDS_LOW"
 FLAG_NO_BOUNDS = "QC_FLAG_NO_BOUNDS"
 
+#: What a reading is matched with its bounds by. A device key belongs to one plant only by chance.
+CHANNEL = ("plant", "device", "signal_key")
+
 # The three forms a bound rule can take.
 NUMBER = r"[-+]?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?"
 LITERAL_RULE = rf"^\s*({NUMBER})\s*$"
@@ -51,24 +54,26 @@ def resolve_bounds(
     assets: DataFrame,
     channels: DataFrame,
     attributes: Sequence[str] = ("rated_dc_w", "rated_ac_w"),
+    keys: Sequence[str] = CHANNEL,
 ) -> DataFrame:
-    """Least and greatest allowed value per (device, signal) channel of active signals.
+    """Least and greatest allowed value per (plant, device, signal) channel of active signals.
 
-    ``bounds_valid`` is false where a rule has none of the known forms or names an attribute the
+    Channels that carry the attributes themselves need no join with the assets. ``bounds_valid`` is false where a rule has none of the known forms or names an attribute the
     device lacks.
     """
     pairs = [part for a in attributes for part in (F.lit(a), F.col(a).cast("double"))]
-    attrs = assets.select(F.col("id").alias("asset_id"), F.create_map(*pairs).alias("_attrs"))
+    if set(attributes) <= set(channels.columns):
+        rated = channels.withColumn("_attrs", F.create_map(*pairs))
+    else:
+        attrs = assets.select(F.col("id").alias("asset_id"), F.create_map(*pairs).alias("_attrs"))
+        rated = channels.select("asset_id", *keys).join(attrs, "asset_id")
     rules = dictionary.where("is_active").select("signal_key", "bound_min_rule", "bound_max_rule")
     low, low_ok = bound_value(F.col("bound_min_rule"), F.col("_attrs"))
     high, high_ok = bound_value(F.col("bound_max_rule"), F.col("_attrs"))
     return (
-        channels.select("asset_id", "device", "signal_key")
-        .join(attrs, "asset_id")
-        .join(rules, "signal_key")
+        rated.join(rules, "signal_key")
         .select(
-            "device",
-            "signal_key",
+            *keys,
             low.alias("bound_min"),
             high.alias("bound_max"),
             (low_ok & high_ok).alias("bounds_valid"),
@@ -88,7 +93,7 @@ def range_flag(value: Column) -> Column:
 def qc_range(
     long: DataFrame,
     bounds: DataFrame,
-    keys: Sequence[str] = ("device", "signal_key"),
+    keys: Sequence[str] = CHANNEL,
     value: str = "value",
     flags: str = "qc_flags",
 ) -> DataFrame:
@@ -121,53 +126,41 @@ def run_qc(
 ) -> DataFrame:
     """Every rule on the long table: range, counter order, arrival order.
 
-    Each signal takes only the work its rules need. Readings of plain signals are range-checked
-    without a shuffle; only the lifetime counter pays for a look-back, and only the daily counter
-    for a look-back and the weather. The three selections are pushed down to the scan.
+    One look-back per (plant, device, signal) serves both counter rules, which are chosen by the
+    signal of the row; only the order of arrival takes a second one. Irradiance is looked up for
+    falls of the daily counter within a day alone: other rows have no plant in that join, so they
+    spread over its partitions by their slot and match nothing.
     """
-    series = [plant, device]
-    common = dict(ts=ts, tie_breakers=tie_breakers)
-    signal = F.col("signal_key")
-    special = (daily_signal, lifetime_signal)
-
-    plain = readings.where(~signal.isin(*special) | signal.isNull())
-    plain = plain.withColumn("_counter", F.lit(None).cast("string"))
-    plain = plain.withColumn("daily_drop_unknown", F.lit(False))
-
-    lifetime = qc_monotonic_total(
-        readings.where(signal == lifetime_signal), "value", series, **common
-    ).withColumnRenamed("qc_flag", "_counter")
-    lifetime = lifetime.withColumn("daily_drop_unknown", F.lit(False))
-
-    daily = qc_daily_drop(
-        readings.where(signal == daily_signal), weather, "value", plant, device,
-        day=day, irradiance=irradiance, interval_s=interval_s, **common,
-    ).withColumnRenamed("qc_flag", "_counter")
-    daily = daily.withColumn("daily_drop_unknown", F.col("daily_drop").isNull()).drop("daily_drop")
-
-    checked = reduce(DataFrame.unionByName, [plain, lifetime, daily])
+    series = [plant, device, "signal_key"]
+    signal, value = F.col("signal_key"), F.col("value")
+    stepped = with_previous(readings, series, ["value", day], ts=ts, tie_breakers=tie_breakers, prefix="_prev_")
+    fell = F.coalesce(value < F.col("_prev_value"), F.lit(False))
+    drop = (signal == daily_signal) & fell & (F.col(day) == F.col(f"_prev_{day}"))
+    stepped = stepped.withColumn("_drop", F.coalesce(drop, F.lit(False)))
+    stepped = stepped.withColumn("_fell", F.when((signal == lifetime_signal) & fell, F.lit(FLAG_MONOTONIC)))
     if arrival is None:
-        checked = checked.withColumn("_order", F.lit(None).cast("string"))
+        ordered = stepped.withColumn("_order", F.lit(None).cast("string"))
     else:
-        checked = qc_chronology(
-            checked, [plant, device, "signal_key"], ts, arrival, basis=readings
-        ).withColumnRenamed("qc_flag", "_order")
-    limits = bounds.select(device, "signal_key", "bound_min", "bound_max", "bounds_valid")
-    return checked.join(limits, [device, "signal_key"], "left").select(
+        ordered = qc_chronology(stepped, series, ts, arrival, basis=readings).withColumnRenamed("qc_flag", "_order")
+
+    sun = irradiance_by_slot(weather, plant, ts, irradiance, interval_s).withColumnRenamed(plant, "_sun_plant")
+    lit = ordered.withColumn("_sun_plant", F.when(F.col("_drop"), F.col(plant))).withColumn("_slot", slot(ts, interval_s))
+    judged = lit.join(sun, ["_sun_plant", "_slot"], "left")
+    limits = bounds.select(*series, "bound_min", "bound_max", "bounds_valid")
+    dropped = F.when(F.col("_drop") & (F.col("_g") > 0), F.lit(FLAG_DAILY_DROP))
+    return judged.join(limits, series, "left").select(
         *readings.columns,
-        F.array_compact(
-            F.array(range_flag(F.col("value")), F.col("_counter"), F.col("_order"))
-        ).alias("qc_flags"),
-        "daily_drop_unknown",
+        F.array_compact(F.array(range_flag(value), F.col("_fell"), dropped, F.col("_order"))).alias("qc_flags"),
+        (F.col("_drop") & F.col("_g").isNull()).alias("daily_drop_unknown"),
     )
 
 
 def qc_summary(
     flagged: DataFrame,
-    keys: Sequence[str] = ("device", "local_date", "signal_key"),
+    keys: Sequence[str] = ("plant", "device", "local_date", "signal_key"),
     flags: str = "qc_flags",
 ) -> DataFrame:
-    """Readings per flag for each device, day and signal."""
+    """Readings per flag for each plant, device, day and signal."""
     return (
         flagged.select(*keys, F.explode(flags).alias("qc_flag"))
         .groupBy(*keys, "qc_flag")
@@ -204,7 +197,7 @@ def availability(
     sun = irradiance_by_slot(weather, plant, ts, irradiance, interval_s)
     judged = (
         slots.join(sun, [plant, "_slot"], "left")
-        .join(ratings.select(device, F.col(rated).alias("_rated")), device, "left")
+        .join(ratings.select(plant, device, F.col(rated).alias("_rated")), [plant, device], "left")
         .withColumn("log_date", local_date("_slot"))
     )
     known = F.col("_g").isNotNull() & F.col("_ac").isNotNull() & F.col("_rated").isNotNull()

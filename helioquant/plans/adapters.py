@@ -185,6 +185,7 @@ def device_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     rated = F.when(F.col("user_id") % 7 != 0, (F.col("user_id") % 100 + 20).cast("double"))
     return users.select(
         F.concat(F.lit("asset_"), F.col("user_id")).alias("id"),
+        F.lit("site").alias("plant"),
         F.concat(F.lit("dev_"), F.col("user_id")).alias("device"),
         rated.alias("rated_dc_w"),
         rated.alias("rated_ac_w"),
@@ -192,11 +193,14 @@ def device_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def device_channels(assets: DataFrame) -> DataFrame:
-    """Four channels per asset."""
+    """Four channels per asset, with its ratings."""
     signals = ("power_dc", "power_ac", "energy_ac_daily", "energy_ac_total")
     return assets.select(
         F.col("id").alias("asset_id"),
+        "plant",
         "device",
+        "rated_dc_w",
+        "rated_ac_w",
         F.explode(F.array(*[F.lit(s) for s in signals])).alias("signal_key"),
     )
 

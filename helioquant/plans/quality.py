@@ -18,14 +18,18 @@ from helioquant.plans.adapters import (
     day_text,
     device_assets,
     device_channels,
+    flag,
     long_readings,
     site_weather,
     table,
     ts_text,
 )
+from helioquant.plans.telemetry import DAILY_DROP_SQL, weather_of_errors
 from helioquant.session import checkpoint_dir
 from helioquant.sources import feeds, tables
 from helioquant.streaming import energy as stream_energy
+from helioquant.streaming import merge as stream_merge
+from helioquant.streaming import order as stream_order
 from helioquant.streaming import quality as stream_quality
 
 DECIMALS = 2
@@ -73,7 +77,7 @@ def routed_counts(spark, sf):
 
 
 def scorecard(spark, sf):
-    out = quality.qc_summary(_ranged(spark, sf))
+    out = quality.qc_summary(_ranged(spark, sf)).drop("plant")
     return out.withColumn("local_date", day_text("local_date"))
 
 
@@ -143,7 +147,7 @@ def device_day_report(spark, sf):
 def device_availability(spark, sf):
     """Power readings against the irradiance of the site; ratings by user number."""
     readings = long_readings(spark, sf).where(F.col("signal_key") == "power_ac")
-    ratings = device_assets(spark, sf).select("device", (F.col("rated_ac_w") * 50).alias("rated_ac_w"))
+    ratings = device_assets(spark, sf).select("plant", "device", (F.col("rated_ac_w") * 50).alias("rated_ac_w"))
     sun = site_weather(spark, sf).withColumn("irradiance", F.col("irradiance") * 10)
     out = quality.availability(readings, sun, ratings, ac="value")
     return out.select(
@@ -196,48 +200,124 @@ def streamed_routing(spark, sf):
     return out.select("reading_id", "route", F.array_join("qc_flags", ",").alias("qc_flags"))
 
 
-def streamed_steps(spark, sf):
-    def writer(path, state):
-        stream = _event_stream(spark, sf).select(
-            F.concat(F.lit("dev_"), F.col("user_id")).alias("device"),
-            F.col("event_type").alias("signal_key"),
-            F.col("ts").cast("timestamp").alias("ts"),
-            "value",
-        )
-        return (
-            stream_quality.stream_monotonic(stream)
-            .writeStream.format("parquet")
-            .option("path", path)
-            .option("checkpointLocation", state)
-            .outputMode("append")
-        )
+def _keyed_state(spark):
+    """Keyed timers need the store that build_session sets; sessions built elsewhere may lack it."""
+    spark.conf.set(*stream_order.STATE_PROVIDER)
 
-    out = spark.read.parquet(_drain(spark, writer))
-    return out.select(
+
+def _drain_in_parts(spark, parts, writer_of):
+    """Bring the parts (folder name to rows) in one after another, draining the stream after each.
+
+    Every drain starts a new query from the checkpoint of the one before, as after a restart.
+    """
+    base = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    schemas = {name: rows.schema for name, rows in parts[0].items()}
+    for part in parts:
+        for name, rows in part.items():
+            rows.write.mode("append").parquet(f"{base}/in/{name}")
+        streams = {name: spark.readStream.schema(s).parquet(f"{base}/in/{name}") for name, s in schemas.items()}
+        writer_of(streams, f"{base}/out", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return f"{base}/out"
+
+
+def _appended(rows, path, state):
+    return rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", state).outputMode("append")
+
+
+def _heartbeat(rows):
+    """A row of no plant far beyond the others: it moves the watermark past all of them."""
+    later = F.max("ts") + F.expr("INTERVAL 60 DAYS")
+    names = [f for f in rows.schema.fields if f.name not in ("plant", "ts")]
+    return rows.agg(later.alias("ts")).select(
+        F.lit("heartbeat").alias("plant"), "ts", *[F.lit(0).cast(f.dataType).alias(f.name) for f in names]
+    ).select(*rows.columns)
+
+
+def _arrived(event_id):
+    """Arrival numbers that leave the order of time by up to some sixty places."""
+    return event_id + event_id % 7 * 11
+
+
+def _series(spark, sf):
+    return table(spark, sf, "events").select(
+        F.lit("site").alias("plant"),
+        F.concat(F.lit("dev_"), F.col("user_id")).alias("device"),
+        F.col("event_type").alias("signal_key"),
+        F.col("ts").cast("timestamp").alias("ts"),
+        "value",
+        _arrived(F.col("event_id")).alias("ingest_seq"),
+    )
+
+
+def streamed_order(spark, sf):
+    """Readings in three drains by arrival, a heartbeat at the end: both order rules on the stream."""
+    _keyed_state(spark)
+    rows = _series(spark, sf)
+    last = rows.agg(F.max("ingest_seq")).first()[0]
+    third = F.floor(F.col("ingest_seq") * 3 / (last + 1))
+    parts = [{"readings": rows.where(third == k)} for k in range(3)]
+    parts[-1]["readings"] = parts[-1]["readings"].unionByName(_heartbeat(rows))
+
+    def writer(streams, path, state):
+        return _appended(stream_order.stream_order_checks(streams["readings"], lateness="4 days"), path, state)
+
+    return spark.read.parquet(_drain_in_parts(spark, parts, writer))
+
+
+def streamed_steps(spark, sf):
+    return streamed_order(spark, sf).select(
         "device", "signal_key", ts_text("ts").alias("ts"), round_half_up("step", 4).alias("step"),
-        F.coalesce("qc_flag", F.lit("")).alias("qc_flag"),
+        F.when(F.array_contains("qc_flags", "QC_MONOTONIC_INCREASING"), F.lit("QC_MONOTONIC_INCREASING")).otherwise(F.lit("")).alias("qc_flag"),
     )
 
 
+def streamed_order_flags(spark, sf):
+    return streamed_order(spark, sf).select(
+        "plant", "device", "signal_key", "arrival", F.array_join("qc_flags", ",").alias("qc_flags")
+    )
+
+
+def streamed_daily_drop(spark, sf):
+    """The daily-drop rule with readings and irradiance as streams, in three drains."""
+    _keyed_state(spark)
+    readings = table(spark, sf, "events").where(F.col("event_type") != "error").select(
+        F.col("event_type").alias("plant"), F.concat(F.lit("dev_"), F.col("user_id")).alias("device"),
+        F.col("ts").cast("timestamp").alias("ts"), "value", F.col("event_id").alias("ingest_seq"),
+    )
+    weather = weather_of_errors(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
+    first, last = readings.agg(F.min("ts"), F.max("ts")).first()
+    cuts = [first + (last - first) * k / 3 for k in range(1, 3)]
+
+    def part(rows, k):
+        low = rows if k == 0 else rows.where(F.col("ts") >= cuts[k - 1])
+        return low if k == 2 else low.where(F.col("ts") < cuts[k])
+
+    parts = [{"readings": part(readings, k), "weather": part(weather, k)} for k in range(3)]
+    for name, rows in (("readings", readings), ("weather", weather)):
+        parts[-1][name] = parts[-1][name].unionByName(_heartbeat(rows))
+
+    def writer(streams, path, state):
+        return _appended(stream_order.stream_daily_drop(streams["readings"], streams["weather"]), path, state)
+
+    out = spark.read.parquet(_drain_in_parts(spark, parts, writer))
+    return out.select(
+        F.col("arrival").alias("reading_id"), flag("daily_drop").alias("daily_drop"), F.coalesce("qc_flag", F.lit("")).alias("qc_flag")
+    )
+
+
 def streamed_energy(spark, sf):
-    """Days the watermark has closed; the last day stays open, as on any stream."""
+    """Every device-day, those still open included, merged from the changes of each micro-batch."""
+    rows = table(spark, sf, "events").select(
+        F.col("event_type").alias("plant"), F.col("user_id").alias("device"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("ac")
+    )
+    first, last = rows.agg(F.min("ts"), F.max("ts")).first()
+    middle = first + (last - first) / 2
+    parts = [{"readings": rows.where(F.col("ts") < middle)}, {"readings": rows.where(F.col("ts") >= middle)}]
 
-    def writer(path, state):
-        stream = _event_stream(spark, sf).select(
-            F.col("event_type").alias("plant"),
-            F.col("user_id").alias("device"),
-            F.col("ts").cast("timestamp").alias("ts"),
-            F.col("value").alias("ac"),
-        )
-        days = stream_energy.stream_daily_energy(stream, decimals=DECIMALS)
-        return (
-            days.writeStream.format("parquet")
-            .option("path", path)
-            .option("checkpointLocation", state)
-            .outputMode("append")
-        )
+    def writer(streams, path, state):
+        return stream_merge.batch_writer(stream_energy.stream_daily_energy(streams["readings"], decimals=DECIMALS), path, state)
 
-    out = spark.read.parquet(_drain(spark, writer))
+    out = stream_merge.latest(spark, _drain_in_parts(spark, parts, writer), ["plant", "device", "log_date"])
     return out.withColumn("log_date", day_text("log_date"))
 
 
@@ -358,12 +438,22 @@ QUERIES = {
         SELECT device, signal_key, {q.ts_text('ts')} AS ts, {q.rounded('step', 4)} AS step,
                CASE WHEN step < 0 THEN 'QC_MONOTONIC_INCREASING' ELSE '' END AS qc_flag FROM s""",
     ),
+    "stream_order_checks": (
+        streamed_order_flags,
+        f"""WITH s AS (
+          SELECT event_id + event_id % 7 * 11 AS arrival, 'dev_' || user_id AS device, event_type AS signal_key, value, ts, user_id, event_type FROM events),
+        judged AS (
+          SELECT *, value < lag(value) OVER (PARTITION BY user_id, event_type ORDER BY ts, arrival) AS fell,
+                 ts <= lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY arrival) AS late FROM s)
+        SELECT 'site' AS plant, device, signal_key, arrival,
+               concat_ws(',', CASE WHEN fell THEN 'QC_MONOTONIC_INCREASING' END, CASE WHEN late THEN 'QC_FLAG_NOT_CHRONOLOGICAL' END) AS qc_flags
+        FROM judged""",
+    ),
+    "stream_daily_drop": (streamed_daily_drop, DAILY_DROP_SQL),
     "stream_daily_energy": (
         streamed_energy,
-        f"""WITH last AS (SELECT max(ts) - INTERVAL '1 hour' AS mark FROM events)
-        SELECT event_type AS plant, user_id AS device, {q.day_text('CAST(ts AS DATE)')} AS log_date,
-               {q.total('value')} * CAST(0.25 AS DOUBLE) AS integrated_kwh, count(*) AS n_readings
-        FROM events WHERE CAST(ts AS DATE) + INTERVAL '1 day' <= (SELECT mark FROM last)
-        GROUP BY event_type, user_id, CAST(ts AS DATE)""",
+        f"""SELECT event_type AS plant, user_id AS device, {q.day_text('CAST(ts AS DATE)')} AS log_date,
+               {q.total('value')} * CAST(0.25 AS DOUBLE) AS integrated_kwh, count(value) AS n_readings
+        FROM events GROUP BY event_type, user_id, CAST(ts AS DATE)""",
     ),
 }

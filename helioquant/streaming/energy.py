@@ -1,4 +1,4 @@
-"""Device-day energy on a stream."""
+"""Device-day energy on a stream, open days included."""
 
 from __future__ import annotations
 
@@ -18,11 +18,20 @@ def stream_daily_energy(
     ts: str = "ts",
     lateness: str = "1 hour",
     decimals: int | None = None,
+    zone: str = "UTC",
 ) -> DataFrame:
-    """Integrated energy per device and day; a day is final once the watermark has passed it."""
+    """Integrated energy per device and local day, for update mode.
+
+    Every micro-batch gives the days it changed, also those still open; ``merge.batch_writer`` and
+    ``merge.latest`` keep the newest row of each. A day's state is let go once the watermark, on
+    the plant's clock, has passed it; readings that come later still are dropped and counted
+    (``order.dropped_by_watermark``). Readings without a time belong to no day.
+    """
+    local = F.from_utc_timestamp(F.col(ts).cast("timestamp"), zone)
     return (
-        stream.withWatermark(ts, lateness)
-        .groupBy(*keys, F.window(ts, "1 day").alias("_day"))
+        stream.withColumn("_local", local)
+        .withWatermark("_local", lateness)
+        .groupBy(*keys, F.window("_local", "1 day").alias("_day"))
         .agg(
             (total(ac, decimals) * F.lit(interval_h)).alias("integrated_kwh"),
             F.count(ac).alias("n_readings"),

@@ -1,29 +1,33 @@
-"""Range routing and order checks on arriving readings."""
+"""Range routing of arriving readings, with counts of each micro-batch."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.readwriter import DataStreamWriter
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from helioquant.operators.counters import FLAG_MONOTONIC, FLAG_NOT_CHRONOLOGICAL
-from helioquant.operators.quality import qc_range
-from helioquant.sources.tables import ROUTE, with_route
+from helioquant.operators.quality import CHANNEL, qc_range
+from helioquant.sources.tables import ROUTE, ROUTE_METRICS, route_counts, with_route
 
-STATE_SCHEMA = "ts_micros long, value double"
-OUTPUT_SCHEMA = (
-    "device string, signal_key string, ts timestamp, value double, prev_value double, "
-    "step double, qc_flag string"
-)
 
+def stream_qc(stream: DataFrame, bounds: DataFrame, keys: Sequence[str] = CHANNEL) -> DataFrame:
+    """Range flags and the route of each arriving reading (the batch rule on a stream).
+
+    The counts of both routes are observed in the pass that writes: ``micro_batch_counts``.
+    """
+    return with_route(qc_range(stream, bounds, keys)).observe(ROUTE_METRICS, *route_counts())
 
-def stream_qc(stream: DataFrame, bounds: DataFrame) -> DataFrame:
-    """Range flags and the route of each arriving reading (the batch rule on a stream)."""
-    return with_route(qc_range(stream, bounds))
+
+def micro_batch_counts(query: StreamingQuery) -> list[dict]:
+    """batch, n_read, n_valid and n_dead_letter of the micro-batches that the query still reports."""
+    found = []
+    for progress in query.recentProgress:
+        metrics = progress["observedMetrics"].get(ROUTE_METRICS)
+        if metrics is not None:
+            found.append({"batch": progress["batchId"], **{k: metrics[k] for k in ("n_read", "n_valid", "n_dead_letter")}})
+    return found
 
 
 def routed_writer(routed: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
@@ -38,69 +42,3 @@ def routed_writer(routed: DataFrame, path: str, checkpoint: str) -> DataStreamWr
         .partitionBy(ROUTE)
         .outputMode("append")
     )
-
-
-def judge_series(
-    key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
-) -> Iterator[pd.DataFrame]:
-    """Judge a series' new readings against its last (time, value), which the state holds.
-
-    Readings of a micro-batch are taken in time order. One that does not lie after the stored
-    time is a chronology violation: it gets no step and does not move the state back.
-    """
-    parts = list(batches)
-    batch = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
-    ts = batch["ts"].to_numpy(dtype="datetime64[us]")
-    order = np.argsort(ts, kind="stable")  # times that are missing come last
-    ts, value = ts[order], batch["value"].to_numpy(dtype="float64")[order]
-    late = np.isnat(ts)
-    late[1:] |= ts[1:] == ts[:-1]
-    before = state.get if state.exists else None
-    micros = ts.astype("int64")
-    if before is not None:
-        late |= micros <= before[0]
-    fresh = np.flatnonzero(~late)
-    previous = np.full(len(ts), np.nan)
-    if len(fresh):
-        previous[fresh[1:]] = value[fresh[:-1]]
-        previous[fresh[0]] = np.nan if before is None else before[1]
-        last = fresh[-1]
-        state.update((int(micros[last]), float(value[last])))
-    step = value - previous
-    flags = np.full(len(ts), None, dtype=object)
-    flags[step < 0] = FLAG_MONOTONIC
-    flags[late] = FLAG_NOT_CHRONOLOGICAL
-    yield pd.DataFrame(
-        {
-            "device": key[0],
-            "signal_key": key[1],
-            "ts": ts,
-            "value": value,
-            "prev_value": previous,
-            "step": step,
-            "qc_flag": flags,
-        }
-    )
-
-
-def stream_monotonic(
-    stream: DataFrame, keys: Sequence[str] = ("device", "signal_key")
-) -> DataFrame:
-    """Steps and order flags across micro-batches, per (device, signal).
-
-    ``stream`` has device, signal_key, ts (timestamp) and value. State is one record per series,
-    shipped with the rows in Arrow batches of many series. The rows a series brings to one
-    micro-batch are bounded by the source's rate option (such as ``maxFilesPerTrigger`` or
-    ``maxOffsetsPerTrigger``), which the caller sets on the source.
-    """
-    return (
-        stream.select(*keys, "ts", "value")
-        .groupBy(*keys)
-        .applyInPandasWithState(
-            judge_series,
-            outputStructType=OUTPUT_SCHEMA,
-            stateStructType=STATE_SCHEMA,
-            outputMode="append",
-            timeoutConf=GroupStateTimeout.NoTimeout,
-        )
-    )

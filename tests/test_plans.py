@@ -7,10 +7,14 @@ import io
 import re
 
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
+from helioquant.functions.fixed import fixed_rows
 from helioquant.functions.sequence import with_previous
 from helioquant.functions.units import convert_readings
 from helioquant.operators import profile, quality
+from helioquant.sources.tables import write_laid_out
 
 
 def plan(df) -> str:
@@ -45,15 +49,32 @@ def test_look_back_shuffles_the_readings_once(readings, no_broadcast):
     assert text.count("FileScan") == 2
 
 
-def test_quality_pass_gives_plain_signals_no_shuffle(spark, readings, no_broadcast):
-    bounds = spark.createDataFrame([("d0", "power_ac", 0.0, 1.0, True)], "device string, signal_key string, bound_min double, bound_max double, bounds_valid boolean")
+def test_quality_pass_looks_back_once(spark, readings):
+    bounds = fixed_rows(spark, [("p", "d0", "power_ac", 0.0, 1.0, True)], "plant string, device string, signal_key string, bound_min double, bound_max double, bounds_valid boolean")
     weather = readings.selectExpr("plant", "ts", "value AS irradiance")
-    text = plan(quality.run_qc(readings, bounds, weather))
-    union = text[text.index("Union"):]
-    first_branch = union[: union.index("FileScan")]
-    assert "Exchange" not in first_branch
-    for signal in ("energy_ac_total", "energy_ac_daily"):
-        assert f"EqualTo(signal_key,{signal})" in text
+    text = plan(quality.run_qc(readings, bounds, weather, arrival="note"))
+    assert "Union" not in text
+    assert text.count("FileScan") <= 4  # the readings for rows and for the ends of segments, by time and by arrival; the weather
+    assert text.count("Exchange hashpartitioning") <= 8
+    # Both counter rules read one look-back: a window by time, a window by arrival, and their carried ends.
+    assert len(re.findall(r"\bWindow \[", text)) == 4
+
+
+def test_laid_out_facts_need_no_exchange(spark, readings, no_broadcast):
+    spark.sql("DROP TABLE IF EXISTS laid_out_readings")
+    write_laid_out(readings, "laid_out_readings", buckets=4)
+    try:
+        facts = spark.table("laid_out_readings")
+        assert facts.count() == readings.count()
+        limits = spark.createDataFrame([("p", f"d{i}", 1.0) for i in range(3)], "plant string, device string, bound_max double")
+        joined = plan(facts.join(limits, ["plant", "device"]))
+        assert joined.count("Exchange") == 1  # the bounds alone
+        counted = plan(facts.groupBy("plant", "device").agg({"value": "max"}))
+        assert "Exchange" not in counted
+        order = Window.partitionBy("plant", "device").orderBy("ts")
+        assert "Exchange" not in plan(facts.withColumn("before", F.lag("value").over(order)))
+    finally:
+        spark.sql("DROP TABLE laid_out_readings")
 
 
 def test_profiles_read_only_their_columns(readings):

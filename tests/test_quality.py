@@ -15,8 +15,8 @@ def bounds(spark):
         [("i1", 50000.0, 40000.0), ("i2", 1250000.0, 1000000.0), ("i3", None, None)],
         "id string, rated_dc_w double, rated_ac_w double",
     )
-    pairs = [(i, f"dev{i[1]}", s) for i in ("i1", "i2", "i3") for s in ("power_dc", "power_ac", "energy_ac_daily", "energy_ac_total", "temperature_module")]
-    channels = spark.createDataFrame(pairs, "asset_id string, device string, signal_key string")
+    pairs = [(i, "p", f"dev{i[1]}", s) for i in ("i1", "i2", "i3") for s in ("power_dc", "power_ac", "energy_ac_daily", "energy_ac_total", "temperature_module")]
+    channels = spark.createDataFrame(pairs, "asset_id string, plant string, device string, signal_key string")
     return quality.resolve_bounds(dictionary.canonical_signals(spark), assets, channels)
 
 
@@ -52,7 +52,7 @@ def test_range_is_inclusive_and_nothing_is_lost(spark, bounds):
         ("dev1", "power_dc", 60000.0), ("dev1", "power_dc", 60000.1), ("dev1", "power_dc", -0.1), ("dev1", "power_dc", 0.0),
         ("dev2", "power_dc", 60000.1), ("dev3", "power_dc", 1.0), ("who", "power_dc", 1.0), ("dev1", "wind_speed", 1.0), ("dev1", "power_dc", None),
     ]
-    df = spark.createDataFrame(rows, "device string, signal_key string, value double")
+    df = spark.createDataFrame(rows, "device string, signal_key string, value double").withColumn("plant", F.lit("p"))
     flagged = quality.qc_range(df, bounds)
     out = {(r.device, r.signal_key, r.value): r.qc_flags for r in flagged.collect()}
     high, low, none = quality.FLAG_HIGH, quality.FLAG_LOW, quality.FLAG_NO_BOUNDS
@@ -132,7 +132,7 @@ def test_availability(frame, weather, spark):
         ("p", "e", "2020-05-02 00:00:00", 0.0),  # night
     ]
     df = frame(rows, "plant string, device string, ts timestamp, ac_w double")
-    ratings = spark.createDataFrame([(d, 100.0) for d in "def"], "device string, rated_ac_w double")
+    ratings = spark.createDataFrame([("p", d, 100.0) for d in "def"] + [("q", "d", 1.0)], "plant string, device string, rated_ac_w double")
     out = {(r.device, r.log_date.day): r for r in quality.availability(df, weather, ratings).collect()}
     d = out[("d", 1)]
     assert (d.daylight_slots, d.down_slots, d.unknown_slots, d.availability) == (1, 0, 1, 1.0)
@@ -168,3 +168,25 @@ def test_combined_pass(frame, bounds, weather):
     assert {
         (r.signal_key, r.value) for r in late.where(F.array_contains("qc_flags", counters.FLAG_NOT_CHRONOLOGICAL)).collect()
     } == {("energy_ac_total", 9.0), ("energy_ac_daily", 9.0)}
+
+
+def test_a_device_key_of_two_plants_counts_once(spark, frame):
+    """Bounds and ratings of another plant's device of the same key play no part."""
+    bounds = spark.createDataFrame(
+        [("p", "d", "power_ac", 0.0, 5.0, True), ("q", "d", "power_ac", 0.0, 500.0, True)],
+        "plant string, device string, signal_key string, bound_min double, bound_max double, bounds_valid boolean",
+    )
+    df = frame([("p", "d", "power_ac", "2020-05-01 10:00:00", "2020-05-01", 9.0)], LONG)
+    assert [r.qc_flags for r in quality.qc_range(df, bounds).collect()] == [[quality.FLAG_HIGH]]
+    sun = frame([("p", "2020-05-01 10:00:00", 500.0)], "plant string, ts timestamp, irradiance double")
+    assert [r.qc_flags for r in quality.run_qc(df, bounds, sun).collect()] == [[quality.FLAG_HIGH]]
+    ratings = spark.createDataFrame([("p", "d", 10.0), ("q", "d", 1e6)], "plant string, device string, rated_ac_w double")
+    (day,) = quality.availability(df, sun, ratings, ac="value").collect()
+    assert (day.daylight_slots, day.down_slots) == (1, 0)
+
+
+def test_routing_counts_what_it_writes(spark, frame, bounds, tmp_path):
+    df = frame([("p", "dev1", "power_ac", "2020-05-01 10:00:00", "2020-05-01", v) for v in (1.0, 2.0, 1e9)], LONG)
+    counts = tables.write_routed(quality.qc_range(df, bounds), str(tmp_path / "routed"))
+    assert counts == {"n_read": 3, "n_valid": 2, "n_dead_letter": 1}
+    assert {r.route: r["count"] for r in spark.read.parquet(str(tmp_path / "routed")).groupBy("route").count().collect()} == {"valid": 2, "dead_letter": 1}

@@ -5,75 +5,178 @@ from pyspark.sql import functions as F
 
 from helioquant.operators import counters, energy, quality
 from helioquant.streaming import energy as stream_energy
+from helioquant.streaming import merge, order
 from helioquant.streaming import quality as stream_quality
 
-SCHEMA = "device string, signal_key string, ts timestamp, value double"
+SCHEMA = "plant string, device string, signal_key string, ts timestamp, value double, ingest_seq long"
+KEYS = ["plant", "device", "signal_key"]
 
 
-def drain(spark, tmp_path, writer):
-    out, state = str(tmp_path / "out"), str(tmp_path / "state")
-    query = writer.option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
+def start(stream_rows, out, state):
+    query = stream_rows.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", state)
+    query = query.trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(out)
+    return query
 
 
 @pytest.fixture
-def source(spark, frame, tmp_path):
-    """Three files that become three micro-batches, the last with late and repeated readings."""
-    def row(device, minute, value):
-        return (device, "energy_ac_total", f"2020-05-01 {minute // 60:02d}:{minute % 60:02d}:00", value)
-
-    batches = [
-        [row("a", 0, 10.0), row("a", 30, 12.0), row("a", 15, 11.0), row("b", 0, 5.0)],
-        [row("a", 60, 9.0), row("a", 45, 13.0), row("b", 15, 5.0)],
-        [row("a", 50, 1.0), row("a", 60, 2.0), row("a", 75, 9.5), row("b", 30, 4.0), row("b", 30, 6.0)],
-    ]
+def feed(spark, frame, tmp_path):
+    """Adds a file to a source folder; its rows are a micro-batch of their own."""
     path = str(tmp_path / "in")
-    for rows in batches:
-        frame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(path)
-    return path, [row for rows in batches for row in rows]
-
-
-def test_steps_across_micro_batches(spark, source, tmp_path):
-    path, rows = source
-    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(path)
-    out = drain(spark, tmp_path, stream_quality.stream_monotonic(stream).writeStream.format("parquet").outputMode("append"))
-    got = sorted(((r.device, str(r.ts)[11:16], r.value, r.prev_value, r.step, r.qc_flag) for r in out.collect()), key=str)
-    assert len(got) == len(rows)
-    late, fell = counters.FLAG_NOT_CHRONOLOGICAL, counters.FLAG_MONOTONIC
-    assert got == sorted([
-        ("a", "00:00", 10.0, None, None, None), ("a", "00:15", 11.0, 10.0, 1.0, None), ("a", "00:30", 12.0, 11.0, 1.0, None),
-        ("a", "00:45", 13.0, 12.0, 1.0, None), ("a", "01:00", 9.0, 13.0, -4.0, fell), ("a", "00:50", 1.0, None, None, late),
-        ("a", "01:00", 2.0, None, None, late), ("a", "01:15", 9.5, 9.0, 0.5, None),
-        ("b", "00:00", 5.0, None, None, None), ("b", "00:15", 5.0, 5.0, 0.0, None), ("b", "00:30", 4.0, 5.0, -1.0, fell),
-        ("b", "00:30", 6.0, None, None, late),
-    ], key=str)
-
-
-def test_routing_equals_batch(spark, source, tmp_path):
-    path, rows = source
+
+    def add(rows, schema=SCHEMA, name=""):
+        frame(rows, schema).coalesce(1).write.mode("append").parquet(path + name)
+        return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path + name)
+
+    return add
+
+
+def row(plant, device, minute, value, seq):
+    return (plant, device, "energy_ac_total", f"2020-05-01 {minute // 60:02d}:{minute % 60:02d}:00", value, seq)
+
+
+BATCHES = [
+    [row("p", "a", 0, 10.0, 1), row("p", "a", 30, 12.0, 2), row("p", "a", 15, 11.0, 3), row("p", "b", 0, 5.0, 4), row("q", "a", 10, 99.0, 5)],
+    [row("p", "a", 60, 9.0, 6), row("p", "a", 45, 13.0, 7), row("p", "b", 15, 5.0, 8), row("p", "b", 20, None, 9), ("p", "a", "energy_ac_total", None, 1.0, 10)],
+    [row("p", "a", 50, 1.0, 11), row("p", "a", 60, 2.0, 12), row("p", "a", 75, 9.5, 13), row("p", "b", 30, 4.0, 14), row("p", "b", 30, 6.0, 15),
+     row("q", "a", 20, 98.0, 16), (None, None, None, "2020-05-01 01:00:00", 1.0, 17)],
+]
+LAST = [("end", "end", "end", "2020-05-20 00:00:00", 0.0, 99)]
+
+
+def by_reading(df, arrival):
+    return {r[arrival]: (r.ts, r.value, r.fell, r.late) for r in df.collect()}
+
+
+def test_order_checks_over_three_triggers_equal_the_batch_rules(spark, feed, frame, tmp_path):
+    for rows in BATCHES:
+        stream = feed(rows)
+    stream = feed(LAST)
+    flagged = order.stream_order_checks(stream, lateness="2 hours")
+    assert flagged.columns[:3] == KEYS
+    start(flagged, str(tmp_path / "out"), str(tmp_path / "state"))
+    got = spark.read.parquet(str(tmp_path / "out"))
+    mono, chron = counters.FLAG_MONOTONIC, counters.FLAG_NOT_CHRONOLOGICAL
+    got = got.withColumns({"fell": F.array_contains("qc_flags", mono), "late": F.array_contains("qc_flags", chron)})
+
+    batch = frame([r for rows in BATCHES for r in rows], SCHEMA)
+    fell = counters.qc_monotonic_total(batch, "value", KEYS, tie_breakers=("ingest_seq",)).withColumnRenamed("qc_flag", "_fell")
+    want = counters.qc_chronology(fell, KEYS, arrival="ingest_seq").withColumns({"fell": F.col("_fell").isNotNull(), "late": F.col("qc_flag").isNotNull()})
+    # Readings without a key are a series of their own on the stream and of none in the batch rules; here it has one reading.
+    assert by_reading(got, "arrival") == by_reading(want, "ingest_seq")
+    assert got.where("late").count() == 3 and got.where("fell").count() == 3
+
+
+def test_a_restart_goes_on_from_the_state(spark, feed, tmp_path):
+    """Each file drained by a query of its own; a late reading still finds its place."""
+    for rows in (BATCHES[0], BATCHES[1], LAST):
+        start(order.stream_order_checks(feed(rows), lateness="2 hours"), str(tmp_path / "out"), str(tmp_path / "state"))
+    got = {r.arrival: r.step for r in spark.read.parquet(str(tmp_path / "out")).where("plant = 'p' and device = 'a'").collect()}
+    assert got == {1: None, 3: 1.0, 2: 1.0, 7: 1.0, 6: -4.0, 10: None}
+
+
+def test_any_keys_keep_their_names_and_types(spark, feed, tmp_path):
+    schema = "site long, ts timestamp, value double, ingest_seq long"
+    stream = feed([(7, "2020-05-01 00:00:00", 3.0, 1), (7, "2020-05-01 00:10:00", 2.0, 2), (8, "2020-05-09 00:00:00", 2.0, 3)], schema)
+    start(order.ordered_steps(stream, ["site"]), str(tmp_path / "out"), str(tmp_path / "state"))
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert dict(got.dtypes)["site"] == "bigint"
+    assert sorted((r.site, r.step) for r in got.collect() if r.prev_ts) == [(7, -1.0)]
+
+
+def test_silent_series_are_forgotten(spark, feed, tmp_path):
+    def rows_in_state(query):
+        return query.lastProgress["stateOperators"][0]["numRowsTotal"]
+
+    def run(rows):
+        steps = order.ordered_steps(feed(rows), KEYS, lateness="10 minutes", expiry_s=3600)
+        return start(steps, str(tmp_path / "out"), str(tmp_path / "state"))
+
+    run([row("p", d, 0, 1.0, 1) for d in "abcdef"])
+    held = rows_in_state(run([row("p", "z", 30, 1.0, 2)]))
+    after = rows_in_state(run([row("p", "z", 300, 2.0, 3)]))
+    assert after < held
+    run([row("p", "a", 310, 0.5, 4), row("p", "z", 320, 1.5, 5), ("end", "end", "end", "2020-05-03 00:00:00", 0.0, 6)])
+    got = {r.arrival: r.prev_value for r in spark.read.parquet(str(tmp_path / "out")).where("arrival >= 3 and plant = 'p'").collect()}
+    # a was forgotten; z still had a reading that waited when its next one came.
+    assert got == {3: 1.0, 4: None, 5: 2.0}
+
+
+def test_daily_drop_on_two_streams_equals_batch(spark, feed, frame, tmp_path):
+    readings = "plant string, device string, ts timestamp, value double, ingest_seq long"
+    weather = "plant string, ts timestamp, irradiance double"
+    days = [("p", "d", "2020-05-01 10:00:00", 9.0, 1), ("p", "d", "2020-05-01 10:17:00", 5.0, 2), ("p", "d", "2020-05-01 11:00:00", 4.0, 3),
+            ("p", "d", "2020-05-01 12:00:00", 3.0, 4), ("p", "d", "2020-05-02 00:15:00", 0.0, 5), ("p", "e", "2020-05-01 10:20:00", 1.0, 6),
+            ("q", "d", "2020-05-01 10:20:00", 8.0, 7), ("q", "d", "2020-05-01 10:25:00", 7.0, 8)]
+    sun = [("p", "2020-05-01 10:20:00", 10.0), ("p", "2020-05-01 10:16:00", 0.0), ("p", "2020-05-01 11:05:00", 0.0), ("p", "2020-05-02 00:15:00", 5.0),
+           ("p", "2020-05-01 12:01:00", None), ("z", "2020-05-01 10:20:00", 5.0)]
+    for part in (days[:3], days[3:], [("end", "end", "2020-06-01 00:00:00", 0.0, 99)]):
+        left = feed(part, readings, "r")
+    for part in (sun[:2], sun[2:], [("end", "2020-06-01 00:00:00", 0.0)]):
+        right = feed(part, weather, "w")
+    start(order.stream_daily_drop(left, right, lateness="2 days"), str(tmp_path / "out"), str(tmp_path / "state"))
+    got = {r.arrival: (r.daily_drop, r.qc_flag) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    batch = counters.qc_daily_drop(frame(days, readings).withColumn("local_date", F.to_date("ts")), frame(sun, weather), "value")
+    assert got == {r.ingest_seq: (r.daily_drop, r.qc_flag) for r in batch.collect()}
+    assert got[2] == (True, counters.FLAG_DAILY_DROP) and got[4] == got[8] == (None, None) and got[5] == (False, None)
+
+
+def test_routing_equals_batch_and_counts_each_micro_batch(spark, feed, frame, tmp_path):
+    for rows in BATCHES:
+        stream = feed(rows)
     bounds = spark.createDataFrame(
-        [("a", "energy_ac_total", 2.0, 12.0, True)],
-        "device string, signal_key string, bound_min double, bound_max double, bounds_valid boolean",
+        [("p", "a", "energy_ac_total", 2.0, 12.0, True), ("q", "a", "energy_ac_total", 0.0, 1000.0, True)],
+        "plant string, device string, signal_key string, bound_min double, bound_max double, bounds_valid boolean",
     )
-    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(path)
-    routed = stream_quality.stream_qc(stream, bounds)
-    out = drain(spark, tmp_path, stream_quality.routed_writer(routed, str(tmp_path / "out"), str(tmp_path / "state")))
-    batch = quality.qc_range(spark.read.schema(SCHEMA).parquet(path), bounds)
-    key = lambda df: sorted((r.device, str(r.ts), r.value, tuple(r.qc_flags)) for r in df.collect())
-    assert key(out) == key(batch)
-    assert out.where("route = 'valid'").where(F.size("qc_flags") > 0).count() == 0
-    assert out.count() == len(rows)
+    out = str(tmp_path / "out")
+    query = stream_quality.routed_writer(stream_quality.stream_qc(stream, bounds), out, str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = spark.read.parquet(out)
+    batch = quality.qc_range(frame([r for rows in BATCHES for r in rows], SCHEMA), bounds)
+    key = lambda df: sorted((r.ingest_seq, tuple(r.qc_flags)) for r in df.collect())
+    assert key(got) == key(batch)
+    counts = stream_quality.micro_batch_counts(query)
+    assert [c["n_read"] for c in counts] == [len(rows) for rows in BATCHES]
+    assert all(c["n_valid"] + c["n_dead_letter"] == c["n_read"] for c in counts)
+    assert sum(c["n_dead_letter"] for c in counts) == got.where("route = 'dead_letter'").count() > 0
 
 
-def test_daily_energy_equals_batch_for_closed_days(spark, frame, tmp_path):
+DAYS = "plant string, device string, ts timestamp, ac double"
+
+
+def test_daily_energy_holds_open_days_and_counts_late_rows(spark, feed, frame, tmp_path):
     rows = [("p", d, f"2020-05-{day:02d} {h:02d}:00:00", float(h)) for d in "xy" for day in (1, 2, 3) for h in (9, 12, 23)]
-    path = str(tmp_path / "in")
-    frame(rows, "plant string, device string, ts timestamp, ac double").write.parquet(path)
-    schema = "plant string, device string, ts timestamp, ac double"
-    stream = spark.readStream.schema(schema).parquet(path)
-    days = stream_energy.stream_daily_energy(stream, decimals=2)
-    out = drain(spark, tmp_path, days.writeStream.format("parquet").outputMode("append"))
-    batch = energy.integrated_energy(spark.read.schema(schema).parquet(path), decimals=2)
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    keys = ["plant", "device", "log_date"]
+
+    def drain(part):
+        days = stream_energy.stream_daily_energy(feed(part, DAYS), decimals=2, lateness="5 days")
+        query = merge.batch_writer(days, out, state).trigger(availableNow=True).start()
+        query.awaitTermination()
+        return query
+
     key = lambda df: sorted((r.device, str(r.log_date), r.integrated_kwh) for r in df.collect())
-    assert key(out) == key(batch.where("log_date < DATE'2020-05-03'"))
+    for part in (rows[::3], rows[1::3]):
+        drain(part)
+    half = energy.integrated_energy(frame(rows[::3] + rows[1::3], DAYS), decimals=2)
+    assert key(merge.latest(spark, out, keys)) == key(half)
+    last = merge.compact(spark, out, keys)
+    drain(rows[2::3])
+    whole = key(energy.integrated_energy(frame(rows, DAYS), decimals=2))
+    assert key(merge.latest(spark, out, keys)) == whole
+    # A batch that is run again writes its folder again.
+    newest = spark.read.parquet(f"{out}/batches").where(F.col("batch") > last).agg(F.max("batch")).first()[0]
+    again = spark.createDataFrame(spark.read.parquet(f"{out}/batches/batch={newest}").collect(), spark.read.parquet(f"{out}/batches/batch={newest}").schema)
+    again.write.mode("overwrite").parquet(f"{out}/batches/batch={newest}")
+    assert key(merge.latest(spark, out, keys)) == whole
+    late = drain([("p", "x", "2020-04-01 09:00:00", 5.0), ("p", "x", "2020-05-09 09:00:00", 5.0)])
+    assert order.dropped_by_watermark(late) >= 1
+    assert len(merge.latest(spark, out, keys).where("log_date < '2020-05-01'").collect()) == 0
+
+
+def test_daily_energy_cuts_local_days(spark, feed, tmp_path):
+    out, keys = str(tmp_path / "out"), ["plant", "device", "log_date"]
+    rows = [("p", "d", "2020-05-01 18:15:00", 4.0), ("p", "d", "2020-05-01 18:45:00", 8.0)]
+    days = stream_energy.stream_daily_energy(feed(rows, DAYS), zone="Asia/Kolkata")
+    merge.batch_writer(days, out, str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    assert {str(r.log_date): r.integrated_kwh for r in merge.latest(spark, out, keys).collect()} == {"2020-05-01": 1.0, "2020-05-02": 2.0}
