@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import shutil
 import tempfile
 from collections.abc import Callable, Iterator
@@ -16,6 +17,8 @@ from helioquant.session import checkpoint_dir
 
 #: Bytes hashed at a time inside a task; eight-byte arrays of this length are the largest it makes.
 SEGMENT_BYTES = 1 << 20
+#: Words of more bytes are hashed by a cryptographic function.
+LONG_WORD = 128
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -187,7 +190,12 @@ def word_hashes(text: bytes) -> np.ndarray:
     for piece in _stretches(text):
         data = np.frombuffer(piece.translate(_LOWER), np.uint8)
         edges = np.flatnonzero(np.diff(np.concatenate([[False], ~_SPACES[data], [False]]).view(np.int8)))
-        parts.append(span_hashes(prefix_sums(data), edges[::2], edges[1::2]))
+        starts, ends = edges[::2], edges[1::2]
+        hashes = span_hashes(prefix_sums(data), starts, ends)
+        # Polynomials modulo a power of two can be defeated by words of a thousand letters.
+        for i in np.flatnonzero(ends - starts > LONG_WORD):
+            hashes[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+        parts.append(hashes)
     return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
 

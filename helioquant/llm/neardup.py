@@ -11,11 +11,13 @@ sketches leave a similarity within a slack of the threshold are confirmed on the
 Pairs inside a band's bucket are never all formed. Equal sets are one class with its smallest id.
 A first round compares each class of a bucket with the bucket's smallest class only. After linking
 these, a second round compares the members of a bucket with the one that has the fewest shingles of
-its own, and a third looks at buckets that still hold more than one component and compares the
-members outside the bucket's commonest component with the members of other components: those are
-all the pairs that could still join components, so that nothing is lost and no cap is needed. Pairs
-whose sets cannot reach the threshold are left out first: no shingle that only one document of these
-buckets has can be in an intersection, which bounds a pair's similarity from the sizes of the rest.
+its own. The members of buckets that still hold more than one component then meet over a prefix
+index (``prefix_pairs``): each orders its shingles from rare to common among them, and of two
+sets that reach the threshold the smaller has a common one among so few of its first shingles that
+sets just below the threshold, whose first shingles are their own, are not entered at all. Entries are
+keyed by the sizes that their position leaves possible as well, and meet only entries of other
+components than the key's commonest. Those are all the pairs that could still join components, so
+that nothing is lost and no cap is needed.
 
 Defined cases: texts without a word have an empty set and stay alone; rows that share a doc_id are
 one node with all their links, and each row is returned; a row without an id is returned with a null
@@ -29,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helioquant.llm.common import bytes_of, cut_lineage, drop_kept, map_arrow, mix64, read_table, shingle_set
@@ -193,6 +195,65 @@ def own_shingles(sets: DataFrame, ids: DataFrame) -> DataFrame:
     return by_one.groupBy("id").agg(F.count("*").alias("alone"))
 
 
+def _size_class(n):
+    """Classes of sizes that grow by a fiftieth."""
+    return F.floor(F.log(n) / math.log(1.02)).cast("int")
+
+
+def prefix_pairs(members: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """(a, b), a > b: pairs of different components (members: id, component) that could reach the threshold.
+
+    Sets a and b of sizes m <= n reach it only with k = ceil(t (m + n) / (1 + t)) common shingles. In any one
+    order of all shingles the first common one stands at m - k + 1 in a and n - k + 1 in b at the
+    latest, so at m - ceil(2 t m / (1 + t)) + 1 in a, as n >= m. The order is from rare to common, and
+    shingles of one member alone come first without an entry.
+    """
+    kept, whole = threshold
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, which, value in zip(*batch.columns):
+                tokens = np.frombuffer(value.as_buffer(), "<i8")
+                fixed = [np.full(len(tokens), x) for x in (i.as_py(), which.as_py(), len(tokens))]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*fixed, tokens)], ["id", "which", "n", "shingle"])
+
+    own = sets.join(members.select("id"), "id", "left_semi").select("id", F.xxhash64("members").alias("which"), "members")
+    tokens = map_arrow(own, run, "id long, which long, n long, shingle long")
+    common = tokens.groupBy("shingle").agg(F.count(F.lit(1)).alias("sets"), F.min("id").alias("x"), F.max("id").alias("y"))
+    common = common.where("x < y").select("shingle", "sets")
+    from_rare = Window.partitionBy("id", "which").orderBy("sets", "shingle")
+    size = F.count(F.lit(1)).over(Window.partitionBy("id", "which"))
+    # Shingles that no other member has stand before all others.
+    at = F.col("n") - size + F.row_number().over(from_rare)
+    last = F.expr(f"n - (n * {kept} + {whole - 1}) div {whole} + 1")
+    entries = tokens.join(common, "shingle").withColumn("at", at).where(F.col("at") <= last).join(members, "id")
+    entries = cut_lineage(entries.select("shingle", "id", "n", "at", "component"))
+
+    small = entries.where(F.expr(f"at <= n - (2 * n * {kept} + {whole + kept - 1}) div {whole + kept} + 1"))
+    small = small.withColumn("class", _size_class(F.col("n")))
+    least = F.expr(f"(n * {kept} + {whole - 1}) div {whole}")
+    most = F.least("n", F.expr(f"({whole + kept} * (n - at + 1)) div {kept} - n"))
+    large = entries.where(most >= least).withColumn("class", F.explode(F.sequence(_size_class(least), _size_class(most))))
+    keyed = small.select("shingle", "class", "component").union(large.select("shingle", "class", "component"))
+    sizes = keyed.groupBy("shingle", "class", "component").count()
+    commonest = sizes.groupBy("shingle", "class").agg(
+        F.max_by("component", F.struct("count", "component")).alias("commonest"), F.count(F.lit(1)).alias("components")
+    )
+    commonest = commonest.where("components > 1").drop("components")
+
+    def side(frame: DataFrame, to: str, outside: bool) -> DataFrame:
+        rows = frame.join(commonest, ["shingle", "class"])
+        rows = rows.where("component != commonest") if outside else rows
+        return rows.select("shingle", "class", *[F.col(c).alias(f"{c}{to}") for c in ("id", "n", "at", "component")], (F.col("component") == F.col("commonest")).alias(f"most{to}"))
+
+    reach = F.expr("1 + least(n1 - at1, n2 - at2)") * (whole + kept) >= (F.col("n1") + F.col("n2")) * kept
+    good = (F.col("n1") <= F.col("n2")) & (F.col("component1") != F.col("component2")) & reach
+    key = ["shingle", "class"]
+    met = side(small, "1", True).join(side(large, "2", False), key).where(good)
+    met = met.union(side(small, "1", False).where("most1").join(side(large, "2", True), key).where(good))
+    return met.select(F.greatest("id1", "id2").alias("a"), F.least("id1", "id2").alias("b")).distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """id and component, the smallest id that can be reached, of every id in links (a, b).
 
@@ -278,23 +339,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     found = components(cut_lineage(confirmed(star.join(first, ["a", "b"], "left_anti"), sketches, sets, threshold).union(so_far)))
     placed = placed.drop("component").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     placed = cut_lineage(unsettled(placed))
-    sizes = placed.groupBy("bucket", "component").count()
-    commonest = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("count", "component")).alias("commonest"))
-    outside = placed.join(commonest, "bucket").where("component != commonest")
-    both = F.least("sa", "sb", "na", "nb")
-    second = (
-        outside.select("bucket", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("least").alias("na"), F.col("shared").alias("sa"), F.col("several").alias("ma"))
-        .join(
-            placed.select(
-                "bucket", F.col("id").alias("b"), F.col("component").alias("cb"), "leader", F.col("least").alias("nb"), F.col("shared").alias("sb"), F.col("several").alias("mb")
-            ),
-            "bucket",
-        )
-        .where((F.col("ca") != F.col("cb")) & (F.col("a") != F.col("leader")) & (F.col("b") != F.col("leader")))
-        .where(F.col("ma") | F.col("mb") | (both * whole >= (F.col("na") + F.col("nb") - both) * kept))
-        .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        .distinct()
-    )
+    second = prefix_pairs(placed.select("id", "component").distinct(), sets, threshold)
     more = confirmed(second.join(first, ["a", "b"], "left_anti"), sketches, sets, threshold)
     joined = cut_lineage(
         more.union(found.select(F.col("id").alias("a"), F.col("component").alias("b")))

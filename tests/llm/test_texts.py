@@ -275,6 +275,68 @@ def test_a_large_group_with_chains_and_strangers(spark, prose):
     assert Counter(map(tuple, got.collect())) == plain_components(rows)
 
 
+@pytest.mark.parametrize("threshold", [neardup.THRESHOLD, neardup.STAGE_THRESHOLD])
+def test_a_large_group_just_below_the_threshold_makes_few_pairs(spark, prose, threshold):
+    # Copies with so many scattered words of their own changed that some reach the base and none another copy.
+    rng = random.Random(9)
+    base = prose(30, 104).split()
+    rows = [(0, " ".join(base))]
+    for i in range(1, 500):
+        copy = list(base)
+        for k in rng.sample(range(0, 100, 5), rng.choice([1, 2, 3, 3, 3, 4])):
+            copy[k + 2] = f"own{i}x{k}"
+        rows.append((i, " ".join(copy + (["more"] if i % 7 == 0 else []))))
+    sets = {i: shingles(t) for i, t in rows}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs, threshold=threshold).collect()}
+    kept, whole = threshold
+    links = [(a, b) for a, b in itertools.combinations(sets, 2) if whole * len(sets[a] & sets[b]) >= kept * len(sets[a] | sets[b])]
+    root = dict(zip(sets, sets))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    assert got == {i: find(i) for i in sets}
+    # Every document a member of a component of its own but those linked with the base.
+    members = spark.createDataFrame([(i, find(i)) for i in sets], "id long, component long")
+    pairs = neardup.prefix_pairs(members, neardup.full_sets(docs, members.select("id")), threshold)
+    assert pairs.count() < 5 * len(rows)
+
+
+def test_prefix_pairs_lose_no_pair(spark, prose):
+    rng = random.Random(10)
+    rows = []
+    for g in range(12):
+        base = prose(800 + g, rng.randint(60, 200)).split()
+        for i in range(12):
+            copy = list(base)
+            for _ in range(rng.randint(0, 3)):
+                copy[rng.randrange(len(copy))] = rng.choice(["changed", "other", f"w{i}"])
+            rows.append((100 * g + i, " ".join(copy[rng.randint(0, 2) : len(copy) - rng.randint(0, 2)])))
+    sets = {i: shingles(t) for i, t in rows}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    members = spark.createDataFrame([(i, i if i % 3 else 7) for i in sets], "id long, component long")
+    component = {i: i if i % 3 else 7 for i in sets}
+    for kept, whole in (neardup.THRESHOLD, (1, 2), (1, 1)):
+        pairs = {(r.a, r.b) for r in neardup.prefix_pairs(members, neardup.full_sets(docs, members.select("id")), (kept, whole)).collect()}
+        near = {(b, a) for a, b in itertools.combinations(sorted(sets), 2) if component[a] != component[b] and whole * len(sets[a] & sets[b]) >= kept * len(sets[a] | sets[b])}
+        assert near <= pairs and len(near) > 10
+
+
+def test_long_words_that_defeat_polynomials_differ(spark):
+    word = "a"
+    for _ in range(11):
+        word += word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, word), (2, word.translate(str.maketrans("ab", "ba")))]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.component_id for r in got.collect()} == {1, 2}
+
+
 def test_odd_sketches_estimate_high_similarities(spark):
     rng = np.random.default_rng(3)
     pairs = []
