@@ -117,6 +117,13 @@ def ship_package(spark: SparkSession) -> None:
     context.helioquant_shipped = True
 
 
+def under_reserved_names(docs: DataFrame, needed: list[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with all columns but the needed ones under names no operator uses, and a function that gives the names back."""
+    names = {c: c if c in needed else f"__own{i}" for i, c in enumerate(docs.columns)}
+    renamed = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    return renamed, lambda rows: rows.select(*[F.col(n).alias(c) for c, n in names.items()])
+
+
 def bytes_of(text: Column | str) -> Column:
     """UTF-8 bytes; null counts as empty."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")).cast("binary")

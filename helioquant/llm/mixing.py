@@ -26,7 +26,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from helioquant.llm.common import cut_lineage, read_table
+from helioquant.llm.common import cut_lineage, read_table, under_reserved_names
 
 #: Target entropy as a share of the largest, passes of a source at most, tokens as a share of all.
 ENTROPY, REPEATS, BUDGET = 0.98, 4.0, 1.0
@@ -126,4 +126,5 @@ def op5_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: each document as often as the mixture takes it, repeats as rows of their own."""
-    return mix(docs, docs.columns).select(docs.columns)
+    own, given = under_reserved_names(docs, ["doc_id", "text", "source"])
+    return given(mix(own, own.columns))

@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,7 +34,8 @@ SEQUENCE_TOKENS = 2048
 BLOCK = 8192
 #: Entries a worker remembers of chunk to ids; the memory is emptied when it is full.
 CACHE_CHUNKS = 500_000
-_TEXT_CHARS = 1 << 20
+#: Texts numbered together.
+_TEXT_BYTES = 4 << 20
 
 
 class ChunkTokenizer:
@@ -69,22 +71,44 @@ class ChunkTokenizer:
         for c, stem in stems.items():
             known[c] = known[stem] if len(stem) == len(c) else known[stem] + known[c[-1]]
 
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        for text in texts:
-            parts = []
-            at = 0
-            while at < len(text):
-                cut = text.find(" ", at + _TEXT_CHARS)
-                piece, at = (text[at:], len(text)) if cut < 0 else (text[at:cut], cut)
-                for space in "\n\t\r\x0b\x0c":
-                    piece = piece.replace(space, " ")
-                chunks = piece.split(" ")
-                try:
-                    parts.append(b"".join(map(self.known.__getitem__, chunks)))
-                except KeyError:
-                    self._learn(set(chunks))
-                    parts.append(b"".join(map(self.known.__getitem__, chunks)))
-            yield b"".join(parts)
+    def encode(self, texts: pa.Array, separator: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each with a separator at its end, and where each begins (and the last ends).
+
+        Equal chunks of the texts are numbered by Arrow, and a chunk's ids are looked up once.
+        """
+        spaces = pc.replace_substring_regex(texts, "[\n\t\r\x0b\x0c]", " ")
+        chunks = pc.split_pattern(spaces, " ")
+        coded = chunks.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        try:
+            parts = [self.known[c] for c in distinct]
+        except KeyError:
+            self._learn(set(distinct))
+            parts = [self.known[c] for c in distinct]
+        pool = np.frombuffer(b"".join(parts), "<u4")
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        first = np.cumsum(sizes) - sizes
+        codes = coded.indices.to_numpy()
+        lengths = sizes[codes]
+        ends = np.cumsum(lengths)
+        total = int(ends[-1]) if len(ends) else 0
+        at = np.arange(total) + np.repeat(first[codes] - (ends - lengths), lengths)
+        bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(chunks).to_numpy())])
+        begins = np.concatenate([[0], ends])[bounds] + np.arange(len(texts) + 1)
+        ids = np.full(total + len(texts), separator, "<u4")
+        ids[np.arange(total) + np.repeat(np.arange(len(texts)), np.diff(begins) - 1)] = pool[at]
+        return ids, begins
+
+
+def _even_groups(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """Runs of texts of about _TEXT_BYTES together, with the row of the first; a longer text is a run of its own."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(texts):
+        before = ends[at - 1] if at else 0
+        until = max(int(np.searchsorted(ends, before + _TEXT_BYTES, "right")), at + 1)
+        yield at, texts[at:until]
+        at = until
 
 
 def token_pieces(
@@ -98,21 +122,22 @@ def token_pieces(
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = kept_between_tasks(("tokenizer", tokenizer), lambda: ChunkTokenizer(tokenizer))
-        end = np.array([separator], "<u4").tobytes()
         for batch in batches:
             owner, piece, start, length, crc, ids = [], [], [], [], [], []
-            texts = (t.as_py() or "" for t in batch.column(1))
-            for row, data in enumerate(encoder.encode(texts)):
-                data += end
-                for n, at in enumerate(range(0, len(data), 4 * limit)):
-                    part = data[at : at + 4 * limit]
-                    owner.append(row)
-                    piece.append(n)
-                    start.append(at // 4)
-                    length.append(len(part) // 4)
-                    crc.append(zlib.crc32(part))
-                    if with_ids:
-                        ids.append(part)
+            for first, texts in _even_groups(pc.fill_null(batch.column(1), "")):
+                every, begins = encoder.encode(texts, separator)
+                data = memoryview(every).cast("B")
+                for row in range(len(texts)):
+                    begin, end = int(begins[row]), int(begins[row + 1])
+                    for n, at in enumerate(range(begin, end, limit)):
+                        part = data[4 * at : 4 * min(at + limit, end)]
+                        owner.append(first + row)
+                        piece.append(n)
+                        start.append(at - begin)
+                        length.append(len(part) // 4)
+                        crc.append(zlib.crc32(part))
+                        if with_ids:
+                            ids.append(bytes(part))
             keys = batch.column(0).take(pa.array(owner, pa.int64()))
             out = [keys, pa.array(piece, pa.int32())] + [pa.array(x, pa.int64()) for x in (start, length, crc)]
             yield pa.RecordBatch.from_arrays(out + ([pa.array(ids, pa.binary())] if with_ids else []), names)

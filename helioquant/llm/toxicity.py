@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helioquant.llm.common import bytes_of, drop_kept, held_out, map_arrow, read_table
+from helioquant.llm.common import bytes_of, drop_kept, held_out, map_arrow, read_table, under_reserved_names
 
 TRAIN_DOCUMENTS = 3000
 #: Bytes of a document that may be learned from, at most; longer ones are not, but are scored.
@@ -269,5 +269,5 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that score SCORE_CUT or more go."""
     labels = read_table(spark, sf_dir, "labels").where(~held_out("doc_id"))
-    rows = score_toxicity(docs, learn_toxicity(docs, labels), docs.columns)
-    return rows.where("predicted = 0").select(docs.columns)
+    own, given = under_reserved_names(docs, ["doc_id", "text"])
+    return given(score_toxicity(own, learn_toxicity(own, labels), own.columns).where("predicted = 0"))

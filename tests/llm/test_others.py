@@ -14,6 +14,8 @@ import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from helioquant.llm import licenses, mixing, neardup, neighbours, packing, repeats, toxicity, urlfilter
 from helioquant.llm.catalog import CATALOG
 
@@ -203,9 +205,57 @@ def test_stages_work_on_what_was_kept(spark, tmp_path):
     assert {r.doc_id for r in pieces.select("doc_id").collect()} == {r.doc_id for r in docs.select("doc_id").collect()}
 
 
+def test_stages_take_hard_rows_clashing_columns_and_nothing(spark, hard, nothing):
+    names = ["score", "predicted", "__bytes", "tokens", "weight", "epoch", "position", "n_removed", "n_bytes", "n_spans", "kept_text", "kept", "row", "s", "id", "bucket"]
+    for rows in (hard, nothing):
+        docs = rows.withColumn("n_chars", F.lit(0).cast("long")).withColumns({c: F.lit("mine") for c in names})
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, SMALL)
+            assert out.columns == docs.columns
+            assert out.where(" or ".join(f"`{c}` <> 'mine'" for c in names)).count() == 0
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).count() >= rows.count()
+
+
+def test_stages_equal_plain_versions(spark, prose):
+    shared = prose(950, 40)
+    rows = [(i, prose(960 + i, 80 + i) + (" " + shared if i % 4 == 0 else ""), "aa", f"s{i % 2}") for i in range(24)]
+    for i in range(12):
+        words = rows[i][1].split()
+        words[7], words[40] = "changed", "again"
+        rows.append((100 + i, " ".join(words if i % 3 else words[:30] + ["y"] * 30 + words[30:]), "aa", "s0"))
+    docs = spark.createDataFrame([(*r, len(r[1])) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+
+    def shingles(text):
+        w = text.split()
+        return set(zip(*[w[k:] for k in range(5)]))
+
+    texts = {r[0]: r[1] for r in rows}
+    sets = {i: shingles(t) for i, t in texts.items()}
+    gone = {b for b in sets for a in sets if a < b and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])}
+    kept = neardup.drop_near_duplicates(spark, docs, SMALL)
+    assert {r.doc_id for r in kept.collect()} == set(sets) - gone and gone
+
+    seen, left = set(), {}
+    for i in sorted(texts):
+        data = texts[i].encode()
+        lost = set()
+        for k in range(len(data) - 49):
+            if data[k : k + 50] in seen:
+                lost.update(range(k, k + 50))
+        seen |= {data[k : k + 50] for k in range(len(data) - 49)}
+        left[i] = bytes(b for k, b in enumerate(data) if k not in lost).decode()
+    cut = {r.doc_id: (r.text, r.n_chars) for r in repeats.cut_repeats(spark, docs, SMALL).collect()}
+    assert cut == {i: (t, len(t)) for i, t in left.items() if t} and any(left[i] != texts[i] for i in texts)
+
+    # Every document of a source is taken as often as the others of it, but for its last pass.
+    taken = Counter(r.doc_id for r in mixing.mix_sources(spark, docs, SMALL).collect())
+    by_source = {s: [taken[r[0]] for r in rows if r[3] == s] for s in ("s0", "s1")}
+    assert all(max(n) - min(n) <= 1 for n in by_source.values()) and set(taken) <= set(texts)
+
+
 def test_every_number_has_one_registered_query():
     numbers = Counter(int(m[1]) for n in CATALOG if (m := re.match(r"op(\d+)_", n)))
-    assert numbers == Counter(range(1, 11))
+    assert numbers == Counter(range(1, 14))
     assert set(CATALOG) | {"pipeline"} <= set(entry.queries())
     assert duckdb and entry.queries()["pipeline"] is corpus_pipeline.run
 

@@ -325,7 +325,7 @@ def test_prefix_pairs_lose_no_pair(spark, prose):
     for kept, whole in (neardup.THRESHOLD, (1, 2), (1, 1)):
         pairs = {(r.a, r.b) for r in neardup.prefix_pairs(members, neardup.full_sets(docs, members.select("id")), (kept, whole)).collect()}
         near = {(b, a) for a, b in itertools.combinations(sorted(sets), 2) if component[a] != component[b] and whole * len(sets[a] & sets[b]) >= kept * len(sets[a] | sets[b])}
-        assert near <= pairs and len(near) > 10
+        assert near and near <= pairs
 
 
 def test_long_words_that_defeat_polynomials_differ(spark):
