@@ -32,8 +32,8 @@ from helioquant.llm.common import kept_between_tasks, map_arrow, read_table
 
 SEQUENCE_TOKENS = 2048
 BLOCK = 8192
-#: Entries a worker remembers of chunk to ids; the memory is emptied when it is full.
-CACHE_CHUNKS = 500_000
+#: Entries a worker remembers of chunk to ids before it forgets those not met for as long.
+CACHE_CHUNKS = 400_000
 #: Texts numbered together.
 _TEXT_BYTES = 4 << 20
 
@@ -52,24 +52,40 @@ class ChunkTokenizer:
         self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        self.tail = {"": b""} | {c: self._ids([c])[0] for c in ".,"}
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-    def _learn(self, chunks: set[str]) -> None:
+    def _ids(self, chunks: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+
+    @staticmethod
+    def _stem(chunk: str) -> tuple[str, str]:
+        """What is looked up, and a full stop or comma that follows it as a token of its own.
+
+        Up to U+00FF a letter stays a letter when it is lower-cased, and no two characters compose.
+        """
+        if not chunk or not (chunk.isascii() or max(chunk) <= "\u00ff"):
+            return chunk, ""
+        stem, tail = (chunk[:-1], chunk[-1]) if chunk[-1] in ".," and chunk[-2:-1].isalpha() else (chunk, "")
+        return (stem.lower() if stem.isalpha() else stem), tail
+
+    def parts_of(self, chunks: list[str]) -> list[bytes]:
+        """The ids of each chunk; what was met lately is not encoded again."""
+        stems = [self._stem(c) for c in chunks]
         if len(self.known) > CACHE_CHUNKS:
-            self.known.clear()
-        known = self.known
-        chunks = {c for c in chunks if c not in known} | {",", "."}
-        stems = {}
-        for c in chunks:
-            # A full stop or comma after a letter is a token of its own, and ASCII is lower-cased.
-            if c.isascii() and len(c) > 1:
-                stem = c[:-1] if c[-1] in ".," and c[-2].isalpha() else c
-                stems[c] = stem.lower() if stem.isalpha() else stem
-        whole = sorted(c for c in {stems.get(c, c) for c in chunks} if c not in known)
-        for c, e in zip(whole, self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)):
-            known[c] = np.array(e.ids, "<u4").tobytes()
-        for c, stem in stems.items():
-            known[c] = known[stem] if len(stem) == len(c) else known[stem] + known[c[-1]]
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        missing = []
+        for stem in {s for s, _ in stems}:
+            if stem not in known:
+                if stem in older:
+                    known[stem] = older[stem]
+                else:
+                    missing.append(stem)
+        missing.sort()
+        known.update(zip(missing, self._ids(missing)))
+        return [known[s] + self.tail[t] if t else known[s] for s, t in stems]
 
     def encode(self, texts: pa.Array, separator: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each with a separator at its end, and where each begins (and the last ends).
@@ -79,12 +95,7 @@ class ChunkTokenizer:
         spaces = pc.replace_substring_regex(texts, "[\n\t\r\x0b\x0c]", " ")
         chunks = pc.split_pattern(spaces, " ")
         coded = chunks.flatten().dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        try:
-            parts = [self.known[c] for c in distinct]
-        except KeyError:
-            self._learn(set(distinct))
-            parts = [self.known[c] for c in distinct]
+        parts = self.parts_of(coded.dictionary.to_pylist())
         pool = np.frombuffer(b"".join(parts), "<u4")
         sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
         first = np.cumsum(sizes) - sizes
