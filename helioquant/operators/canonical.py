@@ -62,7 +62,7 @@ def rollup_channels(
 ) -> DataFrame:
     """Coarser readings by each channel's own method: avg, sum or last.
 
-    All three are computed in one pass of primitive buffers and the method picks one. Without
+    All three are computed in one pass and the method picks one. Without
     ``channels`` the readings carry the method column themselves.
     """
     source = long
@@ -75,7 +75,8 @@ def rollup_channels(
             F.count(value).alias("n_readings"),
             mean(value, decimals).alias("_avg"),
             total(value, decimals).alias("_sum"),
-            F.max_by(value, ts).alias("_last"),
+            # Of several readings at the last time the largest, whatever their order.
+            F.max_by(value, F.struct(ts, value)).alias("_last"),
         )
     )
     picked = (

@@ -52,12 +52,15 @@ def monotonic_verdict(
 
 
 def counter_reset_samples(
-    stepped: DataFrame, n: int = 8, device: str = "device", ts: str = "ts", counter: str = "total"
+    stepped: DataFrame,
+    n: int = 8,
+    keys: Sequence[str] = ("plant", "device"),
+    ts: str = "ts",
+    counter: str = "total",
 ) -> DataFrame:
-    """The first ``n`` falls by device and time (a top-n, not a full sort)."""
-    return (
-        counter_resets(stepped).select(device, ts, counter, "step").orderBy(device, ts).limit(n)
-    )
+    """The first ``n`` falls by device, time and counter (a top-n, not a full sort)."""
+    falls = counter_resets(stepped).select(*keys, ts, counter, "step")
+    return falls.orderBy(*keys, ts, counter, "step").limit(n)
 
 
 def counter_range(df: DataFrame, counter: str = "total", by: Sequence[str] = ()) -> DataFrame:

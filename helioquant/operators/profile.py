@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helioquant.functions.fixed import fixed_rows
+from helioquant.functions.joins import null_safe_join
 from helioquant.functions.numeric import as_col, count_where, mean, ratio, round_half_up, scaled, total
 from helioquant.functions.quantiles import grouped_percentiles
 from helioquant.functions.timestamps import calendar_days, local_date, slot
@@ -82,14 +83,20 @@ def daily_counts(df: DataFrame, keys: Sequence[str], ts: str = "ts") -> DataFram
 
 def daily_interval_distribution(
     df: DataFrame,
-    n_devices: int,
-    n_days: int,
+    n_devices: int | None = None,
+    n_days: int | None = None,
     per_day: int = SLOTS_PER_DAY,
     plant: str = "plant",
     device: str = "device",
     ts: str = "ts",
 ) -> DataFrame:
-    """How many device-days are full, partial, over-full and missing, per plant."""
+    """How many device-days are full, partial, over-full and missing, per plant.
+
+    A plant's device-days are its devices times its days: the stated numbers, or those that reported
+    at all. What is counted for them is one row a device-day.
+    """
+    devices = F.count_distinct(device) if n_devices is None else F.lit(n_devices)
+    days = F.count_distinct("log_date") if n_days is None else F.lit(n_days)
     return (
         daily_counts(df, [plant, device], ts)
         .groupBy(plant)
@@ -101,7 +108,7 @@ def daily_interval_distribution(
             count_where(F.col("cnt") == per_day).alias("full_days"),
             count_where(F.col("cnt") < per_day).alias("partial_days"),
             count_where(F.col("cnt") > per_day).alias("over_full_days"),
-            (F.lit(n_devices * n_days) - F.count(F.lit(1))).alias("missing_device_days"),
+            (devices * days - F.count(F.lit(1))).alias("missing_device_days"),
         )
     )
 
@@ -142,7 +149,7 @@ def missing_days(
     # The difference keeps the calendar's order, so it comes out sorted.
     missing = F.array_except("_calendar", "_reported")
     return (
-        reported.join(plant_days, plant)
+        null_safe_join(reported, plant_days, [plant], "inner")
         .select(plant, device, missing.alias("_missing"))
         .where(F.size("_missing") > 0)
         .orderBy(F.desc(F.size("_missing")), plant, device)

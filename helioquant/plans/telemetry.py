@@ -99,9 +99,7 @@ def lowest_coverage(spark, sf):
 
 
 def daily_intervals(spark, sf):
-    return profile.daily_interval_distribution(
-        generation(spark, sf), n_devices=150, n_days=30, per_day=PER_DAY
-    )
+    return profile.daily_interval_distribution(generation(spark, sf), per_day=PER_DAY)
 
 
 def missing_observed(spark, sf):
@@ -236,7 +234,7 @@ def _matrix_sql() -> str:
 
 
 def _steps(spark, sf):
-    return counters.counter_step(generation(spark, sf), keys=("device",))
+    return counters.counter_step(generation(spark, sf), keys=("plant", "device"))
 
 
 def counter_steps(spark, sf):
@@ -264,7 +262,7 @@ def counter_reset_samples(spark, sf):
 STEPS_SQL = f"""
 WITH {GENERATION_SQL},
 steps AS (
-  SELECT *, total - lag(total) OVER (PARTITION BY device ORDER BY ts) AS step FROM generation)"""
+  SELECT *, total - lag(total) OVER (PARTITION BY plant, device ORDER BY ts) AS step FROM generation)"""
 
 
 def lifetime_counter_flags(spark, sf):
@@ -374,7 +372,7 @@ QUERIES = {
                count(CASE WHEN cnt = {PER_DAY} THEN 1 END) AS full_days,
                count(CASE WHEN cnt < {PER_DAY} THEN 1 END) AS partial_days,
                count(CASE WHEN cnt > {PER_DAY} THEN 1 END) AS over_full_days,
-               150 * 30 - count(*) AS missing_device_days
+               count(DISTINCT device) * count(DISTINCT d) - count(*) AS missing_device_days
         FROM days GROUP BY plant""",
     ),
     "missing_days_observed": (
@@ -515,8 +513,8 @@ QUERIES = {
     ),
     "counter_reset_samples": (
         counter_reset_samples,
-        f"""{STEPS_SQL} SELECT device, {q.ts_text('ts')} AS ts, total, {q.rounded('step', 4)} AS step
-        FROM steps WHERE step < 0 ORDER BY device, steps.ts LIMIT 8""",
+        f"""{STEPS_SQL} SELECT plant, device, {q.ts_text('ts')} AS ts, total, {q.rounded('step', 4)} AS step
+        FROM steps WHERE step < 0 ORDER BY plant, device, steps.ts, total LIMIT 8""",
     ),
     "qc_monotonic_total": (
         lifetime_counter_flags,

@@ -159,3 +159,15 @@ def test_rounding_and_totals(spark):
     out = [r.r for r in df.select("x", round_half_up("x", 2).alias("r")).orderBy("x").collect()]
     assert out == [None, -2.5, 0.28, 1.0]
     assert df.agg(total("x", 3).alias("s")).first().s == -1.21
+
+
+def test_devices_without_a_plant_have_outages_too(frame):
+    rows = [(None, "a", "2020-05-01 10:00:00"), (None, "b", "2020-05-02 10:00:00"), ("p", "c", "2020-05-01 10:00:00")]
+    out = {r.device: r.missing_date_list for r in profile.missing_days(frame(rows, "plant string, device string, ts timestamp")).collect()}
+    assert out == {"a": "2020-05-02", "b": "2020-05-01"}
+
+
+def test_device_days_are_those_of_the_data(frame):
+    rows = [("p", d, f"2020-05-0{k} 10:00:00") for d, k in (("a", 1), ("a", 2), ("b", 2), ("c", 3))] + [("q", "a", "2020-05-01 10:00:00")]
+    table = profile.daily_interval_distribution(frame(rows, "plant string, device string, ts timestamp"), per_day=1)
+    assert {r.plant: r.missing_device_days for r in table.collect()} == {"p": 5, "q": 0}
