@@ -230,9 +230,12 @@ def convert_readings(
     to_unit: str = "target_unit",
     out: str = "converted",
     error: str = "conversion_error",
+    converters: Mapping[tuple[str, str], Conversion] | None = None,
 ) -> DataFrame:
     """Convert a long table whose units are columns; failures get a reason, never an exception.
 
+    ``converters`` adds conversions of pairs of known units, or replaces them, for this call alone.
+
     The lookup tables are local relations of known size, which Spark broadcasts: the readings are
     neither shuffled nor sorted.
     """
@@ -244,6 +247,8 @@ def convert_readings(
     units = unit_table(spark)
     # Custom functions of a pair are applied as expressions; the rest comes from the table.
     custom = {pair: c for pair, c in _PAIRS.items() if not isinstance(c, Affine)}
+    for pair, conversion in (converters or {}).items():
+        custom[normalize_unit(pair[0]), normalize_unit(pair[1])] = conversion
     affine = conversion_table(spark).withColumn("_known", F.lit(True))
 
     def side(prefix: str) -> DataFrame:

@@ -10,11 +10,11 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from helioquant.functions.numeric import count_where, mean, ratio, total
-from helioquant.functions.quantiles import grouped_percentiles
+from helioquant.functions.joins import null_safe_join
+from helioquant.functions.numeric import count_where, mean, ratio
 from helioquant.functions.sequence import CHUNK_ROWS, chunk_of, ordered_text
 
 # Vendor names as they stand in the ``provider`` column.
@@ -472,38 +472,52 @@ def usage_rollup(
 ) -> DataFrame:
     """Calls, tokens and latency per model over the usable responses.
 
-    With ``all_label`` an overall row is added up from the per-model rows; its median latency is
-    null, as medians do not add up.
+    With ``all_label`` a row over all models is added by grouping sets: its mean is the quotient of
+    the sums and its median is exact. Medians count whole milliseconds first and then only the
+    values of those that hold the middle ranks, so that no group's values meet in one task.
+    Responses without a model have a row of their own, with a null model.
     """
-    used = normalized.where(F.col("error").isNull())
-    per_model = grouped_percentiles(
-        used,
-        [by],
-        {"median_latency_ms": ("latency_ms", 0.5)},
-        extra=[
-            F.count(F.lit(1)).alias("calls"),
-            F.sum("input_tokens").alias("input_tokens"),
-            F.sum("output_tokens").alias("output_tokens"),
-            F.sum("total_tokens").alias("total_tokens"),
-            mean("latency_ms", decimals).alias("avg_latency_ms"),
-            F.max("latency_ms").alias("max_latency_ms"),
-        ],
-    )
-    columns = [
-        by, "calls", "input_tokens", "output_tokens", "total_tokens",
+    used = normalized.where(F.col("error").isNull()).withColumn("_ms", F.floor("latency_ms"))
+    sets = [[by]] if all_label is None else [[by], []]
+
+    def grouped(*more: str):
+        return used.groupingSets([[*s, *more] for s in sets], by, *more)
+
+    whole = (F.grouping(by) == 1).alias("_all")
+    totals = grouped().agg(
+        whole,
+        F.count(F.lit(1)).alias("calls"),
+        F.sum("input_tokens").alias("input_tokens"),
+        F.sum("output_tokens").alias("output_tokens"),
+        F.sum("total_tokens").alias("total_tokens"),
+        mean("latency_ms", decimals).alias("avg_latency_ms"),
+        F.max("latency_ms").alias("max_latency_ms"),
+    )
+    label = [by, "_all"]
+    # One row a label and millisecond: bounded by the longest latency, whatever the number of calls.
+    spans = grouped("_ms").agg(whole, F.count("latency_ms").alias("_n")).where(F.col("_n") > 0)
+    ranks = Window.partitionBy(*label).orderBy("_ms").rowsBetween(Window.unboundedPreceding, 0)
+    everything = Window.partitionBy(*label)
+    spans = spans.withColumns({"_end": F.sum("_n").over(ranks), "_size": F.sum("_n").over(everything)})
+    low, high = F.floor((F.col("_size") - 1) / 2), F.floor(F.col("_size") / 2)
+    start = F.col("_end") - F.col("_n")
+    holds = ((start <= low) & (low < F.col("_end"))) | ((start <= high) & (high < F.col("_end")))
+    middle = spans.where(holds).select(*label, "_ms", start.alias("_start"), low.alias("_low"), high.alias("_high"))
+    counted = grouped("_ms", "latency_ms").agg(whole, F.count(F.lit(1)).alias("_n"))
+    inside = null_safe_join(counted, middle, [*label, "_ms"], "inner")
+    order = Window.partitionBy(*label, "_ms").orderBy("latency_ms").rowsBetween(Window.unboundedPreceding, 0)
+    inside = inside.withColumn("_end", F.col("_start") + F.sum("_n").over(order))
+
+    def at(rank: str):
+        hit = (F.col("_end") - F.col("_n") <= F.col(rank)) & (F.col(rank) < F.col("_end"))
+        return F.max(F.when(hit, F.col("latency_ms")))
+
+    medians = inside.groupBy(*label).agg(((at("_low") + at("_high")) / 2).alias("median_latency_ms"))
+    return null_safe_join(totals, medians, label, "left").select(
+        F.when(F.col("_all"), F.lit(all_label)).otherwise(F.col(by)).alias(by),
+        "calls", "input_tokens", "output_tokens", "total_tokens",
         "avg_latency_ms", "median_latency_ms", "max_latency_ms",
-    ]
-    per_model = per_model.select(*columns)
-    if all_label is None:
-        return per_model
-    weighted = total(F.col("avg_latency_ms") * F.col("calls"), decimals)
-    overall = per_model.agg(
-        *[F.sum(c).alias(c) for c in ("calls", "input_tokens", "output_tokens", "total_tokens")],
-        ratio(weighted, F.sum("calls")).alias("avg_latency_ms"),
-        F.lit(None).cast("double").alias("median_latency_ms"),
-        F.max("max_latency_ms").alias("max_latency_ms"),
-    ).withColumn(by, F.lit(all_label))
-    return per_model.unionByName(overall.select(*columns))
+    )
 
 
 CHECKS = (

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from helioquant.functions.fixed import fixed_rows
@@ -114,3 +116,12 @@ def channel_templates(spark: SparkSession, dc_factor: float = 1000.0) -> DataFra
         "interval_s int, aggregation_method string, scale_factor double, target_unit string, "
         "approx_ghi boolean",
     )
+
+
+# Integer plant ids of the feeds and the plant they stand for.
+PLANT_IDS = (("4135001", "surya_a"),)
+
+
+def plant_ids(spark: SparkSession, pairs: Iterable[tuple[str, str]] = PLANT_IDS) -> DataFrame:
+    """The plant-id map as a table: (raw_plant_id, plant)."""
+    return fixed_rows(spark, list(pairs), "raw_plant_id string, plant string")

@@ -12,7 +12,7 @@ from helioquant.functions.fixed import fixed_rows
 from helioquant.functions.joins import null_safe_join
 from helioquant.functions.numeric import as_col, count_where, mean, ratio, round_half_up, scaled, total
 from helioquant.functions.quantiles import grouped_percentiles
-from helioquant.functions.timestamps import calendar_days, local_date, slot
+from helioquant.functions.timestamps import calendar_days, epoch_micros, local_date, slot
 
 SLOTS_PER_DAY = 96
 
@@ -72,6 +72,33 @@ def device_coverage(
     return ordered if top_n is None else ordered.limit(top_n)
 
 
+def clock_grid(
+    df: DataFrame, keys: Sequence[str] = ("plant", "device"), ts: str = "ts", interval_s: int = 900
+) -> DataFrame:
+    """How a feed keeps to its interval: readings on and off the grid, repeated and missing slots.
+
+    The grid is counted from midnight UTC of the epoch, as :func:`slot` does. A slot is missing if no reading
+    lies in it although the device reported before and after. Readings without a time are counted
+    apart. Readings collapse to slots where they lie, so what is shuffled is a row a slot.
+    """
+    over = F.pmod(epoch_micros(ts), F.lit(int(interval_s) * 1_000_000))
+    slots = df.groupBy(*keys, slot(ts, interval_s).alias("_slot")).agg(
+        F.count(F.lit(1)).alias("_n"), count_where(over == 0).alias("_on"), F.max(over).alias("_over")
+    )
+    timed = F.col("_slot").isNotNull()
+    n_slots = F.count("_slot")
+    span = F.max(epoch_micros("_slot")) - F.min(epoch_micros("_slot"))
+    return slots.groupBy(*keys).agg(
+        F.sum("_n").alias("n_readings"),
+        F.coalesce(F.sum(F.when(~timed, F.col("_n"))), F.lit(0)).alias("n_without_time"),
+        F.sum("_on").alias("n_on_grid"),
+        F.coalesce(F.sum(F.when(timed, F.col("_n") - F.col("_on"))), F.lit(0)).alias("n_off_grid"),
+        (F.max("_over") / F.lit(1e6)).alias("max_offset_s"),
+        F.coalesce(F.sum(F.when(timed, F.col("_n") - 1)), F.lit(0)).alias("n_repeated"),
+        F.coalesce(F.floor(span / F.lit(int(interval_s) * 1_000_000)) + 1 - n_slots, F.lit(0)).alias("n_missing_slots"),
+    )
+
+
 def daily_counts(df: DataFrame, keys: Sequence[str], ts: str = "ts") -> DataFrame:
     """Readings per device and calendar day."""
     return (

@@ -123,6 +123,23 @@ def map_devices(
     return own.select(*df.columns, *[c for c in names.columns if c != device])
 
 
+def map_plants(
+    df: DataFrame, plant_ids: DataFrame, raw: str = "plant_id", out: str = "plant"
+) -> DataFrame:
+    """Attach the plant that a feed's own plant id stands for; ids that the map lacks keep null.
+
+    ``plant_ids``: raw_plant_id, plant. Ids are compared as trimmed text, so that a feed may write
+    them as numbers. Of several plants of one id the first by name counts; :func:`repeated_keys`
+    reports them. A column ``out`` that is there already is replaced.
+    """
+    names = plant_ids.groupBy(F.trim(F.col("raw_plant_id").cast("string")).alias("_raw")).agg(
+        F.min("plant").alias("_plant")
+    )
+    kept = df.columns if out in df.columns else [*df.columns, out]
+    joined = df.withColumn("_raw", F.trim(F.col(raw).cast("string"))).join(names, "_raw", "left")
+    return joined.withColumn(out, F.col("_plant")).select(*kept)
+
+
 def upsert(
     target: DataFrame,
     updates: DataFrame,

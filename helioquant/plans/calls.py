@@ -119,14 +119,12 @@ def model_usage(spark, sf):
 
 USAGE_SQL = f"""
 WITH {CALLS_SQL},
-m AS (SELECT model, count(*) AS calls, sum(n_in) AS i, sum(n_out) AS o, {q.mean('latency_ms', 4)} AS av,
-             quantile_cont(latency_ms, 0.5) AS med, max(latency_ms) AS mx FROM calls WHERE usable GROUP BY model)
-SELECT model, CAST(calls AS BIGINT) AS calls, CAST(i AS BIGINT) AS input_tokens, CAST(o AS BIGINT) AS output_tokens,
-       CAST(i + o AS BIGINT) AS total_tokens, {q.rounded('av', 3)} AS avg_latency_ms, {q.rounded('med', 3)} AS median_latency_ms,
-       {q.rounded('mx', 3)} AS max_latency_ms FROM m
-UNION ALL
-SELECT 'all', CAST(sum(calls) AS BIGINT), CAST(sum(i) AS BIGINT), CAST(sum(o) AS BIGINT), CAST(sum(i + o) AS BIGINT),
-       {q.rounded(q.total('av * calls', 4) + ' / sum(calls)', 3)}, -1, {q.rounded('max(mx)', 3)} FROM m"""
+labelled AS (SELECT model, n_in, n_out, latency_ms FROM calls WHERE usable
+             UNION ALL SELECT 'all', n_in, n_out, latency_ms FROM calls WHERE usable)
+SELECT model, count(*) AS calls, CAST(sum(n_in) AS BIGINT) AS input_tokens, CAST(sum(n_out) AS BIGINT) AS output_tokens,
+       CAST(sum(n_in + n_out) AS BIGINT) AS total_tokens, {q.rounded(q.mean('latency_ms', 4), 3)} AS avg_latency_ms,
+       {q.rounded('quantile_cont(latency_ms, 0.5)', 3)} AS median_latency_ms, {q.rounded('max(latency_ms)', 3)} AS max_latency_ms
+FROM labelled GROUP BY model"""
 
 
 def _checks(spark, sf):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-from helioquant.plans import calls, quality, registry, telemetry
+from helioquant.plans import calls, intake, quality, registry, spans, telemetry
 
-CATALOG = {**quality.QUERIES, **telemetry.QUERIES, **registry.QUERIES, **calls.QUERIES}
+CATALOG = {
+    **quality.QUERIES, **telemetry.QUERIES, **registry.QUERIES, **calls.QUERIES, **intake.QUERIES, **spans.QUERIES,
+}

@@ -324,8 +324,8 @@ def streamed_energy(spark, sf):
 # Files: written from the tables into a fresh shared folder and read back. -------------------------
 
 
-def csv_feeds(spark, sf):
-    """Two CSV feeds with different clocks, written out, then read through their specifications."""
+def written_feeds(spark, sf):
+    """Two CSV feeds with different clocks, written out, and their specifications."""
     rows = table(spark, sf, "events")
     base = f"{checkpoint_dir(spark)}/feeds-{uuid.uuid4().hex}"
     day_first, iso = "dd-MM-yyyy HH:mm", "yyyy-MM-dd HH:mm:ss"
@@ -340,10 +340,15 @@ def csv_feeds(spark, sf):
         F.col("event_type").alias("SOURCE_KEY"), value.alias("AMBIENT_TEMPERATURE"),
         value.alias("MODULE_TEMPERATURE"), value.alias("IRRADIATION"),
     ).write.option("header", True).csv(f"{base}/weather")
-    specs = [
+    return [
         feeds.FeedSpec("generation", f"{base}/generation", DAY_FIRST, "generation"),
         feeds.FeedSpec("weather", f"{base}/weather", ISO_SECONDS, "weather"),
     ]
+
+
+def csv_feeds(spark, sf):
+    """The written feeds read through their specifications."""
+    specs = written_feeds(spark, sf)
     return (
         feeds.read_feeds(spark, specs, typed=True)
         .groupBy("feed", "device", "local_date")

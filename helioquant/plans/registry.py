@@ -49,17 +49,16 @@ def _dealt_sql(options: tuple[str, ...], number: str) -> str:
     return f"CASE ({number}) % {len(options)} {cases} END"
 
 
+# The unit each of the dealt texts must come to, written out by hand.
+UNITS_BY_TEXT = {
+    "kW": "kW", " KW ": "kW", "mW": "MW", "W / m^2": "W/m²", "°C": "degC", "degrees c": "degC",
+    "Fahrenheit": "degF", "deg  F": "degF", "K": "K", "watt-hours": "Wh", "MWh": "MWh",
+}
+
+
 def _unit_sql(text: str) -> str:
-    """The stated rules in SQL: exact canonical name, else lower case with shortened degrees."""
-    known = ", ".join(_sql_text(u) for u in units.DIMENSION_OF)
-    pairs = " ".join(f"WHEN {_sql_text(k)} THEN {_sql_text(u)}" for k, u in units.LOOKUP.items())
-    low = f"regexp_replace(lower(trim({text})), '\\s+', ' ', 'g')"
-    for word in units.DEGREE_WORDS:
-        low = f"replace({low}, '{word}', 'deg')"
-    return (
-        f"CASE WHEN trim({text}) IN ({known}) THEN trim({text}) "
-        f"ELSE CASE {low} {pairs} END END"
-    )
+    pairs = " ".join(f"WHEN {_sql_text(t)} THEN {_sql_text(u)}" for t, u in UNITS_BY_TEXT.items())
+    return f"CASE {text} {pairs} END"
 
 
 def readings_in_units(spark, sf):
@@ -78,34 +77,25 @@ def readings_in_units(spark, sf):
     )
 
 
+# What each dealt pair does to a value, or why it fails, written out by hand.
+CONVERSIONS = (
+    ("kW", "W", "value * 1000e0", ""), ("W", "kW", "value / 1000e0", ""), ("MW", "kw", "value * 1000e0", ""),
+    ("kW", "GW", "", "no conversion on file"), ("Wh", "GWh", "", "no conversion on file"), ("MWh", "kWh", "value * 1000e0", ""),
+    ("GWh", "kwh", "value * 1000000e0", ""), ("kW/m2", "W/m²", "value * 1000e0", ""),
+    ("°F", "°C", "(value - 32e0) * (5e0 / 9e0)", ""), ("celsius", "K", "value + 273.15e0", ""),
+    ("K", "fahrenheit", "(value - 273.15e0) * (9e0 / 5e0) + 32e0", ""), ("kW", "degC", "", "dimensions differ"),
+    ("kWh", "W/m²", "", "dimensions differ"), ("horsepower", "W", "", "'horsepower' is not a unit spelling on file"),
+    ("kW", "lightyears", "", "'lightyears' is not a unit spelling on file"), ("  ", "W", "", "no unit given (empty)"),
+    ("w/m2", "W/m^2", "value", ""), ("degF", "kelvin", "(value - 32e0) * (5e0 / 9e0) + 273.15e0", ""),
+)
+
+
 def _conversion_sql() -> str:
-    """Each dealt pair written out with its own factor or failure."""
-    n = len(UNIT_PAIRS)
-    values, reasons = [], []
-    for i, (source, target) in enumerate(UNIT_PAIRS):
-        try:
-            step = units.get_conversion(source, target)
-        except units.UnknownConversionError as exc:
-            if not source.strip() or not target.strip():
-                reason = units.EMPTY_UNIT
-            elif exc.reason.startswith("dimensions"):
-                reason = "dimensions differ"
-            elif exc.reason.startswith("no conversion"):
-                reason = "no conversion on file"
-            else:
-                reason = exc.reason
-            reasons.append(f"WHEN {i} THEN {_sql_text(reason)}")
-            continue
-        if isinstance(step, units.Affine):
-            parts = [f"CAST({x!r} AS DOUBLE)" for x in (step.pre, step.mul, step.div, step.post)]
-            expr = "((value + {}) * {}) / {} + {}".format(*parts)
-        else:
-            expr = "value"
-        values.append(f"WHEN {i} THEN {q.rounded(expr, 6)}")
+    values = " ".join(f"WHEN {i} THEN {q.rounded(expr, 6)}" for i, (_, _, expr, _) in enumerate(CONVERSIONS) if expr)
+    reasons = " ".join(f"WHEN {i} THEN {_sql_text(reason)}" for i, (_, _, _, reason) in enumerate(CONVERSIONS))
     return f"""
-    WITH dealt AS (SELECT event_id, value, (event_id + {q.K}) % {n} AS i FROM events)
-    SELECT event_id, CASE i {" ".join(values)} END AS converted,
-           coalesce(CASE i {" ".join(reasons)} END, '') AS conversion_error FROM dealt"""
+    WITH dealt AS (SELECT event_id, value, (event_id + {q.K}) % {len(CONVERSIONS)} AS i FROM events)
+    SELECT event_id, CASE i {values} END AS converted, CASE i {reasons} END AS conversion_error FROM dealt"""
 
 
 def converted_columns(spark, sf):

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import statistics
 import random
 
 import pytest
@@ -95,6 +96,26 @@ def test_usage(normalized):
     assert (out["all"].calls, out["all"].total_tokens, out["all"].avg_latency_ms) == (9, 372, 12.5)
 
 
+def test_usage_medians_and_means_from_all_values(spark):
+    rows = [("a", 1.25), ("a", 1.75), ("a", 9.0), ("b", 1.5), ("b", 2.0), (None, 1.5), (None, 700.0), ("c", None)]
+    rows += [("d", float(i % 7) + i / 1000) for i in range(1, 101)]
+    df = spark.createDataFrame(rows, "model string, latency_ms double").selectExpr(
+        "model", "latency_ms", "cast(null as string) as error", "1L as input_tokens", "2L as output_tokens", "3L as total_tokens"
+    )
+    out = {r.model: r for r in calllog.usage_rollup(df, all_label="all").collect()}
+    assert set(out) == {"a", "b", "c", "d", None, "all"}
+    for model in out:
+        values = sorted(v for m, v in rows if v is not None and model in (m, "all"))
+        assert out[model].calls == sum(model in (m, "all") for m, _ in rows)
+        if not values:
+            assert out[model].median_latency_ms is None and out[model].avg_latency_ms is None
+            continue
+        assert out[model].median_latency_ms == pytest.approx(statistics.median(values))
+        assert out[model].avg_latency_ms == pytest.approx(statistics.fmean(values))
+    assert {r.model for r in calllog.usage_rollup(df).collect()} == {"a", "b", "c", "d", None}
+    assert calllog.usage_rollup(df.limit(0), all_label="all").collect() == []
+
+
 def stream(call_id, vendor, events, start=0):
     return [(call_id, vendor, start + i, e if isinstance(e, str) else "data: " + json.dumps(e)) for i, e in enumerate(events)]
 

@@ -171,3 +171,15 @@ def test_device_days_are_those_of_the_data(frame):
     rows = [("p", d, f"2020-05-0{k} 10:00:00") for d, k in (("a", 1), ("a", 2), ("b", 2), ("c", 3))] + [("q", "a", "2020-05-01 10:00:00")]
     table = profile.daily_interval_distribution(frame(rows, "plant string, device string, ts timestamp"), per_day=1)
     assert {r.plant: r.missing_device_days for r in table.collect()} == {"p": 5, "q": 0}
+
+
+def test_clock_grid(frame):
+    rows = [("p", "d", t) for t in ("2024-01-01 00:00:00", "2024-01-01 00:15:00", "2024-01-01 00:17:30", "2024-01-01 01:00:00", None, None)]
+    rows += [(None, "e", "2024-01-01 00:01:00"), ("p", None, None)]
+    out = {(r.plant, r.device): tuple(r)[2:] for r in profile.clock_grid(frame(rows, "plant string, device string, ts timestamp")).collect()}
+    assert out == {
+        ("p", "d"): (6, 2, 3, 1, 150.0, 1, 2),
+        (None, "e"): (1, 0, 0, 1, 60.0, 0, 0),
+        ("p", None): (1, 1, 0, 0, None, 0, 0),
+    }
+    assert profile.clock_grid(frame([], "plant string, device string, ts timestamp")).collect() == []

@@ -173,3 +173,15 @@ def test_the_latest_of_several_updates_counts(spark):
     assert sorted(map(tuple, out.select("k", "v").collect())) == [("a", 7), ("b", 2), ("c", 6)]
     added = registry.insert_if_absent(target, updates, ["k"], latest="at")
     assert sorted(map(tuple, added.select("k", "v").collect())) == [("a", 1), ("b", 2), ("c", 6)]
+
+
+def test_plant_ids(spark):
+    ids = dictionary.plant_ids(spark, [("4135001", "surya_a"), (" 7", "north"), ("7", "south")])
+    rows = [(4135001, "x"), (7, "y"), (8, "z"), (None, "w")]
+    out = registry.map_plants(spark.createDataFrame(rows, "plant_id int, device string"), ids)
+    assert out.columns == ["plant_id", "device", "plant"]
+    assert {r.device: r.plant for r in out.collect()} == {"x": "surya_a", "y": "north", "z": None, "w": None}
+    replaced = registry.map_plants(spark.createDataFrame([("4135001 ", "old")], "plant_id string, plant string"), ids)
+    assert [tuple(r) for r in replaced.collect()] == [("4135001 ", "surya_a")]
+    trimmed = ids.withColumn("raw_plant_id", F.trim("raw_plant_id"))
+    assert [r.key for r in registry.repeated_keys(trimmed, ["raw_plant_id"], "plant_id_unique").collect()] == ["7"]

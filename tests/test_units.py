@@ -58,6 +58,50 @@ def test_numbers(value, source, target, expected):
     assert convert(value, source, target) == pytest.approx(expected)
 
 
+# Written out by hand: what 6 of the first unit are in the second.
+FACTORS = [
+    ("W", "kW", 0.006), ("kW", "W", 6000.0), ("W", "MW", 0.000006), ("MW", "W", 6000000.0), ("kW", "MW", 0.006),
+    ("MW", "kW", 6000.0), ("W", "GW", 0.000000006), ("GW", "W", 6000000000.0),
+    ("Wh", "kWh", 0.006), ("kWh", "Wh", 6000.0), ("Wh", "MWh", 0.000006), ("MWh", "Wh", 6000000.0), ("kWh", "MWh", 0.006),
+    ("MWh", "kWh", 6000.0), ("kWh", "GWh", 0.000006), ("GWh", "kWh", 6000000.0),
+    ("W/m²", "kW/m²", 0.006), ("kW/m²", "W/m²", 6000.0), ("degC", "degF", 42.8), ("degF", "degC", -14.444444444444445),
+    ("degC", "K", 279.15), ("K", "degC", -267.15), ("degF", "K", 258.7055555555556), ("K", "degF", -448.87),
+]
+
+
+@pytest.mark.parametrize(("source", "target", "expected"), FACTORS)
+def test_factors_written_out(source, target, expected):
+    assert convert(6.0, source, target) == pytest.approx(expected, rel=1e-12)
+
+
+def test_factors_are_all_pairs():
+    assert {(s, t) for s, t, _ in FACTORS} == {pair for pair in units._PAIRS if pair[0] != pair[1]}
+
+
+# Written out by hand: spellings and the unit that a reader would take them for.
+NAMES = [
+    ("w", "W"), ("Watts", "W"), ("KILOWATT", "kW"), ("kilowatts", "kW"), ("mw", "MW"), ("megawatts", "MW"), ("Gigawatt", "GW"),
+    ("whr", "Wh"), ("watt_hour", "Wh"), ("kWhr", "kWh"), ("kilowatt-hours", "kWh"), ("megawatthour", "MWh"), ("gwh", "GWh"),
+    ("W/m^2", "W/m²"), ("watts/m2", "W/m²"), ("w / m²", "W/m²"), ("kilowatt/m2", "kW/m²"), ("KW / M^2", "kW/m²"),
+    ("Celsius", "degC"), ("deg C", "degC"), ("degree c", "degC"), ("centigrade", "degC"), ("°f", "degF"), ("degrees F", "degF"),
+    ("kelvin", "K"), ("k", "K"),
+]
+
+
+@pytest.mark.parametrize(("raw", "expected"), NAMES)
+def test_names_written_out(raw, expected):
+    assert normalize_unit(raw) == expected
+
+
+def test_converters_of_one_call(spark):
+    before = dict(units._PAIRS)
+    df = spark.createDataFrame([(5.0, "MW", "GW"), (5.0, "kW", "W"), (5.0, "K", "kelvin")], "value double, unit string, target_unit string")
+    out = units.convert_readings(df, converters={("megawatt", "gw"): units.Affine(div=1e3), ("kW", "W"): lambda v: v * 2})
+    assert [r.converted for r in out.collect()] == [0.005, 10.0, 5.0]
+    assert units._PAIRS == before
+    assert units.convert_readings(df).first().conversion_error == "no conversion on file"
+
+
 def test_all_24_pairs_have_their_inverse(spark):
     pairs = [pair for pair in units._PAIRS if pair[0] != pair[1]]
     assert len(pairs) == 24
