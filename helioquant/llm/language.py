@@ -30,6 +30,9 @@ DIMENSIONS = 1024
 SAMPLE_PER_LANGUAGE = 2000
 #: Code points handled at a time inside a task.
 _BATCH_CHARS = 200_000
+#: Texts handled at a time, and distinct trigrams: tables are texts x trigrams and trigrams x dimensions.
+_BATCH_TEXTS = 1024
+_BATCH_GRAMS = 4096
 UNKNOWN = "und"
 
 
@@ -45,7 +48,7 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
-@lru_cache(maxsize=4096)
+@lru_cache(maxsize=32768)
 def _letter_vector(code: int, dimensions: int) -> np.ndarray:
     return np.random.default_rng(code).integers(0, 2, dimensions, dtype=np.int8) * np.int8(2) - np.int8(1)
 
@@ -62,13 +65,28 @@ def _bundles(codes: list[np.ndarray], dimensions: int) -> np.ndarray:
     grams = [(c[:-2] << 42) | (c[1:-1] << 21) | c[2:] for c in codes]
     distinct, where = np.unique(np.concatenate(grams), return_inverse=True)
     row = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
-    counts = np.bincount(row * len(distinct) + where, minlength=len(grams) * len(distinct))
+    # Trigrams are taken a block at a time, so that many rare ones, as in short titles of a script
+    # with thousands of letters, need no more memory than few. The sums are whole numbers.
+    order = np.argsort(where, kind="stable")
+    row, where = row[order], where[order]
+    out = np.zeros((len(grams), dimensions), np.float32)
+    for start in range(0, len(distinct), _BATCH_GRAMS):
+        block = distinct[start : start + _BATCH_GRAMS]
+        lo, hi = np.searchsorted(where, (start, start + len(block)))
+        at = row[lo:hi] * len(block) + where[lo:hi] - start
+        counts = np.bincount(at, minlength=len(grams) * len(block)).reshape(len(grams), -1)
+        out += counts.astype(np.float32) @ _gram_vectors(block, dimensions)
+    return out
+
+
+def _gram_vectors(grams: np.ndarray, dimensions: int) -> np.ndarray:
+    """A row for each trigram: its letters' vectors, each turned by its place, multiplied."""
     mask = (1 << 21) - 1
-    vectors = np.ones((len(distinct), dimensions), np.int8)
+    vectors = np.ones((len(grams), dimensions), np.int8)
     for shift, turn in ((42, 2), (21, 1), (0, 0)):
-        letters, at = np.unique((distinct >> shift) & mask, return_inverse=True)
-        vectors *= np.stack([np.roll(_letter_vector(int(x), dimensions), turn) for x in letters])[at]
-    return counts.reshape(len(grams), -1).astype(np.float32) @ vectors.astype(np.float32)
+        letters, at = np.unique((grams >> shift) & mask, return_inverse=True)
+        vectors *= np.roll(np.stack([_letter_vector(int(x), dimensions) for x in letters]), turn, axis=1)[at]
+    return vectors.astype(np.float32)
 
 
 def text_vectors(texts: list[str | None], dimensions: int) -> np.ndarray:
@@ -87,7 +105,7 @@ def text_vectors(texts: list[str | None], dimensions: int) -> np.ndarray:
         codes = _codes(text or "")
         for at in range(0, len(codes) - 2, _BATCH_CHARS):  # a long text is the sum of its stretches
             part = codes[at : at + _BATCH_CHARS + 2]
-            if size + len(part) > _BATCH_CHARS:
+            if size + len(part) > _BATCH_CHARS or len(waiting) == _BATCH_TEXTS:
                 flush()
                 size = 0
             waiting.append((i, part))

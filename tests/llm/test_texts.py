@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -121,6 +122,20 @@ def test_text_vectors_are_bundles_of_bound_letters(monkeypatch):
     assert np.allclose(language.text_vectors([None, text, ""], 64), [np.zeros(64), got, np.zeros(64)], atol=1e-6)
 
 
+def test_many_short_texts_of_many_letters_need_little_memory(monkeypatch):
+    dice = np.random.default_rng(5)
+    titles = ["".join(map(chr, dice.integers(0x4E00, 0x9FA5, 18))) for _ in range(10_000)]
+    tracemalloc.start()
+    got = language.text_vectors(titles, 64)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 500_000_000
+    # The same sums whatever the blocks.
+    monkeypatch.setattr(language, "_BATCH_GRAMS", 7)
+    monkeypatch.setattr(language, "_BATCH_TEXTS", 3)
+    assert np.array_equal(got[:40], language.text_vectors(titles[:40], 64))
+
+
 def test_language_on_the_tables(spark):
     rows = language.op3_language_id(spark, "/root/testdata/sf0.01").toPandas()
     truth = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang").toPandas()
