@@ -334,7 +334,8 @@ def specific_yield(
     """Least, mean and greatest daily energy of a plant, and the same per kWp, per scenario.
 
     A scenario is a capacity assumed for a plant; a plant may have several. The daily energies
-    are summed up once, whatever the number of scenarios.
+    are summed up once, whatever the number of scenarios. A plant without a scenario keeps its
+    energies, with a null scenario and no yield.
     """
     daily = (
         df.select(plant, local_date(ts).alias("_day"), F.col(ac).alias("_ac"))
@@ -345,7 +346,7 @@ def specific_yield(
         F.min("_kwh").alias("_min"), mean("_kwh", decimals).alias("_avg"), F.max("_kwh").alias("_max")
     )
     kinds = ("min", "avg", "max")
-    return per_plant.join(scenarios, plant).select(
+    return per_plant.join(scenarios, plant, "left").select(
         "scenario",
         plant,
         *[round_half_up(f"_{k}", 0).alias(f"{k}_daily_kwh") for k in kinds],

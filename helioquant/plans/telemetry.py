@@ -28,15 +28,11 @@ from helioquant.sources import feeds
 DECIMALS = 2
 BULK_DECIMALS = 4
 PER_DAY = 3
-EXPECTED_ROWS = 96
+# The events cover 30 days, of 96 intervals each.
 EXPECTED_SLOTS = 30 * 96
 
-SCENARIOS = (
-    ("A", "A corrected", 28286.79),
-    ("A", "A uncorrected", 282867.9),
-    ("N", "N corrected", 27479.68),
-    ("R", "R corrected", 25000.0),
-)
+# Factors by which a plant's rated capacity is taken, by name of the scenario.
+SCENARIOS = (("corrected", 1.0), ("uncorrected", 10.0))
 
 
 def _time_text_frames(spark, sf):
@@ -84,7 +80,7 @@ def scope(spark, sf):
 
 def coverage_by_rows(spark, sf):
     return profile.device_coverage(
-        generation(spark, sf), EXPECTED_ROWS, keys=("plant", "device")
+        generation(spark, sf), EXPECTED_SLOTS, keys=("plant", "device")
     )
 
 
@@ -95,7 +91,7 @@ def coverage_by_slots(spark, sf):
 
 
 def lowest_coverage(spark, sf):
-    return profile.device_coverage(generation(spark, sf), EXPECTED_ROWS, top_n=5)
+    return profile.device_coverage(generation(spark, sf), EXPECTED_SLOTS, top_n=5)
 
 
 def daily_intervals(spark, sf):
@@ -150,9 +146,13 @@ def plant_capacity(spark, sf):
 
 
 def daily_specific_yield(spark, sf):
-    return profile.specific_yield(
-        bulk(spark, sf), profile.scenario_table(spark, SCENARIOS), decimals=BULK_DECIMALS
+    """Yields per kWp of the capacity that the plants' own devices show, and of ten times that."""
+    rated = plant_capacity(spark, sf).select("plant", "capacity_kwp")
+    factors = F.array(*[F.struct(F.lit(n).alias("scenario"), F.lit(f).alias("factor")) for n, f in SCENARIOS])
+    scenarios = rated.select("plant", "capacity_kwp", F.explode(factors).alias("s")).select(
+        "plant", "s.scenario", (F.col("capacity_kwp") * F.col("s.factor")).alias("capacity_kwp")
     )
+    return profile.specific_yield(bulk(spark, sf), scenarios, decimals=BULK_DECIMALS)
 
 
 def device_day_energy(spark, sf):
@@ -343,8 +343,8 @@ QUERIES = {
     "coverage_by_rows": (
         coverage_by_rows,
         f"""WITH {GENERATION_SQL}
-        SELECT plant, device, count(*) AS recorded_intervals, {EXPECTED_ROWS} - count(*) AS missing_intervals,
-               {q.rounded(f'CAST(100 AS DOUBLE) * count(*) / {EXPECTED_ROWS}', 2)} AS coverage_pct
+        SELECT plant, device, count(*) AS recorded_intervals, {EXPECTED_SLOTS} - count(*) AS missing_intervals,
+               {q.rounded(f'CAST(100 AS DOUBLE) * count(*) / {EXPECTED_SLOTS}', 2)} AS coverage_pct
         FROM generation GROUP BY plant, device""",
     ),
     "coverage_by_slots": (
@@ -358,8 +358,8 @@ QUERIES = {
     "lowest_coverage": (
         lowest_coverage,
         f"""WITH {GENERATION_SQL}
-        SELECT device, count(*) AS recorded_intervals, {EXPECTED_ROWS} - count(*) AS missing_intervals,
-               {q.rounded(f'CAST(100 AS DOUBLE) * count(*) / {EXPECTED_ROWS}', 2)} AS coverage_pct
+        SELECT device, count(*) AS recorded_intervals, {EXPECTED_SLOTS} - count(*) AS missing_intervals,
+               {q.rounded(f'CAST(100 AS DOUBLE) * count(*) / {EXPECTED_SLOTS}', 2)} AS coverage_pct
         FROM generation GROUP BY device ORDER BY recorded_intervals, device LIMIT 5""",
     ),
     "daily_interval_distribution": (
@@ -450,7 +450,9 @@ QUERIES = {
         f"""WITH {BULK_SQL},
         daily AS (SELECT plant, CAST(ts AS DATE) AS d, {q.total('ac', 4)} * CAST(0.25 AS DOUBLE) AS kwh FROM bulk GROUP BY ALL),
         p AS (SELECT plant, min(kwh) AS lo, {q.mean('kwh', 4)} AS av, max(kwh) AS hi FROM daily GROUP BY plant),
-        s(plant, scenario, cap) AS (VALUES {", ".join(f"('{p}', '{n}', CAST({c} AS DOUBLE))" for p, n, c in SCENARIOS)})
+        r AS (SELECT plant, device, quantile_cont(dc, 0.99) AS p99 FROM bulk GROUP BY plant, device),
+        c AS (SELECT plant, {q.rounded(q.total('p99', 6), 2)} AS kwp FROM r GROUP BY plant),
+        s AS (SELECT plant, 'corrected' AS scenario, kwp AS cap FROM c UNION ALL SELECT plant, 'uncorrected', kwp * CAST(10 AS DOUBLE) FROM c)
         SELECT scenario, plant, {q.rounded('lo', 0)} AS min_daily_kwh, {q.rounded('av', 0)} AS avg_daily_kwh,
                {q.rounded('hi', 0)} AS max_daily_kwh, {q.rounded('lo / cap', 3)} AS min_specific_yield,
                {q.rounded('av / cap', 3)} AS avg_specific_yield, {q.rounded('hi / cap', 3)} AS max_specific_yield

@@ -91,7 +91,9 @@ def test_capacity_and_yield(spark, readings):
     assert row.capacity_mwp == pytest.approx(sum(p99.values()) / 1000, abs=0.001)
     scenarios = profile.scenario_table(spark, [("p", "right", 1000.0), ("p", "ten times", 10000.0)])
     out = {r.scenario: r for r in profile.specific_yield(readings, scenarios).collect()}
-    assert set(out) == {"right", "ten times"}
+    assert set(out) == {"right", "ten times", None}
+    # A plant that no scenario names keeps its energies.
+    assert out[None].plant == "q" and out[None].max_daily_kwh is not None and out[None].max_specific_yield is None
     assert out["right"].max_specific_yield == pytest.approx(10 * out["ten times"].max_specific_yield, abs=0.01)
     assert out["right"].min_daily_kwh <= out["right"].avg_daily_kwh <= out["right"].max_daily_kwh
 
