@@ -321,6 +321,87 @@ def _joined(events: Column) -> Column:
     return F.array_join(F.transform(events, lambda e: e["piece"]), "")
 
 
+def _event(like: Column, kind: str, **fields: Column) -> Column:
+    """A tool event typed as ``like``; fields that are not named are null."""
+    names = ("index", "id", "name", "piece")
+    return F.struct(
+        F.lit(kind).alias("kind"),
+        *[F.coalesce(fields.get(n, F.lit(None)), F.nullif(like[n], like[n])).alias(n) for n in names],
+    )
+
+
+def _segments(events: Column, cuts: Column, shape) -> Column:
+    """``shape(run, is_first, is_last)`` of the events from each cut position up to the next one, flattened."""
+    after_last = (F.size(events) + F.lit(1)).cast("int")
+    nexts = F.concat(F.slice(cuts, F.lit(2), F.greatest(F.size(cuts) - 1, F.lit(0))), F.array(after_last))
+
+    def segment(begin: Column, end: Column) -> Column:
+        return F.struct(
+            _between(events, begin, end).alias("run"),
+            (begin == 1).alias("is_first"),
+            (end == after_last).alias("is_last"),
+        )
+
+    runs = F.zip_with(cuts, nexts, segment)
+    return F.flatten(F.transform(runs, lambda r: shape(r["run"], r["is_first"], r["is_last"])))
+
+
+def _messages_summary(events: Column) -> Column:
+    """Fewest events of the first vendor that mean the same, whatever comes before or after.
+
+    What precedes the first start belongs to a block opened earlier: its pieces become one, with the
+    stop that ends them. Each block is its start, its joined pieces and its stop. A block that another
+    one follows without a stop never closes and is left out; the last one may stay open. Summaries
+    of runs, put together and summarised again, are the summary of the whole.
+    """
+    starts = _positions(events, "start")
+    cuts = F.array_distinct(F.concat(F.array(F.lit(1)), starts))
+
+    def block(run: Column, is_first: Column, is_last: Column) -> Column:
+        first = F.get(run, F.lit(0))
+        stop = F.array_position(F.transform(run, lambda e: e["kind"]), "stop").cast("int")
+        opens = first["kind"] == "start"
+        end = F.when(stop > 0, stop).otherwise(F.size(run) + F.lit(1))
+        skip = F.when(opens, F.lit(2)).otherwise(F.lit(1))
+        pieces = _between(run, skip, end)
+        nothing = F.slice(run, F.lit(1), F.lit(0))
+        kept = F.concat(
+            F.when(opens, F.array(first)).otherwise(nothing),
+            F.when(F.size(pieces) > 0, F.array(_event(first, "piece", piece=_joined(pieces)))).otherwise(nothing),
+            F.when(stop > 0, F.slice(run, F.greatest(stop, F.lit(1)), F.lit(1))).otherwise(nothing),
+        )
+        lost = opens & (stop == 0) & ~is_last
+        return F.when((F.size(run) == 0) | lost, nothing).otherwise(kept)
+
+    return _segments(events, cuts, block)
+
+
+def _completions_summary(events: Column) -> Column:
+    """Fewest events of the second vendor that mean the same, whatever comes before or after.
+
+    Between two stops one event an index is left, in the order of first pieces, with the last id and
+    name and the joined arguments. Stops that end nothing are left out, but for the first, which
+    may end what an earlier run has opened.
+    """
+    cuts = F.array_distinct(F.concat(F.array(F.lit(1)), F.transform(_positions(events, "stop"), lambda p: p + F.lit(1))))
+
+    def turn(run: Column, is_first: Column, is_last: Column) -> Column:
+        pieces = F.filter(run, lambda e: e["kind"] == "piece")
+
+        def joined(index: Column) -> Column:
+            own = F.filter(pieces, lambda e: e["index"] == index)
+            return _event(
+                F.get(own, F.lit(0)), "piece", index=index,
+                id=_last_known(own, "id"), name=_last_known(own, "name"), piece=_joined(own),
+            )
+
+        stops = F.filter(run, lambda e: e["kind"] == "stop")
+        kept = F.transform(F.array_distinct(F.transform(pieces, lambda e: e["index"])), joined)
+        return F.when(~is_first & (F.size(pieces) == 0), F.slice(run, F.lit(1), F.lit(0))).otherwise(F.concat(kept, stops))
+
+    return _segments(events, cuts, turn)
+
+
 def _messages_tools(events: Column) -> Column:
     """Tool calls of the first vendor: each runs from its start to the next block stop."""
     starts = _positions(events, "start")
@@ -383,24 +464,41 @@ def _completions_tools(events: Column) -> Column:
     )
 
 
-def assemble_streams(lines: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Recorded stream lines put together per call: text, tool calls, stop reason, usage.
+def stream_runs(lines: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Summaries of runs of ``chunk_rows`` line numbers of each call, one row a run.
 
     ``lines``: call_id, provider, seq, line. A copy of a line (same call, same number) counts once;
-    copies collapse before they are shuffled. Lines are parsed once and gathered in two steps: by
-    runs of ``chunk_rows`` line numbers, which bounds what a task collects, and then by call,
-    where only the joined text and the tool events are left, that is, what the result row of the
-    call holds in any case.
+    copies collapse before they are shuffled. A run keeps its joined text, its last known stop
+    reason and token counts, and its tool events in the shortest form that can still be joined with
+    the runs next to it: whole blocks, and what is open at its head and its tail.
     """
     keys = ["call_id", "provider"]
     fields = _stream_fields(lines).withColumn("_chunk", chunk_of("seq", chunk_rows))
-    chunks = (
+    events = F.col("tools")
+    return (
         fields.groupBy(*keys, "_chunk")
         .agg(F.sort_array(F.collect_set(F.struct("seq", *PARTS))).alias("_rows"))
         .select(*keys, "_chunk", *_gather(F.col("_rows")))
+        .withColumn(
+            "tools",
+            F.when(F.size(events) < 2, events)
+            .when(F.col("provider") == MESSAGES_VENDOR, _messages_summary(events))
+            .otherwise(_completions_summary(events)),
+        )
     )
+
+
+def assemble_streams(lines: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Recorded stream lines put together per call: text, tool calls, stop reason, usage.
+
+    ``lines``: call_id, provider, seq, line. Lines are parsed once and summarised in runs
+    (``stream_runs``), which bounds what a task collects. A call then joins its runs' summaries: a
+    few events a tool call and run, that is, what the result row of the call holds in any case.
+    """
+    keys = ["call_id", "provider"]
     calls = (
-        chunks.groupBy(*keys)
+        stream_runs(lines, chunk_rows)
+        .groupBy(*keys)
         .agg(F.sort_array(F.collect_list(F.struct("_chunk", *PARTS))).alias("_rows"))
         .select(*keys, *_gather(F.col("_rows")))
     )

@@ -179,6 +179,71 @@ def test_streams(spark, chunk_rows):
     assert {k: (r.text, r.stop_reason, r.input_tokens, r.output_tokens, tools(r)) for k, r in out.items()} == want
 
 
+def whole_stream(vendor, events):
+    """Tools of a stream, event by event."""
+    out, block, turn = [], None, {}
+    for e in events:
+        if vendor == A:
+            if e["type"] == "content_block_start":
+                block = [e["content_block"].get("id"), e["content_block"].get("name"), ""]
+            elif e["type"] == "content_block_stop" and block:
+                out += [block] if block[0] and block[1] else []
+                block = None
+            elif e["type"] == "content_block_delta" and block:
+                block[2] += e["delta"]["partial_json"]
+        else:
+            for c in e["choices"][0]["delta"].get("tool_calls", ()):
+                own = turn.setdefault(c["index"], ["", "", ""])
+                own[0] = c.get("id") or own[0]
+                own[1] = c["function"].get("name") or own[1]
+                own[2] += c["function"].get("arguments", "")
+            if e["choices"][0]["finish_reason"]:
+                out += turn.values()
+                turn = {}
+    return [(i, n, json.loads(t) if t else {}) for i, n, t in out]
+
+
+@pytest.mark.parametrize("chunk_rows", [1, 2, 5, 1000])
+def test_runs_join_to_the_whole(spark, chunk_rows):
+    rng = random.Random(99)
+    rows, want = [], {}
+    for i in range(60):
+        # Starts, digits and stops in any order: blocks left open, stops of nothing, repeated indexes.
+        n = rng.randrange(1, 25)
+        a = [
+            rng.choice([tool_a(f"i{k}", rng.choice(["n", "m", None])), json_a(str(rng.randrange(1, 10))), json_a("1"), STOP_A])
+            for k in range(n)
+        ]
+        b = [
+            delta_b("tool_calls") if rng.random() < 0.2
+            else calls_b(rng.randrange(3), str(rng.randrange(1, 10)), rng.choice([None, f"i{k}"]), rng.choice([None, "n"]))
+            for k in range(n)
+        ]
+        for name, vendor, events in ((f"a{i}", A, a), (f"b{i}", B, b)):
+            rows += stream(name, vendor, events, start=rng.randrange(9))
+            want[name] = whole_stream(vendor, events)
+    lines = spark.createDataFrame(rows, "call_id string, provider string, seq long, line string")
+    out = {r.call_id: tools(r) for r in calllog.assemble_streams(lines, chunk_rows).collect()}
+    assert out == want
+
+
+@pytest.mark.parametrize("vendor", [A, B])
+def test_a_call_of_a_million_lines(spark, vendor):
+    n = 1_000_000
+    first, last = (
+        (tool_a("t", "tool"), STOP_A) if vendor == A else (calls_b(0, "", "t", "tool"), delta_b("tool_calls"))
+    )
+    piece = json.dumps(json_a("7") if vendor == A else calls_b(0, "7"))
+    lines = spark.range(n).selectExpr(
+        "'c' as call_id", f"'{vendor}' as provider", "id as seq",
+        f"concat('data: ', case id when 0 then '{json.dumps(first)}' when {n - 1} then '{json.dumps(last)}' else '{piece}' end) as line",
+    )
+    runs = calllog.stream_runs(lines, n // 100).selectExpr("count(*) as n", "max(size(tools)) as events").first()
+    assert (runs.n, runs.events) == (100, 2)
+    (row,) = calllog.assemble_streams(lines, n // 100).selectExpr("size(tool_use) as n", "tool_use[0].id as id", "length(to_json(tool_use[0])) as size").collect()
+    assert (row.n, row.id) == (1, "t") and row["size"] >= n - 2
+
+
 def test_broken_streams(spark):
     rows = stream("a", A, [text_a("kept"), tool_a("x1", "plain"), STOP_A, tool_a("x2", "spoilt"), json_a('{"n": 4'), STOP_A, tool_a("x3", "open"), json_a("{}")])
     rows += stream("b", B, [delta_b(content="part"), calls_b(0, "[oops", "y1", "spoilt")])
