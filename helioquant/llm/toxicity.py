@@ -196,7 +196,8 @@ def train(rows: list[tuple[bytes, int]]) -> Model:
         return empty
     halves = {y: ([t.lower() for t in x[::2]], x[1::2]) for y, x in texts.items()}
     words = Counter(w for text in halves[0][0] for w in set(text.lower().split()))
-    common = [w for w, _ in words.most_common(DICTIONARY_BYTES // 8)]
+    # Ties by the word itself, as a set's order differs from one Python process to the next.
+    common = sorted(words, key=lambda w: (-words[w], w))[: DICTIONARY_BYTES // 8]
     toxic, ordinary = _dictionaries(common, [_favoured(halves[y][0], halves[1 - y][0]) for y in (1, 0)])
     model = Model(toxic, ordinary, np.zeros(FEATURES))
     gains = Gains(model.toxic, model.ordinary)
