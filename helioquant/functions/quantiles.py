@@ -9,7 +9,10 @@ large, take the same way:
    that small table pick the values at the two ranks around the target.
 
 A bucket around a rank holds about ``4 / accuracy`` of its group. A sketch that misses a rank makes
-another bucket be counted, so the result is exact whatever the sketch says.
+another bucket be counted, so the result is exact whatever the sketch says. A group of at most
+``LARGE_GROUP`` values is one bucket. There is at most one larger group for every ``LARGE_GROUP`` values, so
+the cut points and buckets of those are sent to the values, which stay where they are: dealt out by
+group, all values of a group would be sorted by one task.
 """
 
 from __future__ import annotations
@@ -22,6 +25,8 @@ from pyspark.sql import functions as F
 from helioquant.functions.joins import null_safe_join
 
 ACCURACY = 100_000
+#: Values of a group that are counted as one bucket, at most.
+LARGE_GROUP = 100_000
 
 
 def _probabilities(specs: Mapping[str, tuple[str, float]]) -> dict[str, list[float]]:
@@ -76,9 +81,8 @@ def grouped_percentiles(
     bucket = F.lit(0)
     for i in range(len(around)):
         bucket = bucket + F.when(F.get("_cuts", F.lit(i)) < F.col("_v"), 1).otherwise(0)
-    placed = null_safe_join(values, cuts.where(F.col("_n") > 0), groups, "inner").select(
-        *groups, "_n", "_v", bucket.alias("_bucket")
-    )
+    large = F.broadcast(cuts.where(F.col("_n") > LARGE_GROUP))
+    placed = null_safe_join(values, large, groups, "left").select(*groups, "_n", "_v", bucket.alias("_bucket"))
     ranks = _ranks(placed, groups, probs)
     names = [c for c in first.columns if not c.startswith(("_n_", "_c_"))]
     outputs = [
@@ -95,9 +99,9 @@ def _long(df: DataFrame, keys: Sequence[str], columns: Sequence[tuple[Column, ..
 
 
 def _ranks(placed: DataFrame, groups: Sequence[str], probs: Sequence[float]) -> DataFrame:
-    """The quantiles _p0, _p1, ... of each group; placed: groups, _n, _v and the _bucket of a value."""
+    """The quantiles _p0, _p1, ... of each group; placed: groups, _n (null: a small group), _v and the _bucket of a value."""
     before = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = placed.groupBy(*groups, "_n", "_bucket").agg(F.count(F.lit(1)).alias("_c"))
+    buckets = placed.where(F.col("_n").isNotNull()).groupBy(*groups, "_n", "_bucket").agg(F.count(F.lit(1)).alias("_c"))
     buckets = buckets.withColumn("_start", F.coalesce(F.sum("_c").over(before), F.lit(0)))  # few rows a group
 
     def position(p: float) -> Column:
@@ -108,10 +112,13 @@ def _ranks(placed: DataFrame, groups: Sequence[str], probs: Sequence[float]) ->
     for rank in wanted:
         hit = hit | ((F.col("_start") <= rank) & (rank < F.col("_start") + F.col("_c")))
     hits = buckets.where(hit).select(*groups, "_bucket", "_start")
-    inside = null_safe_join(placed, hits, [*groups, "_bucket"], "inner")
+    inside = null_safe_join(placed, F.broadcast(hits), [*groups, "_bucket"], "left")
+    inside = inside.where(F.col("_n").isNull() | F.col("_start").isNotNull())
     counted = inside.groupBy(*groups, "_n", "_bucket", "_start", "_v").agg(F.count(F.lit(1)).alias("_c"))
     order = Window.partitionBy(*groups, "_bucket").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    running = counted.withColumn("_end", F.col("_start") + F.sum("_c").over(order))
+    running = counted.withColumn("_end", F.coalesce("_start", F.lit(0)) + F.sum("_c").over(order))
+    # A small group is counted as a whole, so its size is the sum of its counts.
+    running = running.withColumn("_n", F.coalesce("_n", F.sum("_c").over(Window.partitionBy(*groups, "_bucket"))))
     picks = [
         F.max(F.when((F.col("_end") - F.col("_c") <= rank) & (rank < F.col("_end")), F.col("_v"))).alias(f"_{i}")
         for i, rank in enumerate(wanted)

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from helioquant.functions import quantiles
 from helioquant.functions.quantiles import grouped_percentiles
 from helioquant.functions.sequence import ordered_text, with_previous
 
@@ -119,3 +120,23 @@ def test_quantile_arguments(spark):
         grouped_percentiles(df, [], {"m": ("v", 0.5)})
     with pytest.raises(ValueError):
         grouped_percentiles(df, ["k"], {"m": ("v", 1.5)})
+
+
+def test_large_and_small_groups_get_the_same_quantiles(spark, monkeypatch):
+    """Values of a large group are not dealt out by group: the few cut points go to them."""
+    monkeypatch.setattr(quantiles, "LARGE_GROUP", 40)
+    group = F.when(F.col("id") % 10 < 7, F.lit("large")).when(F.col("id") % 10 < 8, F.concat(F.lit("g"), F.col("id") % 50))
+    df = spark.range(1000).select(group.alias("k"), (F.col("id") * 37 % 211 / 8).alias("v"), F.when(F.col("id") % 3 == 0, F.col("id")).alias("w"))
+    spec = {"a": ("v", 0.5), "b": ("v", 0.99), "c": ("w", 0.25)}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = grouped_percentiles(df, ["k"], spec)
+        assert got._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin") >= 2
+        rows = {r.k: (r.a, r.b, r.c) for r in got.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    want = df.groupBy("k").agg(F.percentile("v", F.lit(0.5)).alias("a"), F.percentile("v", F.lit(0.99)).alias("b"), F.percentile("w", F.lit(0.25)).alias("c"))
+    want = {r.k: (r.a, r.b, r.c) for r in want.collect()}
+    assert None in want and "large" in want and len(want) > 5
+    assert {k: pytest.approx(x) for k, x in want.items()} == rows
