@@ -2,7 +2,11 @@
 
 Every node holds a pointer that reaches twice as far in each round, so a tree of depth d takes
 about log2(d) joins of the nodes with themselves. What a round has found is checkpointed, as the
-next one uses it twice; this is the one place among the table operators where work runs at once.
+next one uses it more than once; this is the one place among the table operators where work runs at once.
+
+Most nodes of a tree point to few targets once they reach far, and settled ones to none. So nodes are
+dealt out by their target only where it has at most ``HEAVY`` of them; the facts of the other targets, one
+for every ``HEAVY`` nodes at most, are sent to the nodes, and settled nodes are left where they are.
 """
 
 from __future__ import annotations
@@ -15,6 +19,9 @@ from pyspark.sql import functions as F
 from helioquant.functions.numeric import count_where
 from helioquant.session import checkpoint_dir
 
+#: Nodes that are dealt to one task for their common target, at most.
+HEAVY = 20_000
+
 
 def _cut(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
@@ -23,13 +30,27 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def _looked_up(rows: DataFrame, key: str, facts: DataFrame) -> DataFrame:
+    """rows with the facts of their key (one row a key); null where the key is null or has none."""
+    sizes = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
+    found = sizes.join(facts, key, "left")
+    met = rows.join(F.broadcast(found.where(F.col("_rows") > HEAVY)), key, "left")
+    names = [*rows.columns, *[c for c in facts.columns if c != key]]
+    settled = F.col("_rows").isNotNull() | F.col(key).isNull()
+    others = met.where(~settled).select(*rows.columns).join(found.where(F.col("_rows") <= HEAVY), key)
+    out = met.where(settled).select(*names).unionByName(others.select(*names))
+    # The union of a round has the partitions of both sides; they must not add up over the rounds.
+    return out.coalesce(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _links(nodes: DataFrame, id: str, parent: str, marked: Column) -> DataFrame:
     """One row a node: its parent if that is a node too, else null."""
     own = nodes.where(F.col(id).isNotNull()).groupBy(F.col(id).alias("id")).agg(
         F.min(parent).alias("_parent"), F.max(F.coalesce(marked, F.lit(False))).alias("_marked")
     )
+    own = _cut(own)
     known = own.select(F.col("id").alias("_parent"), F.lit(True).alias("_known"))
-    return own.join(known, "_parent", "left").select(
+    return _looked_up(own, "_parent", known).select(
         "id",
         F.when(F.col("_known"), F.col("_parent")).alias("_next"),
         F.when(F.col("_known"), F.col("_parent")).otherwise(F.col("id")).alias("top"),
@@ -47,7 +68,7 @@ def _doubled(state: DataFrame) -> DataFrame:
         F.col("depth").alias("_depth"),
         F.col("_marked").alias("_above"),
     )
-    return state.join(ahead, "_next", "left").select(
+    return _looked_up(state, "_next", ahead).select(
         "id",
         F.col("_far").alias("_next"),
         F.coalesce("_top", "top").alias("top"),

@@ -70,3 +70,31 @@ def test_subtrees_go_with_their_channels(spark):
     kept, left = hierarchy.delete_subtrees(assets, channels, ["inv", "c1"])
     assert {r.id for r in kept.collect()} == {"block", "ws", None}
     assert sorted(r.n for r in left.collect()) == [3, 5]
+
+
+def test_heavy_and_settled_nodes_are_not_dealt_out_by_target(spark, frame, monkeypatch):
+    monkeypatch.setattr(hierarchy, "HEAVY", 3)
+    rows = [("top", None), ("ring", "gnir"), ("gnir", "ring")]
+    rows += [(f"a{i}", "top" if i % 2 else "gone") for i in range(20)]
+    rows += [(f"b{i}", f"a{i // 10}") for i in range(60)] + [(f"c{i}", f"b{i // 2}") for i in range(60)] + [("under", "ring")]
+    df = frame(rows, SCHEMA)
+    assert found(df) == plain(rows)
+
+    # Whatever the nodes point to, a task gets a share of them: no task may hold most of them.
+    state = spark.range(4000).select(
+        F.col("id").cast("string").alias("id"), F.when(F.col("id") % 4 == 1, F.lit("0")).when(F.col("id") % 400 == 2, F.lit("4")).alias("_next")
+    ).repartition(4)
+    facts = spark.range(10).select(F.col("id").cast("string").alias("_next"), (F.col("id") + 1).alias("fact"))
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        met = hierarchy._looked_up(state, "_next", facts)
+        sizes = [r["count"] for r in met.groupBy(F.spark_partition_id()).count().collect()]
+        kinds = {(r._next, r.fact): r["count"] for r in met.groupBy("_next", "fact").count().collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert kinds == {("0", 1): 1000, ("4", 5): 10, (None, None): 2990}
+    assert max(sizes) <= 2000 and len(sizes) <= 4
