@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
@@ -182,6 +183,22 @@ def _event_stream(spark, sf):
     return spark.readStream.schema(schema).parquet(f"{sf}/events*.parquet")
 
 
+@contextmanager
+def _state_partitions(spark):
+    """A stream that starts here keeps its state in one partition a core, which go with its checkpoint.
+
+    Every partition of every stateful step opens and commits its stores in each micro-batch, whatever
+    they hold: partitions beyond the cores only add to that.
+    """
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, min(int(before), spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _drain(spark, writer_of):
     """Run a stream to the end of its input into a fresh folder of the shared checkpoint place."""
     base = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
@@ -216,7 +233,9 @@ def _drain_in_parts(spark, parts, writer_of):
         for name, rows in part.items():
             rows.write.mode("append").parquet(f"{base}/in/{name}")
         streams = {name: spark.readStream.schema(s).parquet(f"{base}/in/{name}") for name, s in schemas.items()}
-        writer_of(streams, f"{base}/out", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+        with _state_partitions(spark):
+            query = writer_of(streams, f"{base}/out", f"{base}/state").trigger(availableNow=True).start()
+        query.awaitTermination()
     return f"{base}/out"
 
 

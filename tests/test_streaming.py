@@ -180,3 +180,18 @@ def test_daily_energy_cuts_local_days(spark, feed, tmp_path):
     days = stream_energy.stream_daily_energy(feed(rows, DAYS), zone="Asia/Kolkata")
     merge.batch_writer(days, out, str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
     assert {str(r.log_date): r.integrated_kwh for r in merge.latest(spark, out, keys).collect()} == {"2020-05-01": 1.0, "2020-05-02": 2.0}
+
+
+def test_a_stream_keeps_one_state_partition_a_core_at_most(spark):
+    from helioquant.plans.quality import _state_partitions
+
+    name, cores = "spark.sql.shuffle.partitions", spark.sparkContext.defaultParallelism
+    before = spark.conf.get(name)
+    try:
+        for given, held in ((str(cores * 25), cores), ("1", 1)):
+            spark.conf.set(name, given)
+            with _state_partitions(spark):
+                assert int(spark.conf.get(name)) == held
+            assert spark.conf.get(name) == given
+    finally:
+        spark.conf.set(name, before)
