@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import random
 import time
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from helioquant.llm import repeats
@@ -43,3 +47,58 @@ def test_buckets_follow_the_bytes_of_the_texts(spark, monkeypatch):
     assert run() == few
     size = sum(len(t or "") for t in texts)
     assert seen == [2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // 100)]
+
+
+def held(function, batch):
+    """The rows that a task's function makes of a batch, and the most bytes it holds meanwhile."""
+    tracemalloc.start()
+    try:
+        rows = [(x.num_rows, x.nbytes) for x in function(iter([batch]))]
+        return rows, tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_task_holds_a_slice_of_its_batch(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "map_arrow", lambda rows, function, schema: function)
+    docs = spark.createDataFrame([(1, b"")], "doc_id long, bytes binary")
+    asked = spark.createDataFrame([(1, b"")], "doc_id long, asked binary")
+    rng = random.Random(3)
+    texts = [rng.randbytes(20_000) for _ in range(600)]
+    wanted = []
+    for text in texts:
+        _, _, key, context = repeats.window_runs(np.frombuffer(text, np.uint8), np.array([len(text)]))
+        wanted.append(repeats._pack(context, key, np.zeros(len(key), np.int64)))
+    columns = [pa.array(range(600)), pa.array(texts, pa.binary()), pa.array(wanted, pa.binary())]
+    batch = pa.RecordBatch.from_arrays(columns, ["doc_id", "bytes", "asked"])
+    contexts = sum(len(x) for x in wanted) // 24
+    for function, each in ((repeats.send_digests(docs, 16), 12), (repeats.send_contexts(docs, asked, 16), 32 + repeats.WINDOW)):
+        _, few = held(function, batch.slice(0, 300))
+        rows, most = held(function, batch)
+        assert most < 1.3 * few
+        assert sum(size for _, size in rows) >= contexts * each  # all are sent
+
+
+def test_slices_have_every_row_once():
+    size = repeats.SLICE_BYTES
+    texts = [b"a" * n for n in (0, size // 2, size // 2, size // 2, 3 * size, 5, 0)] + [None]
+    batches = [pa.RecordBatch.from_arrays([pa.array(x, pa.binary())], ["bytes"]) for x in (texts, texts[:0], [None])]
+    parts = list(repeats.slices(iter(batches)))
+    assert [x.as_py() for p in parts for x in p.column(0)] == [*texts, None]
+    assert all(sum(len(x.as_py() or b"") for x in p.column(0).slice(1)) <= size for p in parts)
+
+
+def test_blocks_follow_the_contexts_asked_for(spark, monkeypatch):
+    words = [f"{i * 7919 % 1009}word{i}" for i in range(60)]
+    docs = spark.createDataFrame([(i, " ".join(words[i : i + 25])) for i in range(30)], "doc_id long, text string")
+    seen = []
+    sort = repeats.sort_blocks
+    monkeypatch.setattr(repeats, "sort_blocks", lambda rows, blocks: seen.append(blocks) or sort(rows, blocks))
+
+    def run():
+        return sorted(map(tuple, repeats.without_repeats(docs, ["doc_id"]).collect()))
+
+    few = run()
+    monkeypatch.setattr(repeats, "BLOCK_BYTES", 100)
+    assert run() == few
+    assert seen[1] > seen[0] == 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
