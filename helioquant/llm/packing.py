@@ -9,7 +9,8 @@ of residual and piece (``rule="dot"``).
 
 Full pieces fill a sequence alone and are never compared with others. The rest are dealt out by a
 hash of their key and packed in blocks of ``block`` pieces, so memory is bounded and the loss is at
-most a fraction of one sequence a block. Defined cases: null and empty texts give one piece, the
+most a fraction of one sequence a block. Tasks pass on pieces a few texts at a time and copy no ids of
+a block, whatever an Arrow batch holds. Defined cases: null and empty texts give one piece, the
 separator alone; no rows give no rows; repeated rows are packed once each; columns named like the
 results are left out of the input first.
 """
@@ -19,6 +20,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +35,13 @@ from helioquant.llm.common import kept_between_tasks, map_arrow, read_table
 SEQUENCE_TOKENS = 2048
 BLOCK = 8192
 #: Entries a worker remembers of chunk to ids before it forgets those not met for as long.
-CACHE_CHUNKS = 400_000
-#: Texts numbered together.
-_TEXT_BYTES = 4 << 20
+CACHE_CHUNKS = 200_000
+#: Texts numbered and passed on together.
+_TEXT_BYTES = 1 << 20
+#: Chunks encoded together.
+_ENCODED = 4096
+#: Packed pieces passed on together.
+_PASSED = 1024
 
 
 class ChunkTokenizer:
@@ -57,7 +63,15 @@ class ChunkTokenizer:
         self.older: dict[str, bytes] = {}
 
     def _ids(self, chunks: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+        """The ids of each chunk; the encodings, far larger than their ids, are held for _ENCODED chunks at a time."""
+        out = []
+        for at in range(0, len(chunks), _ENCODED):
+            some = chunks[at : at + _ENCODED]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+            data = np.fromiter(chain.from_iterable(ids), "<u4").tobytes()
+            ends = [0, *accumulate(4 * len(x) for x in ids)]
+            out += [data[i:j] for i, j in pairwise(ends)]
+        return out
 
     @staticmethod
     def _stem(chunk: str) -> tuple[str, str]:
@@ -95,30 +109,31 @@ class ChunkTokenizer:
         spaces = pc.replace_substring_regex(texts, "[\n\t\r\x0b\x0c]", " ")
         chunks = pc.split_pattern(spaces, " ")
         coded = chunks.flatten().dictionary_encode()
-        parts = self.parts_of(coded.dictionary.to_pylist())
+        parts = self.parts_of(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        parts.append(np.array([separator], "<u4").tobytes())
         pool = np.frombuffer(b"".join(parts), "<u4")
         sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
         first = np.cumsum(sizes) - sizes
-        codes = coded.indices.to_numpy()
+        bounds = np.cumsum(pc.list_value_length(chunks).to_numpy())
+        codes = np.insert(coded.indices.to_numpy(), bounds, len(parts) - 1)
         lengths = sizes[codes]
         ends = np.cumsum(lengths)
-        total = int(ends[-1]) if len(ends) else 0
-        at = np.arange(total) + np.repeat(first[codes] - (ends - lengths), lengths)
-        bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(chunks).to_numpy())])
-        begins = np.concatenate([[0], ends])[bounds] + np.arange(len(texts) + 1)
-        ids = np.full(total + len(texts), separator, "<u4")
-        ids[np.arange(total) + np.repeat(np.arange(len(texts)), np.diff(begins) - 1)] = pool[at]
-        return ids, begins
+        at = np.repeat(first[codes] - (ends - lengths), lengths)
+        at += np.arange(len(at))
+        return pool[at], np.concatenate([[0], ends[bounds + np.arange(len(texts))]])
 
 
 def _even_groups(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
-    """Runs of texts of about _TEXT_BYTES together, with the row of the first; a longer text is a run of its own."""
-    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    """Runs of texts of about _TEXT_BYTES together, with the row of the first; a longer text is a run of its own.
+
+    Null texts become empty.
+    """
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
     while at < len(texts):
         before = ends[at - 1] if at else 0
         until = max(int(np.searchsorted(ends, before + _TEXT_BYTES, "right")), at + 1)
-        yield at, texts[at:until]
+        yield at, pc.fill_null(texts[at:until], "")
         at = until
 
 
@@ -134,8 +149,8 @@ def token_pieces(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = kept_between_tasks(("tokenizer", tokenizer), lambda: ChunkTokenizer(tokenizer))
         for batch in batches:
-            owner, piece, start, length, crc, ids = [], [], [], [], [], []
-            for first, texts in _even_groups(pc.fill_null(batch.column(1), "")):
+            for first, texts in _even_groups(batch.column(1)):
+                owner, piece, start, length, crc, ids = [], [], [], [], [], []
                 every, begins = encoder.encode(texts, separator)
                 data = memoryview(every).cast("B")
                 for row in range(len(texts)):
@@ -149,9 +164,9 @@ def token_pieces(
                         crc.append(zlib.crc32(part))
                         if with_ids:
                             ids.append(bytes(part))
-            keys = batch.column(0).take(pa.array(owner, pa.int64()))
-            out = [keys, pa.array(piece, pa.int32())] + [pa.array(x, pa.int64()) for x in (start, length, crc)]
-            yield pa.RecordBatch.from_arrays(out + ([pa.array(ids, pa.binary())] if with_ids else []), names)
+                keys = batch.column(0).take(pa.array(owner, pa.int64()))
+                out = [keys, pa.array(piece, pa.int32())] + [pa.array(x, pa.int64()) for x in (start, length, crc)]
+                yield pa.RecordBatch.from_arrays(out + ([pa.array(ids, pa.binary())] if with_ids else []), names)
 
     names = [key, "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
     schema = T.StructType(
@@ -216,7 +231,7 @@ def pack_pieces(
 
         def flush(final: bool) -> Iterator[pa.RecordBatch]:
             nonlocal opened, waiting
-            table = pa.Table.from_batches(waiting).combine_chunks()
+            table = pa.Table.from_batches(waiting)  # no copy: ids are most of it
             whole = len(table) if final else len(table) // block * block
             for begin in range(0, whole, block):
                 part = table.slice(begin, min(block, whole - begin))
@@ -228,7 +243,7 @@ def pack_pieces(
                 bins[alone] = used + np.arange(alone.sum())
                 part = part.append_column("sequence_id", pa.array(bins + opened))
                 opened += used + int(alone.sum())
-                yield from part.append_column("offset", pa.array(offsets)).to_batches()
+                yield from part.append_column("offset", pa.array(offsets)).to_batches(_PASSED)
             waiting = table.slice(whole).to_batches()
 
         rows = 0

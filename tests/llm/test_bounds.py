@@ -10,8 +10,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from helioquant.llm import repeats
-from helioquant.llm.common import SHUFFLE_CLEANUP, cut_lineage
+from helioquant.llm import packing, repeats
+from helioquant.llm.common import SHUFFLE_CLEANUP, cut_lineage, drop_kept
 
 
 def shuffle_files(spark):
@@ -102,3 +102,65 @@ def test_blocks_follow_the_contexts_asked_for(spark, monkeypatch):
     monkeypatch.setattr(repeats, "BLOCK_BYTES", 100)
     assert run() == few
     assert seen[1] > seen[0] == 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_pieces_leave_a_few_texts_at_a_time(spark, monkeypatch, prose):
+    monkeypatch.setattr(packing, "map_arrow", lambda rows, function, schema: function)
+    docs = spark.createDataFrame([(1, "")], "doc_id long, text string")
+    cut = packing.token_pieces(docs, packing.default_tokenizer(), with_ids=True)
+    words = prose(11, 400).split()
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices(words, k=3000)) for _ in range(800)] + [None, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(802)), pa.array(texts)], ["doc_id", "text"])
+    try:
+        held(cut, batch.slice(0, 1))  # loads the tokenizer
+        _, few = held(cut, batch.slice(0, 400))
+        parts, most = held(cut, batch)
+        assert most < 1.3 * few and max(size for _, size in parts) < 4 * packing._TEXT_BYTES
+        out = pa.Table.from_batches(cut(iter([batch]))).to_pydict()
+    finally:
+        drop_kept()
+    assert sorted(set(out["doc_id"])) == list(range(802))
+    assert [x for i, x in zip(out["doc_id"], out["ids"]) if i >= 800] == [bytes(4), bytes(4)]
+
+
+def test_few_chunks_are_encoded_together(prose):
+    encoder = packing.ChunkTokenizer(packing.default_tokenizer())
+    chunks = sorted({f"{w}{i % 977}" for i, w in enumerate(prose(12, 3 * packing._ENCODED).split())}) + [""]
+    plain, seen = encoder.tokenizer, []
+
+    class Seen:
+        @staticmethod
+        def encode_batch_fast(some, **options):
+            seen.append(len(some))
+            return plain.encode_batch_fast(some, **options)
+
+    encoder.tokenizer = Seen
+    assert encoder._ids(chunks) == [np.array(plain.encode(c, add_special_tokens=False).ids, "<u4").tobytes() for c in chunks]
+    assert sum(seen) == len(chunks) > packing._ENCODED >= max(seen)
+    assert encoder._ids([]) == []
+
+
+def test_packing_copies_no_ids(spark, monkeypatch):
+    monkeypatch.setattr(packing, "map_arrow", lambda rows, function, schema: function)
+    monkeypatch.setattr(packing, "TaskContext", type("Task", (), {"get": staticmethod(lambda: type("Of", (), {"partitionId": staticmethod(lambda: 2)}))}))
+    monkeypatch.setattr(packing, "_PASSED", 16)
+    pieces = spark.createDataFrame([(1, 1, b"")], "doc_id long, length long, ids binary")
+    pack = packing.pack_pieces(pieces, ["doc_id"], tokens=100, block=64)
+    rng = random.Random(5)
+    lengths = [rng.randint(1, 110) for _ in range(200)]
+    rows = pa.table({"doc_id": range(200), "length": lengths, "ids": [rng.randbytes(40_000) for _ in range(200)]})
+    batches = [b for i in range(0, 200, 40) for b in rows.slice(i, 40).combine_chunks().to_batches()]
+    before, most, out = pa.total_allocated_bytes(), 0, []
+    for part in pack(iter(batches)):
+        most = max(most, pa.total_allocated_bytes() - before)
+        assert part.num_rows <= 16
+        out.append(part)
+    assert most < 64 * 40_000 / 2
+    got = pa.Table.from_batches(out)
+    assert got.select(["doc_id", "length", "ids"]).equals(rows.cast(got.select(["doc_id", "length", "ids"]).schema))
+    blocks = [np.array(lengths[i : i + 64]) for i in range(0, 200, 64)]
+    wanted = [packing.best_fit(x[x < 100], (100, 100, 10_000), (1.0, 1e-6, 1e-6), "norm")[1] for x in blocks]
+    offsets = np.array(got["offset"])
+    assert list(offsets[np.array(lengths) < 100]) == list(np.concatenate(wanted)) and not offsets[np.array(lengths) >= 100].any()
+    assert all(s >> 40 == 2 for s in got["sequence_id"].to_pylist())
