@@ -20,7 +20,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
-from itertools import accumulate, chain, pairwise
+from itertools import accumulate, chain, pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +34,7 @@ from helioquant.llm.common import kept_between_tasks, map_arrow, read_table
 
 SEQUENCE_TOKENS = 2048
 BLOCK = 8192
-#: Entries a worker remembers of chunk to ids before it forgets those not met for as long.
+#: Chunks whose ids a worker remembers; it forgets those not met for longest when there are twice as many.
 CACHE_CHUNKS = 200_000
 #: Texts numbered and passed on together.
 _TEXT_BYTES = 1 << 20
@@ -42,12 +42,29 @@ _TEXT_BYTES = 1 << 20
 _ENCODED = 4096
 #: Packed pieces passed on together.
 _PASSED = 1024
+#: The letters up to U+00FF.
+_LETTERS = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+_WORD = f"^[{_LETTERS}]+$"
+#: Chunks of characters up to U+00FF that end in a letter and a full stop or comma.
+_TAILED = rf"^[\x{{00}}-\x{{FF}}]*[{_LETTERS}][.,]$"
+
+
+def _runs(pool: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of runs of these sizes that fill pool, those named by which, one after another, and where each ends."""
+    first = np.cumsum(sizes) - sizes
+    lengths = sizes[which]
+    ends = np.cumsum(lengths)
+    at = np.repeat(first[which] - (ends - lengths), lengths)
+    at += np.arange(len(at))
+    return pool[at], ends
 
 
 class ChunkTokenizer:
     """Ids as little-endian 32-bit words, for tokenizers that drop white space.
 
-    Such a tokenizer treats each run of other characters alone, so equal runs are encoded once.
+    Such a tokenizer treats each run of other characters alone, so equal runs are encoded once. Up to
+    U+00FF a letter stays a letter when it is lower-cased, and no two characters compose, so words of
+    such letters need the tokenizer's model only, where normalizer and pre-tokenizer work letter by letter.
     """
 
     def __init__(self, path: str) -> None:
@@ -58,9 +75,35 @@ class ChunkTokenizer:
         self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.tail = {"": b""} | {c: self._ids([c])[0] for c in ".,"}
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        self.letters = self._letter_forms()
+        self.known: dict[str, int] = {}  # chunk to its row in sizes and used, in the order of the rows
+        self.pool = np.empty(0, "<u4")  # the ids of all rows
+        self.sizes, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.turn = 0
+
+    def _letter_forms(self) -> dict[int, str] | None:
+        """What the model is given for each small letter up to U+00FF; None if words are more than their letters."""
+        if not all(t.special for t in self.tokenizer.get_added_tokens_decoder().values()):
+            return None
+        normalizer, splitter = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+
+        def given(word: str) -> list[str]:
+            word = normalizer.normalize_str(word) if normalizer else word
+            return [part for part, _ in splitter.pre_tokenize_str(word)] if splitter else [word]
+
+        small = [c for c in map(chr, range(256)) if c.isalpha() and c == c.lower()]
+        forms = [given(c) for c in small]
+        if any(len(form) != 1 for form in forms) or given("".join(small)) != ["".join(form for form, in forms)]:
+            return None
+        if any(c.isascii() and form != c for c, (form,) in zip(small, forms)):
+            return None
+        self.letters = {ord(c): form for c, (form,) in zip(small, forms)}
+        tried = [*small, "".join(small), "".join(reversed(small))]
+        whole = self._ids(tried)
+        ids, sizes = self._word_ids(tried)
+        same = ids.tobytes() == b"".join(whole) and (4 * sizes).tolist() == [len(x) for x in whole]
+        return self.letters if same else None
 
     def _ids(self, chunks: list[str]) -> list[bytes]:
         """The ids of each chunk; the encodings, far larger than their ids, are held for _ENCODED chunks at a time."""
@@ -73,33 +116,62 @@ class ChunkTokenizer:
             out += [data[i:j] for i, j in pairwise(ends)]
         return out
 
-    @staticmethod
-    def _stem(chunk: str) -> tuple[str, str]:
-        """What is looked up, and a full stop or comma that follows it as a token of its own.
+    def _word_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, which have small letters up to U+00FF alone, and how many each has."""
+        ids, sizes = [np.empty(0, "<u4")], []
+        for at in range(0, len(words), _ENCODED):
+            some = words[at : at + _ENCODED]
+            tokens = [self.model.tokenize(w if w.isascii() else w.translate(self.letters)) for w in some]
+            ids.append(np.array([t.id for of_one in tokens for t in of_one], "<u4"))
+            sizes += map(len, tokens)
+        return np.concatenate(ids), np.array(sizes, np.int64)
 
-        Up to U+00FF a letter stays a letter when it is lower-cased, and no two characters compose.
-        """
-        if not chunk or not (chunk.isascii() or max(chunk) <= "\u00ff"):
-            return chunk, ""
-        stem, tail = (chunk[:-1], chunk[-1]) if chunk[-1] in ".," and chunk[-2:-1].isalpha() else (chunk, "")
-        return (stem.lower() if stem.isalpha() else stem), tail
-
-    def parts_of(self, chunks: list[str]) -> list[bytes]:
-        """The ids of each chunk; what was met lately is not encoded again."""
-        stems = [self._stem(c) for c in chunks]
-        if len(self.known) > CACHE_CHUNKS:
-            self.known, self.older = {}, self.known
-        known, older = self.known, self.older
-        missing = []
-        for stem in {s for s, _ in stems}:
-            if stem not in known:
-                if stem in older:
-                    known[stem] = older[stem]
-                else:
-                    missing.append(stem)
-        missing.sort()
-        known.update(zip(missing, self._ids(missing)))
-        return [known[s] + self.tail[t] if t else known[s] for s, t in stems]
+    @staticmethod
+    def _stems(chunks: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """What is looked up for each chunk, and which full stop (1) or comma (2) follows it as a token of its own."""
+        tailed = pc.match_substring_regex(chunks, _TAILED)
+        stems = pc.if_else(tailed, pc.utf8_slice_codeunits(chunks, 0, -1), chunks)
+        stems = pc.if_else(pc.match_substring_regex(stems, _WORD), pc.utf8_lower(stems), stems)
+        tails = np.where(pc.ends_with(chunks, ",").to_numpy(zero_copy_only=False), 2, 1)
+        return stems, np.where(tailed.to_numpy(zero_copy_only=False), tails, 0)
+
+    def _rows(self, stems: list[str]) -> np.ndarray:
+        """The rows of the stems; what was met lately is not encoded again."""
+        if len(self.known) > 2 * CACHE_CHUNKS:
+            keep = np.sort(np.argsort(-self.used, kind="stable")[:CACHE_CHUNKS])
+            names = list(self.known)
+            self.known = {names[row]: new for new, row in enumerate(keep.tolist())}
+            self.pool, _ = _runs(self.pool, self.sizes, keep)
+            self.sizes, self.used = self.sizes[keep], self.used[keep]
+        rows = np.fromiter(map(self.known.get, stems, repeat(-1)), np.int64, len(stems))
+        absent = np.flatnonzero(rows < 0)
+        words, others = [], []
+        for i in absent.tolist():
+            stem = stems[i]
+            (words if self.letters and stem.isalpha() and max(stem) <= "\u00ff" else others).append(stem)
+        ids, sizes = self._word_ids(words)
+        parts = self._ids(others)
+        self.known.update(zip(words + others, range(len(self.known), len(self.known) + len(absent))))
+        rows[absent] = [self.known[stems[i]] for i in absent.tolist()]
+        self.pool = np.concatenate([self.pool, ids, np.frombuffer(b"".join(parts), "<u4")])
+        self.sizes = np.concatenate([self.sizes, sizes, np.array([len(x) // 4 for x in parts], np.int64)])
+        self.used = np.concatenate([self.used, np.zeros(len(absent), np.int64)])
+        self.turn += 1
+        self.used[rows] = self.turn
+        return rows
+
+    def parts_of(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all chunks, and how many each has."""
+        stems, tails = self._stems(chunks)
+        coded = pa.concat_arrays([stems, pa.array([".", ","], stems.type)]).dictionary_encode()
+        rows = self._rows(coded.dictionary.to_numpy(zero_copy_only=False).tolist())[coded.indices.to_numpy()]
+        rows, tail_rows = rows[:-2], rows[-2:]
+        tailed = np.flatnonzero(tails)
+        after = tail_rows[tails[tailed] - 1]
+        ids, _ = _runs(self.pool, self.sizes, np.insert(rows, tailed + 1, after))
+        sizes = self.sizes[rows]
+        sizes[tailed] += self.sizes[after]
+        return ids, sizes
 
     def encode(self, texts: pa.Array, separator: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each with a separator at its end, and where each begins (and the last ends).
@@ -109,18 +181,12 @@ class ChunkTokenizer:
         spaces = pc.replace_substring_regex(texts, "[\n\t\r\x0b\x0c]", " ")
         chunks = pc.split_pattern(spaces, " ")
         coded = chunks.flatten().dictionary_encode()
-        parts = self.parts_of(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
-        parts.append(np.array([separator], "<u4").tobytes())
-        pool = np.frombuffer(b"".join(parts), "<u4")
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-        first = np.cumsum(sizes) - sizes
+        pool, sizes = self.parts_of(coded.dictionary)
+        pool, sizes = np.append(pool, np.array([separator], "<u4")), np.append(sizes, 1)
         bounds = np.cumsum(pc.list_value_length(chunks).to_numpy())
-        codes = np.insert(coded.indices.to_numpy(), bounds, len(parts) - 1)
-        lengths = sizes[codes]
-        ends = np.cumsum(lengths)
-        at = np.repeat(first[codes] - (ends - lengths), lengths)
-        at += np.arange(len(at))
-        return pool[at], np.concatenate([[0], ends[bounds + np.arange(len(texts))]])
+        codes = np.insert(coded.indices.to_numpy(), bounds, len(sizes) - 1)
+        ids, ends = _runs(pool, sizes, codes)
+        return ids, np.concatenate([[0], ends[bounds + np.arange(len(texts))]])
 
 
 def _even_groups(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:

@@ -141,6 +141,55 @@ def test_few_chunks_are_encoded_together(prose):
     assert encoder._ids([]) == []
 
 
+class Counted:
+    """A tokenizer that notes the chunks it encodes."""
+
+    def __init__(self, plain):
+        self.plain, self.seen = plain, []
+
+    def encode_batch_fast(self, some, **options):
+        self.seen += some
+        return self.plain.encode_batch_fast(some, **options)
+
+
+def odd_texts(prose) -> list[str]:
+    letters = [c for c in map(chr, range(256)) if c.isalpha()]
+    rng = random.Random(6)
+    words = ["".join(rng.choices(letters, k=rng.randint(1, 12))) for _ in range(600)] + letters + prose(13, 300).split()
+    words += [w + t for w in words[::3] for t in (".", ",", "..", ".,", "'s", "-x,", "7.", "\u0301", "\u0301,", "\u0142.")]
+    words += ["", ".", ",", "\x00.", "a\x00b,", "\u212a,", "J\u030c", "\u0130.", "don't", "<|endoftext|>", "\xa0a.", "\xadx", "\xd7,", "7", "\ufb01."]
+    rng.shuffle(words)
+    return [" \n".join(words[i : i + 40]) for i in range(0, len(words), 40)]
+
+
+def test_words_need_the_model_only_and_give_the_ids_of_the_tokenizer(monkeypatch, prose):
+    monkeypatch.setattr(packing, "CACHE_CHUNKS", 300)
+    encoder = packing.ChunkTokenizer(packing.default_tokenizer())
+    plain, encoder.tokenizer = encoder.tokenizer, Counted(encoder.tokenizer)
+    texts = odd_texts(prose)
+    for at in [*range(0, len(texts), 3), 0, 3]:
+        some = texts[at : at + 3]
+        ids, begins = encoder.encode(pa.array(some), 0)
+        wanted = [[*plain.encode(t, add_special_tokens=False).ids, 0] for t in some]
+        assert [ids[i:j].tolist() for i, j in zip(begins, begins[1:])] == wanted
+        assert len(encoder.known) == len(encoder.sizes) == len(encoder.used) <= 2 * 300 + 3 * 40
+    seen = set(encoder.tokenizer.seen)
+    assert "don't" in seen and not [c for c in seen if c.isalpha() and max(c) <= "\u00ff"]
+
+
+def test_words_go_to_the_tokenizer_where_letters_do_not_stand_alone(tmp_path, prose):
+    from tokenizers import Regex, Tokenizer, pre_tokenizers
+
+    cuts = Tokenizer.from_file(packing.default_tokenizer())
+    cuts.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex("e"), "isolated"), cuts.pre_tokenizer])
+    cuts.save(str(tmp_path / "cuts.json"))
+    encoder = packing.ChunkTokenizer(str(tmp_path / "cuts.json"))
+    text = prose(14, 200)
+    ids, _ = encoder.encode(pa.array([text]), 7)
+    assert encoder.letters is None
+    assert ids.tolist() == [*cuts.encode(text, add_special_tokens=False).ids, 7]
+
+
 def test_packing_copies_no_ids(spark, monkeypatch):
     monkeypatch.setattr(packing, "map_arrow", lambda rows, function, schema: function)
     monkeypatch.setattr(packing, "TaskContext", type("Task", (), {"get": staticmethod(lambda: type("Of", (), {"partitionId": staticmethod(lambda: 2)}))}))
