@@ -102,6 +102,47 @@ def test_silent_series_are_forgotten(spark, feed, tmp_path):
     assert got == {3: 1.0, 4: None, 5: 2.0}
 
 
+@pytest.mark.parametrize("buckets", [1, 256])
+def test_series_that_share_a_bucket_keep_their_own_order_and_expiry(spark, feed, tmp_path, buckets):
+    def run(rows):
+        return start(order.ordered_steps(feed(rows), KEYS, lateness="10 minutes", expiry_s=3600, buckets=buckets), str(tmp_path / "out"), str(tmp_path / "state"))
+
+    run([row("p", "a", 0, 1.0, 1), row("p", "b", 10, 4.0, 2), row("p", "a", 5, 2.0, 3), row("p", None, 5, 7.0, 4)])
+    run([row("p", "b", 5, 5.0, 5), row("p", "z", 60, 1.0, 6)])
+    run([row("p", "b", 62, 3.0, 7), row("p", "z", 70, 2.0, 8)])
+    # The watermark is at minute 75: the series without a device and a have expired, b has not.
+    run([row("p", "z", 85, 3.0, 9)])
+    run([row("p", "a", 86, 0.5, 10), row("p", "b", 87, 2.5, 11), row("p", None, 88, 6.0, 12), ("end", "end", "end", "2020-05-03 00:00:00", 0.0, 13)])
+    got = {r.arrival: (r.prev_value, r.out_of_order) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {1: (None, False), 3: (1.0, False), 4: (None, False), 5: (None, True), 2: (5.0, False), 6: (None, False), 7: (4.0, False), 8: (1.0, False),
+                   9: (2.0, False), 10: (None, False), 11: (3.0, False), 12: (None, False)}
+
+
+def test_state_of_a_stream_follows_its_buckets_not_its_series(spark, feed, tmp_path):
+    """Calls, timers and state rows for each of many series took most of the time."""
+    count = 3000
+    first = [("p", f"d{i}", "e", "2020-05-01 00:00:00", 2.0, i) for i in range(count)]
+    second = [("p", f"d{i}", "e", "2020-05-01 00:10:00", 1.0 + i % 3, count + i) for i in range(count)]
+    run = lambda rows: start(order.stream_order_checks(feed(rows)), str(tmp_path / "out"), str(tmp_path / "state"))
+    run(first)
+    assert run(second).lastProgress["stateOperators"][0]["numRowsTotal"] < count
+    run(LAST)
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert got.count() == 2 * count and got.where("arrival >= 3000 and prev_value = 2 and step = (arrival - 3000) % 3 - 1").count() == count
+    assert got.where(F.array_contains("qc_flags", counters.FLAG_MONOTONIC)).count() == count // 3
+
+
+def test_nulls_in_keys_and_arrival_stay_null(spark, feed, tmp_path):
+    schema = "site long, part string, ts timestamp, value double, ingest_seq long"
+    rows = [(2**60 + 1, "", "2020-05-01 00:00:00", 3.0, 1), (None, None, "2020-05-01 00:01:00", 5.0, 2), (None, "", "2020-05-01 00:02:00", 6.0, 3),
+            (2**60 + 1, "", "2020-05-01 00:10:00", None, None), (2**60 + 1, "", "2020-05-01 00:20:00", 2.0, 5), (8, "z", "2020-05-09 00:00:00", 2.0, 6)]
+    start(order.ordered_steps(feed(rows, schema), ["site", "part"]), str(tmp_path / "out"), str(tmp_path / "state"))
+    got = {(r.site, r.part, r.arrival, r.value, r.prev_value, r.out_of_order) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    big = 2**60 + 1
+    assert got == {(big, "", 1, 3.0, None, False), (None, None, 2, 5.0, None, False), (None, "", 3, 6.0, None, False),
+                   (big, "", None, None, 3.0, True), (big, "", 5, 2.0, None, False)}
+
+
 def test_daily_drop_on_two_streams_equals_batch(spark, feed, frame, tmp_path):
     readings = "plant string, device string, ts timestamp, value double, ingest_seq long"
     weather = "plant string, ts timestamp, irradiance double"
