@@ -243,9 +243,9 @@ def _appended(rows, path, state):
     return rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", state).outputMode("append")
 
 
-def _heartbeat(rows):
+def _heartbeat(rows, lateness_s=0):
     """A row of no plant far beyond the others: it moves the watermark past all of them."""
-    later = F.max("ts") + F.expr("INTERVAL 60 DAYS")
+    later = F.max("ts") + F.expr("INTERVAL 60 DAYS") + F.make_dt_interval(secs=F.lit(lateness_s))
     names = [f for f in rows.schema.fields if f.name not in ("plant", "ts")]
     return rows.agg(later.alias("ts")).select(
         F.lit("heartbeat").alias("plant"), "ts", *[F.lit(0).cast(f.dataType).alias(f.name) for f in names]
@@ -268,6 +268,18 @@ def _series(spark, sf):
     )
 
 
+def _lateness_s(rows, part, least_s=4 * SECONDS_PER_DAY):
+    """Seconds by which a row comes after a later one of an earlier part: a stream that waits less would drop it."""
+    micros = F.unix_micros("ts")
+    spans = rows.groupBy(part.alias("part")).agg(F.min(micros).alias("low"), F.max(micros).alias("high"))
+    lateness, newest = least_s, None
+    for _, low, high in sorted(tuple(r) for r in spans.where("part IS NOT NULL AND low IS NOT NULL").collect()):
+        if newest is not None:
+            lateness = max(lateness, (newest - low) // 1_000_000 + 1)
+        newest = high if newest is None else max(newest, high)
+    return lateness
+
+
 def streamed_order(spark, sf):
     """Readings in three drains by arrival, a heartbeat at the end: both order rules on the stream."""
     _keyed_state(spark)
@@ -275,10 +287,11 @@ def streamed_order(spark, sf):
     last = rows.agg(F.max("ingest_seq")).first()[0]
     third = F.floor(F.col("ingest_seq") * 3 / (last + 1))
     parts = [{"readings": rows.where(third == k)} for k in range(3)]
-    parts[-1]["readings"] = parts[-1]["readings"].unionByName(_heartbeat(rows))
+    lateness_s = _lateness_s(rows, third)
+    parts[-1]["readings"] = parts[-1]["readings"].unionByName(_heartbeat(rows, lateness_s))
 
     def writer(streams, path, state):
-        return _appended(stream_order.stream_order_checks(streams["readings"], lateness="4 days"), path, state)
+        return _appended(stream_order.stream_order_checks(streams["readings"], lateness=f"{lateness_s} seconds"), path, state)
 
     return spark.read.parquet(_drain_in_parts(spark, parts, writer))
 

@@ -143,6 +143,36 @@ def test_nulls_in_keys_and_arrival_stay_null(spark, feed, tmp_path):
                    (big, "", None, None, 3.0, True), (big, "", 5, 2.0, None, False)}
 
 
+@pytest.fixture
+def repeated_events(spark, tmp_path):
+    """Events over eight days, and again with other ids: by number, the second half goes back to the first day."""
+    ids = spark.range(1200).select((F.col("id") % 600).alias("n"), F.col("id").alias("event_id"))
+    events = ids.select(
+        "event_id", F.timestamp_seconds(F.lit(1_588_291_200) + F.col("n") * 1152).cast("timestamp_ntz").alias("ts"),
+        (F.floor(F.col("event_id") / 600) * 10 + F.col("n") % 7).alias("user_id"),
+        F.when(F.col("n") % 2 == 0, "view").otherwise("click").alias("event_type"),
+        (F.col("n") * 37 % 101).cast("double").alias("value"), F.lit('{"k": 1}').alias("props"),
+    )
+    events.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    return str(tmp_path)
+
+
+def against_sql(spark, sf_dir, name):
+    import duckdb
+    from oracle import difference
+
+    from helioquant.plans.quality import QUERIES
+
+    run, sql = QUERIES[name]
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW events AS SELECT * FROM '{sf_dir}/events.parquet/*.parquet'")
+    return difference(run(spark, sf_dir).toPandas(), duck.execute(sql).df())
+
+
+def test_steps_wait_for_readings_far_behind(spark, repeated_events):
+    assert against_sql(spark, repeated_events, "stream_monotonic") is None
+
+
 def test_daily_drop_on_two_streams_equals_batch(spark, feed, frame, tmp_path):
     readings = "plant string, device string, ts timestamp, value double, ingest_seq long"
     weather = "plant string, ts timestamp, irradiance double"
