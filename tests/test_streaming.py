@@ -173,6 +173,22 @@ def test_steps_wait_for_readings_far_behind(spark, repeated_events):
     assert against_sql(spark, repeated_events, "stream_monotonic") is None
 
 
+def test_order_flags_wait_for_readings_far_behind(spark, repeated_events):
+    assert against_sql(spark, repeated_events, "stream_order_checks") is None
+
+
+def test_lateness_of_parts_is_what_their_order_needs(spark, frame):
+    from helioquant.plans.quality import _lateness_s
+
+    def need(*rows):
+        return _lateness_s(frame([*rows], "part int, ts timestamp"), F.col("part"), least_s=60)
+
+    assert need((0, "2020-05-01 00:00:00"), (0, "2020-05-02 00:00:00"), (1, "2020-05-02 00:00:30"), (2, None), (None, "2020-04-01 00:00:00")) == 60
+    # Against the newest of all earlier parts, not of the one before; a reading at the watermark itself would be dropped.
+    assert need((0, "2020-05-03 00:00:00"), (1, "2020-05-01 00:00:00"), (2, "2020-05-01 12:00:00")) == 2 * 86_400 + 1
+    assert need((0, "2020-05-03 00:00:00"), (1, None), (2, "2020-05-02 00:00:00")) == 86_400 + 1
+
+
 def test_daily_drop_on_two_streams_equals_batch(spark, feed, frame, tmp_path):
     readings = "plant string, device string, ts timestamp, value double, ingest_seq long"
     weather = "plant string, ts timestamp, irradiance double"
